@@ -19,6 +19,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rest.doc_id", F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_sha256"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_dedup
+
+    out = near_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import line_dedup
 
@@ -26,6 +33,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rest.doc_id", F.col("n").alias("n_lines"), F.col("gone").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_tokens, token_folder, write_tokens
+
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), token_folder(spark)))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
