@@ -33,12 +33,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rest.doc_id", F.col("n").alias("n_lines"), F.col("gone").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, token_folder, write_tokens
 
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), token_folder(spark)))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
