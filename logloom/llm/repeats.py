@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 #: Bytes of text for each partition of the two shuffles, and windows that a map task compares at once.
-PART_BYTES, CHUNK = 16 << 20, 4_000_000
+PART_BYTES, CHUNK = 16 << 20, 2_500_000
 HASH_BYTES = 7
 OWNER_SHIFTS = (7, 17, 29, 41)
 
@@ -155,12 +155,14 @@ def _hash_chunks(windows: Windows, width: int, n: int, by_place: bool) -> Callab
         for doc, tag, row, place, h, key in held:
             docs.append(doc)
             tags.append(tag)
-            rows.append(row + base)
-            places.append(place)
+            rows.append((row + base).astype(np.int32))
+            places.append(place.astype(np.int32))
             hs.append(h)
             keys.append(key)
             base += len(doc)
-        doc, tag, row, place, h, key = (np.concatenate(x) for x in (docs, tags, rows, places, hs, keys))
+        doc, tag, row, place, h = (np.concatenate(x) for x in (docs, tags, rows, places, hs))
+        key = h if all(a is b for a, b in zip(hs, keys, strict=True)) else np.concatenate(keys)
+        held.clear()
         beaten = _later(h, _ranks(doc, row, place, by_place))
         out: list[tuple[int, int, int, bytes]] = []
         if beaten.any():
@@ -186,14 +188,15 @@ def _hash_chunks(windows: Windows, width: int, n: int, by_place: bool) -> Callab
                 row, place, h, key = windows(data, off, width)
                 ok = known[row]
                 if not ok.all():
-                    row, place, h, key = row[ok], place[ok], h[ok], key[ok]
+                    own = h[ok]
+                    row, place, h, key = row[ok], place[ok], own, own if key is h else key[ok]
                 if not len(row):
                     continue
                 held.append((doc, part.column("tag").to_numpy().astype(np.int32), row, place, h, key))
                 size += len(row)
                 if size >= CHUNK:
                     yield from flush(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield from flush(held)
 
