@@ -68,7 +68,7 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = np.fromiter(map(fingerprint, batch.column("body").to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(got.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(got.view(np.int64))], ["id", "tag", "fp"])
 
 
 @lru_cache(maxsize=1)
@@ -211,10 +211,10 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (signed 64-bit fingerprint) and component_id, a row for each row of docs."""
+    """doc_id, tag (hash of the text), fp (signed 64-bit fingerprint) and component_id, a row for each row of docs."""
     spark = docs.sparkSession
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
-    marked = checkpoint(src.mapInArrow(_fingerprints, f"id {dict(src.dtypes)['id']}, fp long"))
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"), F.xxhash64(docs[text_col]).alias("tag"))
+    marked = checkpoint(src.mapInArrow(_fingerprints, f"id {dict(src.dtypes)['id']}, tag long, fp long"))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
     n = max(1, marked.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = distinct.select("fp").mapInArrow(_buckets, "bucket int, fp long")
@@ -225,13 +225,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rooted = checkpoint(rooted)
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = rooted.join(first, "root").select("fp", "component_id")
-    return marked.join(of, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
+    return marked.join(of, "fp").select(F.col("id").alias("doc_id"), "tag", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that have a near one with a smaller id: of each component the smallest doc_id stays.
 
-    Rows without an id stay; of rows that repeat a kept id all stay.
+    Rows without an id stay; so do rows that repeat the kept id with a text of the same component.
     """
-    found = near_dedup(docs, id_col, text_col).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(found, docs[id_col].eqNullSafe(found["kept_id"]), "left_semi")
+    gone = near_dedup(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["gone_id"]) & F.xxhash64(docs[text_col]).eqNullSafe(gone["gone_tag"]), "left_anti")
