@@ -278,7 +278,8 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = [c for c in docs.columns]
     src = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"))
     df = _with_spans(src, F.col("_row")[text_col])
-    spans = F.array_sort(F.concat(*[F.transform(F.col(f"_{k}"), lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))) for k in (*KINDS, "other")]))
+    named = lambda k: F.transform(F.col(f"_{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k")))
+    spans = F.array_sort(F.concat(*[named(k) for k in (*KINDS, "other")]))
     df = df.withColumn("_spans", spans)
     none = F.expr("cast(array() as array<string>)")
     body = F.col("_row")[text_col]
