@@ -25,6 +25,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rest.doc_id", F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_sha256"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_dedup
 
