@@ -150,7 +150,7 @@ def widget_matches(table: DataFrame, alerts: DataFrame, per_widget: int = 10, ma
     w = table.select(F.col("id").alias("widget_id"), F.col("labels").alias("specs"), F.col("status_filter"))
     entries = F.map_entries("labels")
     fits = F.forall("specs", lambda s: F.exists(entries, lambda e: (F.lower(e["key"]) == F.lower(F.trim(s["key"]))) & ((F.coalesce(s["value"], F.lit("")) == "") | (F.lower(e["value"]) == F.lower(F.trim(s["value"]))))))
-    state = (F.coalesce("status_filter", F.lit("")) == "") | F.array_contains(F.transform(F.split("status_filter", ","), F.trim), F.col("status"))
+    state = (F.coalesce("status_filter", F.lit("")) == "") | F.array_contains(F.transform(F.split("status_filter", ","), lambda x: F.trim(x)), F.col("status"))
     hit = alerts.join(F.broadcast(w), fits & state)
     place = F.row_number().over(Window.partitionBy("widget_id").orderBy(F.desc("last_seen"), "id"))
     return hit.withColumn("place", place).where(F.col("place") <= per_widget)
