@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import incident_id, rank
 
-SLICE_SECONDS, FOLD_EVENTS = 86_400, 100_000
+SLICE_SECONDS, FOLD_EVENTS = 86_400, 10_000
 SECOND = 1_000_000
 
 
@@ -52,29 +52,31 @@ def sessions(df: DataFrame, key: list[str], micros: str = "micros", order: str =
     return df.join(ends, [*key, "_slot"]).withColumn("session", F.col("_base") + F.col("_run")).drop("_slot", "_first", "_new", "_run", "_base")
 
 
-def _emitted(items: Column) -> Column:
-    """Places (from 1) of the new and update events among sorted structs (t, r)."""
-    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<int>)").alias("out"))
+def _due(items: Column) -> Column:
+    """For each of the sorted items (t, r): whether it is a new or an update event."""
+    zero = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<boolean>)").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        due = acc["last"].isNull() | (x["t"] - acc["last"] >= F.greatest(F.lit(0), x["r"]).cast("long") * SECOND)
-        n = acc["n"] + 1
-        return F.struct(n.alias("n"), F.when(due, x["t"]).otherwise(acc["last"]).alias("last"), F.when(due, F.concat(acc["out"], F.array(n))).otherwise(acc["out"]).alias("out"))
+        due = acc["last"].isNull() | (x["clock"] - acc["last"] >= F.greatest(F.lit(0), x["refire_interval_seconds"]).cast("long") * SECOND)
+        return F.struct(F.when(due, x["clock"]).otherwise(acc["last"]).alias("last"), F.concat(acc["out"], F.array(due)).alias("out"))
 
     return F.aggregate(items, zero, step, lambda acc: acc["out"])
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same chain over rows sorted by (fingerprint, session, place): one state, any number of rows."""
-    owner, last = None, 0
+    """The same chain over rows sorted by (fingerprint, session, micros, event_id): one state, any number of rows."""
+    owner, last, place = None, 0, 0
     for batch in batches:
-        keep = []
+        places, flags = [], []
         for fp, number, t, r in zip(*(batch.column(c).to_pylist() for c in ("fingerprint", "session", "clock", "refire_interval_seconds")), strict=True):
-            due = owner != (fp, number) or t - last >= max(0, r) * SECOND
+            fresh = owner != (fp, number)
+            due = fresh or t - last >= max(0, r) * SECOND
+            place = 1 if fresh else place + 1
             if due:
                 owner, last = (fp, number), t
-            keep.append(due)
-        yield batch.filter(pa.array(keep)).select(["fingerprint", "session", "place"])
+            places.append(place)
+            flags.append(due)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int32()), pa.array(flags)], [*batch.schema.names, "place", "_due"])
 
 
 def actions(enriched: DataFrame, now_micros: int | None = None, fold_events: int = FOLD_EVENTS) -> DataFrame:
@@ -82,16 +84,20 @@ def actions(enriched: DataFrame, now_micros: int | None = None, fold_events: int
     df = enriched.withColumn("micros", F.unix_micros("timestamp"))
     df = df.withColumn("clock", event_clock(F.col("micros"), now_micros))
     df = sessions(df, ["fingerprint"])
-    of = Window.partitionBy("fingerprint", "session").orderBy("micros", "event_id")
-    df = df.withColumn("place", F.row_number().over(of))
-    small = df.select("fingerprint", "session", "place", F.col("clock").alias("t"), F.col("refire_interval_seconds").alias("r"))
-    large = df.groupBy("fingerprint", "session").count().where(F.col("count") > fold_events).select("fingerprint", "session")
-    folded = small.join(large, ["fingerprint", "session"], "left_anti").groupBy("fingerprint", "session").agg(F.sort_array(F.collect_list(F.struct("place", "t", "r"))).alias("items"))
-    emitted = folded.select("fingerprint", "session", F.explode(_emitted(F.col("items"))).alias("place"))
-    rest = df.select("fingerprint", "session", "place", "clock", "refire_interval_seconds").join(large, ["fingerprint", "session"], "left_semi")
-    rest = rest.repartition("fingerprint", "session").sortWithinPartitions("fingerprint", "session", "place").mapInArrow(_stream, "fingerprint string, session long, place int")
-    emitted = emitted.unionByName(rest).withColumn("_due", F.lit(True))
-    out = df.join(emitted, ["fingerprint", "session", "place"], "left")
+    df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("fingerprint", "session")))
+    # Rows are gathered, folded and taken apart again under the one partitioning by session. Maps aren't sortable: they travel as entries.
+    names = [c for c in df.columns if c not in ("fingerprint", "session", "_n")]
+    maps = {c for c, kind in df.dtypes if kind.startswith("map")}
+    order = ["micros", "event_id", *[c for c in names if c not in ("micros", "event_id")]]
+    item = F.struct(*[F.map_entries(c).alias(c) if c in maps else F.col(c) for c in order])
+    folded = df.where(F.col("_n") <= fold_events).groupBy("fingerprint", "session").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    folded = folded.select("fingerprint", "session", F.posexplode(F.arrays_zip(F.col("items"), _due(F.col("items")).alias("due"))).alias("_at", "z"))
+    back = [(F.map_from_entries(F.col(f"z.items.{c}")) if c in maps else F.col(f"z.items.{c}")).alias(c) for c in names]
+    folded = folded.select("fingerprint", "session", *back, (F.col("_at") + 1).alias("place"), F.col("z.due").alias("_due"))
+    large = df.where(F.col("_n") > fold_events).drop("_n").repartition("fingerprint", "session").sortWithinPartitions("fingerprint", "session", "micros", "event_id")
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in large.dtypes)
+    streamed = large.mapInArrow(_stream, f"{kinds}, place int, _due boolean")
+    out = folded.unionByName(streamed)
     return out.withColumn("action", F.when(F.col("place") == 1, "new").when(F.col("_due"), "update").otherwise("suppress")).drop("_due")
 
 
