@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tokens import tokenizer_path
+from .tokens import StretchEncoder, tokenizer_path
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -159,6 +160,11 @@ class PieceTokenizer:
         with open(path, "rb") as f:
             self.model = read_model(f.read())
         self.tokenizer = build(self.model)
+        m = self.model
+        inner = any(MARKER in p.lstrip(MARKER) or "\n" in p for p, _, kind in m.pieces if kind in (NORMAL, USER))
+        user = any(kind == USER for _, _, kind in m.pieces)
+        #: For models whose normaliser is the marker alone, equal stretches of text are encoded once.
+        self.stretches = StretchEncoder(self.tokenizer, "marked") if m.kind == BPE and m.escape_whitespaces and not (inner or user or m.charsmap or m.remove_extra_whitespaces) else None
 
     def _prepared(self, text: str) -> str:
         if self.model.remove_extra_whitespaces:
@@ -166,19 +172,27 @@ class PieceTokenizer:
         return " " + text if self.model.add_dummy_prefix and text else text
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.stretches:
+            ids, off = self.stretches.encode(*K.utf8(pa.array([self._prepared(t) for t in texts], pa.large_string())))
+            return [x.tolist() for x in np.split(ids, off[1:-1])] if texts else []
+        return self.whole(texts)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast([self._prepared(t) for t in texts], add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-_open: dict[str, PieceTokenizer] = {}
+_open: dict[tuple[str, str], PieceTokenizer] = {}
 
 
-def piece_tokenizer(path: str) -> PieceTokenizer:
-    if path not in _open:
-        _open[path] = PieceTokenizer(path)
-    return _open[path]
+def piece_tokenizer(path: str, run: str = "") -> PieceTokenizer:
+    """The worker's tokenizer of this run; those of other runs are dropped."""
+    if (path, run) not in _open:
+        _open.clear()
+        _open[path, run] = PieceTokenizer(path)
+    return _open[path, run]
 
 
 ROW = "n_tokens long, ids_crc32 long, decoded_sha256 string, parity boolean"
@@ -186,19 +200,19 @@ ROW = "n_tokens long, ids_crc32 long, decoded_sha256 string, parity boolean"
 
 def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", verify: bool = True, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, parity, with with_ids the ids too."""
-    path = tokenizer_path(model)
+    path, run = tokenizer_path(model), uuid.uuid4().hex
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("body"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        code = piece_tokenizer(path)
+        code = piece_tokenizer(path, run)
         check = None
         if verify:
             import sentencepiece
 
             check = sentencepiece.SentencePieceProcessor(model_file=path)
         for batch in batches:
-            for part in K.slices(batch, "body", 1 << 20):
+            for part in K.slices(batch, "body"):
                 coded = part.column("body").dictionary_encode()
                 texts = coded.dictionary.to_pylist()
                 ids = code.encode(texts)

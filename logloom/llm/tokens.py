@@ -6,6 +6,7 @@ stretches in a row:
 * ``spaced`` (byte-level BPE): before an ASCII space that follows a visible ASCII character, and before one of ``.,;:!?`` that
   follows an ASCII letter. The pre-tokenizer takes white space only at the front of a stretch, and a run of letters ends at such
   a mark.
+* ``marked`` (SentencePiece models whose pieces have the metaspace marker in front only): before a space after another character.
 * ``bare`` (white space is dropped, letters lower-cased): at ASCII spaces, which are left out, and at the same marks; stretches
   of plain ASCII are folded to lower case before they are looked up.
 
@@ -82,11 +83,24 @@ def folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-class StretchEncoder:
-    def __init__(self, path: str, mode: str) -> None:
-        from tokenizers import Tokenizer
+def marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cut before a space that follows neither a space nor (the last byte of) a metaspace marker, and around line feeds, which no
+    piece may hold."""
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    if len(data):
+        after, before = data[1:], data[:-1]
+        cut[1:-1] = ((after == 32) & (before != 32) & (before != 0x81)) | (after == 10) | (before == 10)
+    cut[offsets] = True
+    at = np.flatnonzero(cut)
+    return at[:-1], at[1:], np.searchsorted(at, offsets)
 
-        self.tokenizer = Tokenizer.from_file(path)
+
+CUTS = {"spaced": spaced, "bare": bare, "marked": marked}
+
+
+class StretchEncoder:
+    def __init__(self, tokenizer, mode: str) -> None:
+        self.tokenizer = tokenizer
         self.mode = mode
         self.clear()
 
@@ -122,10 +136,8 @@ class StretchEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and per-row offsets into them."""
-        if self.mode == "spaced":
-            starts, ends, off = spaced(data, offsets)
-        else:
-            starts, ends, off = bare(data, offsets)
+        starts, ends, off = CUTS[self.mode](data, offsets)
+        if self.mode == "bare":
             data = folded(data, starts, ends)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -149,9 +161,11 @@ _current: tuple[tuple[str, str, str], StretchEncoder] | None = None
 def encoder(path: str, mode: str, run: str) -> StretchEncoder:
     """The worker's encoder of this run; that of another run is dropped."""
     global _current
+    from tokenizers import Tokenizer
+
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if _current is None or _current[0] != (path, mode, run):
-        _current = ((path, mode, run), StretchEncoder(path, mode))
+        _current = ((path, mode, run), StretchEncoder(Tokenizer.from_file(path), mode))
     return _current[1]
 
 

@@ -356,7 +356,8 @@ def test_stretches_encode_like_whole_texts(name, mode):
     from tokenizers import Tokenizer
 
     path = tokens.tokenizer_path(name)
-    code, own = Tokenizer.from_file(path), tokens.StretchEncoder(path, mode)
+    code = Tokenizer.from_file(path)
+    own = tokens.StretchEncoder(code, mode)
     r = random.Random(9)
     alphabet = "aAbZ .,;!'\n\t 　́éÉ̸<|>=1 2s😀日\x1c\x00 İΣ"
     texts = ["".join(r.choice(alphabet) for _ in range(80)) for _ in range(300)] + ["", "it's  I'LL <|endoftext|> x<|ENDOFTEXT|>y", "  lead", "trail  \n"]
@@ -419,6 +420,17 @@ def test_pieces(spark, docs, rows, none):
     assert pieces.encode_pieces(none).count() == 0
 
 
+def test_pieces_of_odd_texts():
+    import sentencepiece
+
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceTokenizer(path)
+    r = random.Random(9)
+    texts = ["".join(r.choice("aAb  ▁.,'\n\té😀日<s>0x\u3000") for _ in range(60)) for _ in range(400)] + ["", " ", "▁", "▁ ▁", "  x", "x  ", "</s>"]
+    assert own.stretches is not None
+    assert own.encode(texts) == own.whole(texts) == sp.encode(texts)
+
+
 def test_unigram_models():
     model = pieces.Model([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁", -3.0, 1), ("a", -2.5, 1)], kind=pieces.UNIGRAM)
     code = pieces.build(model)
