@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import backoff_seconds, idempotency_key
 from ..model import CLAIMABLE, OUTBOX_OPEN, REDRIVABLE
+from ..session import checkpointed
 
 MAX_ATTEMPTS, BATCH, STALE_SECONDS, BACKOFF_BASE, BACKOFF_CAP = 8, 50, 120, 2.0, 300.0
 
@@ -118,7 +119,8 @@ def deliver(claimed: DataFrame, audit: DataFrame, senders: dict[str, Send], now:
 
     sent = already_sent(claimed, audit)
     todo = claimed.join(sent.select("idempotency_key"), "idempotency_key", "left_anti")
-    got = todo.mapInPandas(send, "idempotency_key string, success int, status_code int, response_body string, error_message string").checkpoint()
+    # Kept, so that nothing is sent again when the result is read twice.
+    got = checkpointed(todo.mapInPandas(send, "idempotency_key string, success int, status_code int, response_body string, error_message string"))
     done = mark(todo.join(got, "idempotency_key"), F.col("success") == 1, F.col("error_message"), now, **limits).select(*names)
     skipped = mark(sent, F.lit(True), F.lit(None).cast("string"), now).select(*names)
     log = todo.join(got, "idempotency_key").select("alert_id", "channel", "success", "status_code", *audit_row(), "idempotency_key", now.alias("created_at"))

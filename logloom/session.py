@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,3 +17,11 @@ SETTINGS = {
 
 def session(name: str = "logloom", **more: str) -> SparkSession:
     return SparkSession.builder.appName(name).config(map=SETTINGS | more).getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the folder of ``spark.checkpoint.dir``; only where none is set, in a temporary one."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/logloom-checkpoints")
+    return df.checkpoint(eager=True)
