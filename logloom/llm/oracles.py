@@ -1,3 +1,51 @@
 """DuckDB SQL with the same result as a query, where SQL can express it at the size of the whole tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from .rules import MAX_DOCS, MAX_SHARE, MIN_LEFT, MIN_WORDS, REPEAT_SHARE
+
+SPACES = r"'[\x20\x09-\x0D]+'"
+WORDS = f"list_filter(string_split_regex(COALESCE(text, ''), {SPACES}), lambda x: x <> '')"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SUBSTRING = f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+  e AS (SELECT doc_id, list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' '))) AS hs FROM d WHERE len(w) >= 50),
+  k AS (SELECT doc_id, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i FROM e),
+  m AS (SELECT h, min(doc_id) AS least FROM k GROUP BY h),
+  c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM k JOIN m USING (h) WHERE least < doc_id),
+  x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+  s AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
+  n AS (SELECT doc_id, count(*) AS gone FROM c GROUP BY doc_id)
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(gone, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+LINE = f"array_to_string(list_filter(string_split_regex({LOWER.format('line')}, {SPACES}), lambda x: x <> ''), ' ')"
+
+LINES = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS p FROM documents WHERE text IS NOT NULL),
+  f AS (SELECT doc_id, p, {LINE} AS norm FROM l WHERE {LINE} <> ''),
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM f),
+  k AS (SELECT a.doc_id, a.i, a.norm || chr(10) || b.norm || chr(10) || c.norm AS h FROM o a JOIN o b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN o c ON c.doc_id = a.doc_id AND c.i = a.i + 2),
+  m AS (SELECT h, min(doc_id * 10000000 + i) AS least FROM k GROUP BY h),
+  g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM k JOIN m USING (h) WHERE least < doc_id * 10000000 + i),
+  gone AS (SELECT doc_id, p FROM o JOIN g USING (doc_id, i)),
+  s AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS kept FROM l ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+  n AS (SELECT doc_id, count(*) AS n_lines FROM o GROUP BY doc_id), q AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+  SELECT d.doc_id, COALESCE(n_lines, 0) AS n_lines, COALESCE(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(COALESCE(kept, '')) END AS kept_sha256
+  FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id)"""
+
+RULES = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, COALESCE(source, chr(0)) AS host, {WORDS} AS w FROM documents),
+  x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+  t AS (SELECT a.doc_id, a.p, a.word || ' ' || b.word || ' ' || c.word AS h FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.p = a.p + 1 JOIN x c ON c.doc_id = a.doc_id AND c.p = a.p + 2),
+  u AS (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS k FROM t),
+  v AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS p FROM u WHERE k > 1), rw AS (SELECT doc_id, count(*) AS n_repeat_words FROM v GROUP BY doc_id),
+  l AS (SELECT doc_id, host, md5(text) AS body, unnest(string_split(text, chr(10))) AS line FROM d),
+  f AS (SELECT doc_id, host, body, line, {LINE} AS norm FROM l WHERE {LINE} <> ''),
+  dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY doc_id),
+  hd AS (SELECT host, count(DISTINCT md5(text)) AS docs FROM d GROUP BY host),
+  fr AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT body) AS n FROM f GROUP BY host, norm) JOIN hd USING (host) WHERE n > {MAX_DOCS} AND n > docs * {MAX_SHARE}),
+  rm AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS removed FROM f JOIN fr USING (host, norm) GROUP BY doc_id),
+  b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(CAST(list_sum(list_transform(w, lambda y: length(y))) AS BIGINT), 0) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words, COALESCE(CAST(removed AS BIGINT), 0) AS n_removed_words FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN rm USING (doc_id)),
+  z AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_SHARE} * n_words AS base_failed FROM b)
+  SELECT *, NOT base_failed AND NOT n_words - n_removed_words < n_words * {MIN_LEFT} AS kept FROM z"""
+
+SQL: dict[str, str] = {"op2_substring_dedup": SUBSTRING, "op5_line_dedup": LINES, "op6_quality_rules": RULES}
