@@ -1,12 +1,12 @@
 """The incident table: merging of the change stream, status lifecycle, and the checks around them.
 
 Tables are DataFrames in, DataFrames out; ``logloom.streaming`` and callers write them as versions. One active row per fingerprint
-is an invariant of ``merge``: the emits of a fingerprint are applied in order, by one fold.
+is an invariant of ``merge``, which applies the emits of a fingerprint in order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seconds_between
@@ -18,23 +18,6 @@ ROW = (
     "resolved_at timestamp, tta_seconds bigint, ttr_seconds bigint, created_at timestamp, updated_at timestamp"
 )
 COLUMNS = [x.split(" ")[0] for x in ROW.split(", ") if " " in x]
-CARRIED = ["id", "fingerprint", "title", "description", "severity", "service", "host", "occurrence_count", "first_seen", "last_seen", "error_code", "trace_id", "labels", "sample_message"]
-
-
-def _inserted(e: Column) -> Column:
-    none = {"acknowledged_at": "timestamp", "resolved_at": "timestamp", "tta_seconds": "bigint", "ttr_seconds": "bigint"}
-    made = {c: e[c] for c in CARRIED} | {"status": F.lit("open")} | {c: F.lit(None).cast(k) for c, k in none.items()} | {"created_at": e["last_seen"], "updated_at": e["last_seen"]}
-    return F.struct(*[made[c].alias(c) for c in COLUMNS])
-
-
-def _merged(row: Column, e: Column) -> Column:
-    count = F.when(e["is_new"] | (e["occurrence_count"] <= row["occurrence_count"]), row["occurrence_count"] + 1).otherwise(e["occurrence_count"])
-    kept = lambda c: F.when(F.coalesce(e[c], F.lit("")) != "", e[c]).otherwise(row[c])
-    changed = {
-        "occurrence_count": count, "last_seen": e["last_seen"], "severity": e["severity"], "status": F.when(row["status"] == "acknowledged", row["status"]).otherwise("updated"),
-        "sample_message": kept("sample_message"), "trace_id": kept("trace_id"), "updated_at": e["last_seen"],
-    }
-    return F.struct(*[changed.get(c, row[c]).alias(c) for c in COLUMNS])
 
 
 def _of_schema(df: DataFrame) -> DataFrame:
@@ -45,45 +28,43 @@ def merge(table: DataFrame | None, emits: DataFrame, order: tuple[str, ...] = ("
     """(the table after the emits, the emits as stored: with the id, count and is_new that they have after the merge).
 
     An emit without an active row is inserted (with an id of its own if the table holds its id already); others are merged.
+
+    A merge sets the count to n, or to one more than it was if the emit is new or n isn't larger: max(n, count + 1). After the
+    k-th emit it is therefore k + max(count before, largest n_j - j so far), a running maximum: nothing is gathered per fingerprint.
     """
     spark = emits.sparkSession
     table = _of_schema(table) if table is not None else spark.createDataFrame([], ROW)
-    active = table.where(F.col("status").isin(*ACTIVE)).select("fingerprint", F.struct(*COLUMNS).alias("row"))
-    item = F.struct(*order, *[F.col(c).cast("bigint").alias(c) if c == "occurrence_count" else F.col(c) for c in CARRIED], "is_new")
-    # Maps can't be ordered, so the sort looks at the order columns alone.
-    before = lambda a, b: F.when(a[order[0]] < b[order[0]], -1).when(a[order[0]] > b[order[0]], 1).when(a[order[1]] < b[order[1]], -1).otherwise(1)
-    grouped = emits.groupBy("fingerprint").agg(F.array_sort(F.collect_list(item), before).alias("items")).join(active, "fingerprint", "left")
-    taken = table.select("id").withColumn("_taken", F.lit(True))
-    grouped = grouped.withColumn("_first", F.col("items")[0]["id"]).join(taken.withColumnRenamed("id", "_first"), "_first", "left")
-    fresh = F.col("row").isNull() & F.coalesce("_taken", F.lit(False))
-    again = F.concat(F.substring(F.sha2(F.concat(F.col("_first"), F.lit("|again")), 256), 1, 8), F.substring(F.col("_first"), 9, 28))
-    start = F.struct(F.col("row").alias("row"), F.expr(f"cast(array() as array<struct<{order[0]}:bigint,{order[1]}:bigint,id:string,occurrence_count:bigint,is_new:boolean,status:string>>)").alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        row = F.when(acc["row"].isNull(), _inserted(e)).otherwise(_merged(acc["row"], e))
-        stored = F.struct(e[order[0]].alias(order[0]), e[order[1]].alias(order[1]), row["id"].alias("id"), row["occurrence_count"].alias("occurrence_count"), acc["row"].isNull().alias("is_new"), row["status"].alias("status"))
-        return F.struct(row.alias("row"), F.concat(acc["out"], F.array(stored)).alias("out"))
-
-    zero = F.struct(start["row"].cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in _split(ROW))}>").alias("row"), start["out"].alias("out"))
-    folded = grouped.withColumn("_after", F.aggregate("items", zero, step))
-    new_id = F.when(fresh, again).otherwise(F.col("_after.row.id"))
-    rows = folded.select(*[(new_id if c == "id" else F.col(f"_after.row.{c}")).alias(c) for c in COLUMNS])
-    touched = grouped.where("row is not null").select(F.col("row.id").alias("id"))
-    after = table.join(touched, "id", "left_anti").unionByName(rows)
-    stored = folded.select("fingerprint", new_id.alias("_id"), F.explode("_after.out").alias("o")).select("fingerprint", "o.*", "_id").withColumn("id", F.col("_id")).drop("_id")
+    active = table.where(F.col("status").isin(*ACTIVE)).select("fingerprint", F.struct(*COLUMNS).alias("_row"))
+    in_order = Window.partitionBy("fingerprint").orderBy(*order)
+    e = emits.join(active, "fingerprint", "left").withColumn("_k", F.row_number().over(in_order).cast("long"))
+    alone, k, given = F.col("_row").isNull(), F.col("_k"), F.col("occurrence_count").cast("long")
+    inserted = alone & (k == 1)
+    ahead = F.max(F.when(inserted | ~F.col("is_new"), given - k)).over(in_order)
+    e = e.withColumns({"_count": k + F.greatest(ahead, F.col("_row.occurrence_count")), "_first": F.first("id").over(in_order)})
+    e = e.join(table.select(F.col("id").alias("_first"), F.lit(True).alias("_taken")), "_first", "left")
+    again = F.concat(F.substring(F.sha2(F.concat(F.col("_first"), F.lit("|again")), 256), 1, 8), F.substring("_first", 9, 28))
+    status = F.when(F.col("_row.status") == "acknowledged", "acknowledged").when(inserted, "open").otherwise("updated")
+    e = e.withColumns({"_id": F.coalesce("_row.id", F.when(F.col("_taken"), again), "_first"), "_status": status})
     kept = [c for c in emits.columns if c not in ("id", "occurrence_count", "is_new", "status")]
-    return after, emits.select(*kept).join(stored, ["fingerprint", *order])
-
-
-def _split(ddl: str) -> list[str]:
-    out, depth = [""], 0
-    for ch in ddl:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += ch
-    return [x.strip() for x in out]
+    stored = e.select(*kept, F.col("_id").alias("id"), F.col("_count").alias("occurrence_count"), inserted.alias("is_new"), F.col("_status").alias("status"))
+
+    said = lambda c: F.max_by(c, F.when(F.coalesce(c, F.lit("")) != "", k))
+    lasting = ["title", "description", "service", "host", "first_seen", "error_code", "labels", "trace_id", "sample_message"]
+    g = e.groupBy("fingerprint").agg(
+        F.max_by("_row", "_k").alias("row"), F.max_by("_id", "_k").alias("id"), F.min_by(F.struct(*lasting, "last_seen"), "_k").alias("a"),
+        F.max_by(F.struct("last_seen", "severity", "_count", "_status"), "_k").alias("z"), said("trace_id").alias("trace"), said("sample_message").alias("sample"),
+    )
+    old = F.col("row").isNotNull()
+    value = {c: F.when(old, F.col(f"row.{c}")).otherwise(F.col(f"a.{c}")) for c in lasting}
+    value |= {c: F.col(f"row.{c}") for c in ("acknowledged_at", "resolved_at", "tta_seconds", "ttr_seconds")}
+    value |= {
+        "id": F.col("id"), "fingerprint": F.col("fingerprint"), "severity": F.col("z.severity"), "status": F.col("z._status"), "occurrence_count": F.col("z._count"), "last_seen": F.col("z.last_seen"),
+        "updated_at": F.col("z.last_seen"), "created_at": F.when(old, F.col("row.created_at")).otherwise(F.col("a.last_seen")),
+        "trace_id": F.coalesce("trace", value["trace_id"]), "sample_message": F.coalesce("sample", value["sample_message"]),
+    }
+    rows = g.select(*[value[c].alias(c) for c in COLUMNS])
+    touched = e.where("_row is not null").select(F.col("_row.id").alias("id")).distinct()
+    return table.join(touched, "id", "left_anti").unionByName(rows), stored
 
 
 def reopen_allowed(emits: DataFrame, table: DataFrame) -> DataFrame:
