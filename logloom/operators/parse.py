@@ -10,41 +10,47 @@ from ..functions.text import level
 RAW_CHARS = 4000
 #: Aliases of each field, in order.
 ALIASES = {
-    "level": ("$.level", "$.severity", "$.log_level"),
-    "message": ("$.message", "$.msg", "$.error", "$.text"),
-    "service": ("$.service", "$.app", "$.application", "$.labels.service"),
-    "host": ("$.host", "$.hostname", "$.pod"),
-    "error_code": ("$.error_code", "$.code"),
-    "trace_id": ("$.trace_id", "$.traceId"),
-    "timestamp": ("$.timestamp", "$['@timestamp']", "$.time"),
+    "level": ("level", "severity", "log_level"),
+    "message": ("message", "msg", "error", "text"),
+    "service": ("service", "app", "application", "$.labels.service"),
+    "host": ("host", "hostname", "pod"),
+    "error_code": ("error_code", "code"),
+    "trace_id": ("trace_id", "traceId"),
+    "timestamp": ("timestamp", "@timestamp", "time"),
 }
 DEFAULTS = {"level": "INFO", "message": "", "service": "unknown", "host": "unknown"}
 
 
-def _text(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "string")
+#: The aliases as fields of one struct, so that a record is read once; values keep their JSON text.
+FIELDS = ", ".join(f"`{n}` string" for n in dict.fromkeys(["labels", *(p for paths in ALIASES.values() for p in paths if not p.startswith("$"))]))
+#: Texts of which one can't tell whether the record has a string or something else.
+UNCLEAR = r"^(-?[0-9][0-9.eE+-]*|true|false|\[\]|\{\})$"
 
 
-def _kind(v: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def _text(j: Column, name: str) -> Column:
+    return F.get_json_object(j["labels"], "$.service") if name == "$.labels.service" else j[name]
 
 
-def _truthy(v: Column, paths: tuple[str, ...]) -> Column:
+def _kind(v: Column, name: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, name if name.startswith("$") else f"$['{name}']", "variant"))
+
+
+def _truthy(j: Column, v: Column, names: tuple[str, ...]) -> Column:
     """t (as text) and k (kind) of the first value that is anything but null, "", 0, false, [] and {}; null if there is none.
 
-    The values stand in an array, so each is read once however often the test looks at it.
+    j is the record as a struct of texts, v the same one as a variant, which is looked at only where a text's kind is unclear.
     """
-    values = F.array(*[F.struct(_text(v, p).alias("t"), _kind(v, p).alias("k")) for p in paths])
+    values = F.array(*[F.struct(_text(j, n).alias("t"), F.when(_text(j, n).rlike(UNCLEAR), _kind(v, n)).otherwise("STRING").alias("k")) for n in names])
     some = lambda x: (x["t"] != "") & ((x["k"] == "STRING") | ~x["t"].isin("0", "0.0", "false", "[]", "{}"))
     return F.get(F.filter(values, some), F.lit(0))
 
 
-def alias(v: Column, field: str) -> Column:
+def alias(j: Column, v: Column, field: str) -> Column:
     """The first truthy alias; for fields without a default the last alias counts even if it isn't truthy."""
-    paths = ALIASES[field]
+    names = ALIASES[field]
     if field in DEFAULTS:
-        return F.coalesce(_truthy(v, paths)["t"], F.lit(DEFAULTS[field]))
-    return F.coalesce(_truthy(v, paths[:-1])["t"], _text(v, paths[-1]))
+        return F.coalesce(_truthy(j, v, names)["t"], F.lit(DEFAULTS[field]))
+    return F.coalesce(_truthy(j, v, names[:-1])["t"], _text(j, names[-1]))
 
 
 def timestamp(given: Column, now: Column) -> Column:
@@ -58,32 +64,35 @@ def timestamp(given: Column, now: Column) -> Column:
     return F.when(given.isNull(), now).when(given["k"] == "STRING", stamp).otherwise(F.timestamp_micros(F.round(seconds * 1_000_000).cast("long")))
 
 
-def given_time(v: Column) -> Column:
-    return _truthy(v, ALIASES["timestamp"])
+def record(text: Column) -> Column:
+    return F.from_json(text, FIELDS)
+
+
+def given_time(j: Column, v: Column) -> Column:
+    return _truthy(j, v, ALIASES["timestamp"])
 
 
-def labels(value: Column) -> Column:
+def labels(j: Column) -> Column:
     """The labels object with its values as texts; anything else gives an empty map."""
-    got = F.from_json(F.get_json_object(value, "$.labels"), "map<string,string>")
-    return F.coalesce(got, F.create_map().cast("map<string,string>"))
+    return F.coalesce(F.from_json(j["labels"], "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
 def parse(df: DataFrame, value_col: str = "value", now: Column | None = None) -> DataFrame:
     """df with ``event`` (log_event struct, null if unparseable) and ``reason`` (null, unparseable or invalid_timestamp)."""
     now = F.current_timestamp() if now is None else now
     text = F.col(value_col).cast("string")
-    out = df.withColumn("_v", F.try_parse_json(text))
-    j = F.col("_v")
+    out = df.withColumns({"_v": F.try_parse_json(text), "_j": record(text)})
+    j, v = F.col("_j"), F.col("_v")
     # Every field is a column of its own before it is looked at twice.
     out = out.withColumns({
-        "_ok": F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)), "_given": given_time(j), "_level": level(alias(j, "level")), "_labels": labels(text),
-        **{f"_{c}": alias(j, c) for c in ("service", "host", "message", "error_code", "trace_id")},
+        "_ok": F.coalesce(F.col("_v").isNotNull() & text.rlike(r"^\s*\{"), F.lit(False)), "_given": given_time(j, v), "_level": level(alias(j, v, "level")), "_labels": labels(j),
+        **{f"_{c}": alias(j, v, c) for c in ("service", "host", "message", "error_code", "trace_id")},
     })
     out = out.withColumn("_timestamp", timestamp(F.col("_given"), now))
     reason = F.when(~F.col("_ok"), "unparseable").when(F.col("_timestamp").isNull(), "invalid_timestamp")
     names = ("timestamp", "level", "service", "host", "message", "error_code", "trace_id", "labels")
     out = out.withColumn("reason", reason).withColumn("event", F.when(F.col("reason").isNull(), F.struct(*[F.col(f"_{c}").alias(c) for c in names])))
-    return out.drop("_v", "_ok", "_given", *[f"_{c}" for c in names])
+    return out.drop("_v", "_j", "_ok", "_given", *[f"_{c}" for c in names])
 
 
 def events(parsed: DataFrame) -> DataFrame:

@@ -84,7 +84,8 @@ def ts_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = (
         F.when(k == 0, F.floor(m / 1_000_000).cast("string")).when(k == 1, F.floor(m / 1000).cast("string")).when(k == 2, form("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 3, form("yyyy-MM-dd HH:mm:ss")).when(k == 4, '""').otherwise('"1717243200"')
     )
-    got = e.select("event_id", F.try_parse_json(F.concat(F.lit('{"time":'), value, F.lit("}"))).alias("v")).select("event_id", parse.given_time(F.col("v")).alias("given"))
+    text_ = e.select("event_id", F.concat(F.lit('{"time":'), value, F.lit("}")).alias("t"))
+    got = text_.select("event_id", parse.record(F.col("t")).alias("j"), F.try_parse_json("t").alias("v")).select("event_id", parse.given_time(F.col("j"), F.col("v")).alias("given"))
     return got.select("event_id", F.unix_micros(parse.timestamp(F.col("given"), V.now())).alias("micros"))
 
 
