@@ -77,18 +77,22 @@ def labels(j: Column) -> Column:
     return F.coalesce(F.from_json(j["labels"], "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, wherever they are used."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse(df: DataFrame, value_col: str = "value", now: Column | None = None) -> DataFrame:
     """df with ``event`` (log_event struct, null if unparseable) and ``reason`` (null, unparseable or invalid_timestamp)."""
     now = F.current_timestamp() if now is None else now
     text = F.col(value_col).cast("string")
-    out = df.withColumns({"_v": F.try_parse_json(text), "_j": record(text)})
+    # Records are read, and times found, in rows of generated arrays: a filter on reason or event isn't pushed below those, where
+    # it would read the record again for each mention of it.
+    out = _once(df, _v=F.try_parse_json(text), _j=record(text))
     j, v = F.col("_j"), F.col("_v")
-    # Every field is a column of its own before it is looked at twice.
-    out = out.withColumns({
-        "_ok": F.coalesce(F.col("_v").isNotNull() & text.rlike(r"^\s*\{"), F.lit(False)), "_given": given_time(j, v), "_level": level(alias(j, v, "level")), "_labels": labels(j),
-        **{f"_{c}": alias(j, v, c) for c in ("service", "host", "message", "error_code", "trace_id")},
-    })
-    out = out.withColumn("_timestamp", timestamp(F.col("_given"), now))
+    out = _once(out, _ok=F.coalesce(v.isNotNull() & text.rlike(r"^\s*\{"), F.lit(False)), _given=given_time(j, v))
+    out = out.withColumns({"_level": level(alias(j, v, "level")), "_labels": labels(j), **{f"_{c}": alias(j, v, c) for c in ("service", "host", "message", "error_code", "trace_id")}})
+    out = _once(out, _timestamp=timestamp(F.col("_given"), now))
     reason = F.when(~F.col("_ok"), "unparseable").when(F.col("_timestamp").isNull(), "invalid_timestamp")
     names = ("timestamp", "level", "service", "host", "message", "error_code", "trace_id", "labels")
     out = out.withColumn("reason", reason).withColumn("event", F.when(F.col("reason").isNull(), F.struct(*[F.col(f"_{c}").alias(c) for c in names])))
