@@ -113,6 +113,21 @@ def recent_dispatches(dispatches: DataFrame, limit: int = RECENT) -> DataFrame:
     return dispatches.orderBy(F.desc("created_at"), F.desc("idempotency_key")).limit(limit)
 
 
+def alert_by_id(alerts: DataFrame, alert_id: str) -> DataFrame:
+    return alerts.where(F.col("id") == alert_id).limit(1)
+
+
+def dispatches_of(dispatches: DataFrame, alerts: DataFrame) -> DataFrame:
+    """The dispatch rows of some alerts; a semi-join, so alerts may be of any number."""
+    return dispatches.join(alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_semi")
+
+
+def dispatch_page(dispatches: DataFrame, alert_id: str | None = None, page: int = 1, page_size: int = 25) -> DataFrame:
+    """A page of one alert's dispatches, newest first, or without an alert of all of them."""
+    of = dispatches if alert_id is None else dispatches.where(F.col("alert_id") == alert_id)
+    return page_rows(of, [F.desc("created_at"), F.desc("idempotency_key")], page, page_size)
+
+
 def stats(alerts: DataFrame, dispatches: DataFrame) -> DataFrame:
     """One row; the table is scanned once for all counts."""
     a = alerts.agg(

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import channels, external, incidents, outbox, parse, policy, reads
+from ..operators import channels, dedup, external, incidents, metrics, outbox, parse, policy, reads
+from ..session import checkpointed
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -274,6 +275,17 @@ def outbox_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.counts(V.box(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {V.BOX}, q AS (SELECT count(*) AS n, count(*) FILTER (status IN ('pending', 'processing', 'failed')) AS w, count(*) FILTER (status = 'dead') AS d FROM box),
+  t AS (SELECT count(*) FILTER (action <> 'suppress') AS e, count(*) FILTER (action = 'suppress') AS s FROM a),
+  tried AS (SELECT channel || ':' || CASE WHEN event_id % 7 <> 0 THEN 'success' ELSE 'failure' END AS label, count(*) AS value FROM em, (VALUES ('webhook'), ('card')) v(channel) GROUP BY ALL)
+  SELECT 'emitted' AS metric, '' AS label, e AS value FROM t UNION ALL SELECT 'skipped', 'suppressed', s FROM t UNION ALL SELECT 'outbox_enqueued', '', n FROM q
+  UNION ALL SELECT 'outbox_pending', '', w FROM q UNION ALL SELECT 'outbox_dead', '', d FROM q UNION ALL SELECT 'dispatch_attempts', label, value FROM tried""")
+def pipeline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    acted = checkpointed(V.acted(spark, sf_dir, V.COARSE))  # read three times below
+    emits = dedup.emits(acted)
+    return metrics.decisions(acted).unionByName(metrics.queue(V.box(spark, sf_dir, emits))).unionByName(metrics.attempts(V.deliveries(spark, sf_dir, emits)))
+
+
 @query(f"WITH RECURSIVE {V.BOX} SELECT count(*) FILTER (status IN ('pending', 'processing', 'failed')) AS n_open, count(*) FILTER (status = 'dead') AS n_dead FROM box")
 def outbox_open_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.open_count(V.box(spark, sf_dir))
@@ -314,6 +326,11 @@ def recent_dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.recent_dispatches(V.deliveries(spark, sf_dir)).select("alert_id", "idempotency_key", _micros("created_at", "created_micros"))
 
 
+@query(f"WITH RECURSIVE {V.DELIVERIES} SELECT alert_id, idempotency_key, created_micros FROM del ORDER BY created_micros DESC, idempotency_key DESC LIMIT 40 OFFSET 80")
+def dispatch_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.dispatch_page(V.deliveries(spark, sf_dir), page=3, page_size=40).select("alert_id", "idempotency_key", _micros("created_at", "created_micros"))
+
+
 SNAP = f"{V.ALERTS}, snap AS (SELECT * FROM alerts ORDER BY last_micros DESC, id LIMIT 2000)"
 SHOWN = ("id", "title", "severity", "service", "status", "occurrence_count", "last_micros")
 LIST = ", ".join(SHOWN)

@@ -53,9 +53,9 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"first_seen": F.timestamp_micros("first_micros"), "last_seen": F.timestamp_micros("last_micros"), "description": F.col("sample_message"), "is_new": F.col("n_emits") == 1})
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dispatch audit: each emit to each channel; every seventh event's delivery fails."""
-    e = emits(spark, sf_dir, COARSE).select("id", "event_id", "micros", "occurrence_count")
+def deliveries(spark: SparkSession, sf_dir: str, given: DataFrame | None = None) -> DataFrame:
+    """Dispatch audit: each emit (given, or the coarse ones) to each channel; every seventh event's delivery fails."""
+    e = (emits(spark, sf_dir, COARSE) if given is None else given).select("id", "event_id", "micros", "occurrence_count")
     e = e.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in CHANNELS])))
     return e.select(
         F.col("id").alias("alert_id"), "channel", (F.col("event_id") % 7 != 0).cast("int").alias("success"), idempotency_key(F.col("id"), F.col("channel"), F.col("occurrence_count")).alias("idempotency_key"),
@@ -66,9 +66,9 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTBOX_STATUS = ("pending", "processing", "sent", "failed", "dead")
 
 
-def box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outbox rows of the coarse emits, with statuses, attempts and times that event numbers say."""
-    e = emits(spark, sf_dir, COARSE)
+def box(spark: SparkSession, sf_dir: str, given: DataFrame | None = None) -> DataFrame:
+    """Outbox rows of the emits (given, or the coarse ones), with statuses, attempts and times that event numbers say."""
+    e = emits(spark, sf_dir, COARSE) if given is None else given
     e = e.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in CHANNELS])))
     at = lambda k: F.timestamp_micros(F.col("micros") + (F.col("event_id") % k) * 1_000_000)
     return e.select(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incidents, outbox
+from ..operators import incidents, outbox, reads
 
 
 class Tables:
@@ -45,3 +45,18 @@ class Tables:
         box = self.read("outbox", batch)
         rows = outbox.enqueue(stored.where(incidents.should_enqueue()), self.channels, box, F.col("last_seen"))
         self.write("outbox", rows if box is None else box.unionByName(rows), batch)
+
+    def clear(self, version: int) -> dict[str, int]:
+        """Empties the tables as of a new version, and says how many rows each one had; earlier versions stay readable."""
+        had = {}
+        for name in ("incidents", "outbox", "audit"):
+            table = self.read(name, version)
+            if table is not None:
+                had[name] = table.count()
+                self.write(name, table.limit(0), version)
+        return had
+
+    def snapshot(self, rows: int) -> tuple[int, DataFrame] | None:
+        """The newest incidents and the generation that they belong to: a reader keeps them until the generation changes."""
+        found = self.versions("incidents")
+        return (found[-1], reads.snapshot(self.spark.read.parquet(f"{self.folder}/incidents/v={found[-1]}"), rows)) if found else None
