@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from logloom.llm import kernels, media, packing, pieces, pii, quality, repeats, rules, shared, simhash, token_files, tokens
+from logloom.llm import kernels, media, packing, pieces, pii, quality, repeats, rules, shared, shingles, simhash, token_files, tokens
 from logloom.llm import queries as registered
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,6 +178,47 @@ def simhash_slow(t):
     return sum(1 << b for b in range(64) if 2 * count[b] > len(shingles))
 
 
+def test_similar_texts(spark, tiny):
+    """The pipeline's stage against brute force: every pair of five-word Jaccard similarity 0.8 or more is linked, no other one."""
+    r = random.Random(8)
+    base = [[f"v{r.randrange(5000)}" for _ in range(120)] for _ in range(12)] + [[f"u{k}" for k in range(n)] for n in (0, 1, 4, 5, 6)]
+    texts = []
+    for words in base:
+        for k in range(12):
+            w = list(words)
+            for _ in range(k % 6 if len(w) > 20 else 0):
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w).upper() if k % 2 else "\n".join(w))
+    rows = [(k * 7 % 1009, t) for k, t in enumerate(texts)] + [(2000, None), (None, texts[0])]
+
+    def shingled(t):
+        w = WORD.findall(lower(t or ""))
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    sets, up = [shingled(t) for _, t in rows], list(range(len(rows)))
+    near = 0
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                near += a != b
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[root(i)] = min(least.get(root(i), doc), doc)
+    assert near > 50
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert grouped(shingles.near_texts(df), "doc_id", "component_id") == sorted(((doc, least[root(i)]) for i, (doc, _) in enumerate(rows)), key=repr)
+    kept = corpus_pipeline.near_dedup_stage(spark, df, tiny)
+    assert sorted(x.doc_id for x in kept.where("doc_id is not null").collect()) == sorted(doc for i, (doc, _) in enumerate(rows) if doc is not None and doc == least[root(i)])
+
+
 def test_near_pairs_chain(spark):
     """A chain of fingerprints one bit apart is one component, however long."""
     chain = [0]
