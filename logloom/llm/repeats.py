@@ -6,7 +6,8 @@ also occur at a smaller rank, and remove the tokens that such windows cover. Win
 * ``substring_dedup``: windows of 50 words by Rabin-Karp; the rank of a window is its doc_id.
 * ``line_dedup``: windows of ``min_lines`` lines; winnowing picks the smallest line hash of each window (the last one on ties) as
   its fingerprint, windows meet on fingerprints, and a match counts once it extends both ways over the whole window; the rank
-  is (doc_id, line number), so a run repeated within one document goes as well.
+  is (doc_id, line number), so a run repeated within one document goes as well. With ``min_words`` (the pipeline's stage: 50) a
+  shorter run that stands earlier goes too if it holds that many words: windows of fewer lines with that many words are matched too.
 
 How it runs (one lazy plan, no cache and no driver data apart from two counts):
 
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ from . import kernels as K
 PART_BYTES, CHUNK = 16 << 20, 2_500_000
 HASH_BYTES = 7
 OWNER_SHIFTS = (7, 17, 29, 41)
+#: Bits of a place that hold the number of lines, where windows differ in it.
+RUN_BITS = 4
 
 ENTRIES = "to int, kind int, n long, blob binary"
 
@@ -144,6 +148,23 @@ def line_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return row, place, h, K.mix(key)  # minima are small numbers; mixed, their first bits are even
 
 
+def line_runs(min_words: int, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of width lines, and those of fewer lines that hold min_words words; a place is (line << RUN_BITS | lines)."""
+    lh, size, _, off = K.line_word_hash(data, offsets)
+    words = np.concatenate(([0], np.cumsum(size)))
+    rows, places, hs = [], [], []
+    for w in range(1, width + 1):
+        row, place, h = K.window_hash(lh, off, w)
+        at = off[row] + place
+        ok = words[at + w] - words[at] >= (min_words if w < width else 0)
+        rows.append(row[ok])
+        places.append(place[ok] << RUN_BITS | w)
+        hs.append(K.mix(h[ok] + K.U64(w)))
+    row, place, h = (np.concatenate(x) for x in (rows, places, hs))
+    order = np.lexsort((place, row))
+    return row[order], place[order], h[order], h[order]
+
+
 Windows = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -230,9 +251,9 @@ def _decide(n: int, by_place: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
-def _covered(places: np.ndarray, width: int, n: int) -> np.ndarray:
+def _covered(places: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
     """True for the tokens of n that windows at places cover; overlapping windows merge into one interval."""
-    edge = np.zeros(n + width + 1, np.int32)
+    edge = np.zeros(n + int(np.max(width)) + 1, np.int32)
     np.add.at(edge, places, 1)
     np.add.at(edge, places + width, -1)
     return np.cumsum(edge)[:n] > 0
@@ -246,7 +267,7 @@ def remaining_words(text: str | None, places: np.ndarray | None, width: int) ->
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "surrogatepass")
 
 
-def remaining_lines(text: str | None, places: np.ndarray | None, width: int) -> tuple[int, int, str | None]:
+def remaining_lines(text: str | None, places: np.ndarray | None, width: int | np.ndarray) -> tuple[int, int, str | None]:
     if text is None:
         return 0, 0, None
     pieces = text.split("\n")
@@ -258,6 +279,12 @@ def remaining_lines(text: str | None, places: np.ndarray | None, width: int) ->
     return len(full), len(drop), "\n".join(x for i, x in enumerate(pieces) if i not in drop)
 
 
+def remaining_runs(text: str | None, places: np.ndarray | None, width: int) -> tuple[int, int, str | None]:
+    if places is None:
+        return remaining_lines(text, None, width)
+    return remaining_lines(text, places >> RUN_BITS, places & (1 << RUN_BITS) - 1)
+
+
 def _apply(width: int, finish: Callable, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, lost = [], {}
@@ -310,10 +337,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _without_repeats(docs, id_col, text_col, rest, word_windows, width, False, remaining_words, digest)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int | None = None) -> DataFrame:
     """``rest`` (the input columns other than the text), ``n`` lines with a word, ``gone`` lines deleted, ``kept`` text.
 
+    Runs of min_lines lines that stand earlier are deleted; with min_words also shorter runs of that many words.
     Lines are compared by their words with A-Z in lower case; lines without a word don't count, are kept, and don't break a run.
     """
     rest = [c for c in docs.columns if c != text_col]
-    return _without_repeats(docs, id_col, text_col, rest, line_windows, min_lines, True, remaining_lines, False)
+    if min_words is None:
+        return _without_repeats(docs, id_col, text_col, rest, line_windows, min_lines, True, remaining_lines, False)
+    if min_lines >= 1 << RUN_BITS:
+        raise ValueError(f"min_lines must be under {1 << RUN_BITS} with min_words")
+    return _without_repeats(docs, id_col, text_col, rest, partial(line_runs, min_words), min_lines, True, remaining_runs, False)

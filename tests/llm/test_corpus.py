@@ -120,6 +120,19 @@ def test_line_dedup(docs, rows, none):
     assert repeats.line_dedup(none).count() == 0
 
 
+def test_long_short_runs(spark, tiny):
+    """The pipeline's stage also deletes one or two repeated lines of 50 words or more; shorter ones stay."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 50), ("b", 24), ("c", 26)))
+    short = " ".join(f"s{k}" for k in range(49))
+    texts = [f"{a}\n{short}\n{b}\n{c}\nend", f"one\n{a.upper()}\ntwo", f"x\n{b}\n\n{c}\ny", f"{c}\n{b}", f"{short}\nz", a, f"p\nq\nr\n{a}", "0\np\nq\nr", None, ""]
+    rows = [*enumerate(texts), (None, a), (20, f"n{a}\nm\nn{a}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, df, tiny).collect()}
+    want = [texts[0], "one\ntwo", "x\n\ny", texts[3], texts[4], "", "p\nq\nr", "0", None, ""]
+    assert [got[k] for k in range(len(texts))] == want
+    assert got[None] == a and got[20] == f"n{a}\nm"
+
+
 def test_golay_code_is_perfect():
     table = simhash.codewords()
     assert (table >= 0).all() and (np.bincount(table, minlength=4096) == 2048).all()
