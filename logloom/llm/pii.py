@@ -9,7 +9,8 @@ Positions: matches are wrapped in a mark (U+0001; those of the text are first re
 the code points of the pieces are summed up, in runs of ``RUN`` pieces so that a text with very many matches stays cheap.
 
 Candidates come from generators of high recall, whose spans may overlap: ``token`` (a word with a digit, @ or =), ``number``
-(digits with separators), ``keyed`` (what follows a word like password and a colon or equals sign). Each candidate gets format
+(digits with separators), ``keyed`` (what follows a word like password and a colon or equals sign). Words are taken whole, however
+long, so that no secret's tail is left. Each candidate gets format
 features and context features (of the code points before it). Gradient boosted trees, fitted on the driver to a labelled sample that
 ``examples`` makes (at most ``EXAMPLES`` rows, features by the same expressions), become CASE expressions. On a third of the examples
 the threshold is calibrated to ``PRECISION``, and to even odds at least. Selected spans that overlap a base span or a better candidate are
@@ -40,9 +41,9 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "+"}
 KEYWORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|ssn|iban|passport|licen[cs]e no|account|dob|born|birth|phone|mobile|tel|fax|call|mail|contact"
 GENERATORS = {
-    "token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]{0,400}[0-9@=])[^\x20\x09-\x0D]{6,400}",
+    "token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@=]*+[0-9@=])[^\x20\x09-\x0D]{6,}+",
     "number": r"(?<![0-9A-Za-z+])[(]?[0-9][0-9().\x20/-]{5,40}[0-9](?![0-9A-Za-z])",
-    "keyed": r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential)s?[\x20\x09]{0,2}[:=][\x20\x09]{0,2}[^\x20\x09-\x0D]{4,200}",
+    "keyed": r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential)s?[\x20\x09]{0,2}[:=][\x20\x09]{0,2}[^\x20\x09-\x0D]{4,}+",
 }
 SPAN = "array<struct<s:int,e:int,m:string,c:string>>"
 EXAMPLES, PRECISION, SEED = 4500, 0.98, 7

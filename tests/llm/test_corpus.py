@@ -370,6 +370,17 @@ def test_pii_found_by_trees(spark):
     assert all(got[: len(good)]) and not any(got[len(good) :])
 
 
+def test_long_secrets_are_taken_whole(spark):
+    r = random.Random(5)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    pick = lambda n, a=alnum + "0123456789": "".join(r.choice(a) for _ in range(n))
+    token, late = "x" + pick(900), pick(500, alnum) + "7q" + pick(300, alnum)
+    texts = [f"see {token} end", f"password: {pick(700, alnum)}", f"see {late} end", f"token={pick(5000)} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = [x.text for x in pii.redact(df).orderBy("doc_id").collect()]
+    assert got == ["see <other> end", "<other>", "see <other> end", "<other> end"]
+
+
 def test_redaction(spark, docs):
     df = spark.createDataFrame([(1, "é😀 a@b.cd, +1 234 567 890!", "k"), (2, None, "k"), (3, "none", "k")], "doc_id int, text string, _text string")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
