@@ -240,7 +240,7 @@ def _with_spans(docs: DataFrame, text: Column) -> DataFrame:
     tests = {k: F.col("_t").rlike(h) if "[" in h else F.contains("_t", F.lit(h)) for k, h in HINTS.items()}
     none = F.expr("cast(null as array<string>)")
     df = df.withColumns({f"_p_{k}": F.when(tests[k], _pieces(F.col("_t"), p)).otherwise(none) for k, p in PATTERNS.items()})
-    maybe = F.col("_t").rlike("[0-9@=]|[Pp]ass|[Ss]ecret|[Tt]oken|[Kk]ey|[Cc]redential")
+    maybe = F.col("_t").rlike("(?i)[0-9@=]|pass|pwd|secret|token|key|credential")  # every generator's match passes it
     df = df.withColumns({f"_g_{k}": F.when(maybe, _pieces(F.col("_t"), p)).otherwise(none) for k, p in GENERATORS.items()})
     empty = F.expr(f"cast(array() as {SPAN})")
     base = {}

@@ -381,6 +381,14 @@ def test_long_secrets_are_taken_whole(spark):
     assert got == ["see <other> end", "<other>", "see <other> end", "<other> end"]
 
 
+def test_keywords_of_any_case(spark):
+    """A digit elsewhere in the text makes no difference to what is found."""
+    texts = [f"{w}: correcthorse" for w in ("PASSWORD", "Password", "SECRET", "pwd", "PWD", "TOKEN", "API_KEY", "CREDENTIAL", "passPhrase")]
+    df = spark.createDataFrame([(k, t + end) for k, t in enumerate(texts) for end in ("", " and then 7")], "doc_id int, text string")
+    got = grouped(pii.find_pii(df), "doc_id", "spans")
+    assert got[::2] == got[1::2] and any(x[1] for x in got)
+
+
 def test_redaction(spark, docs):
     df = spark.createDataFrame([(1, "é😀 a@b.cd, +1 234 567 890!", "k"), (2, None, "k"), (3, "none", "k")], "doc_id int, text string, _text string")
     got = {r.doc_id: r for r in pii.redact(df).collect()}
