@@ -8,37 +8,26 @@ which is the class ``[^\\x20\\x09-\\x0D]+`` because those bytes never occur insi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Odd multipliers of the rolling hashes: modulo 2**64 each has an inverse.
+#: Odd multipliers that spread lengths and places over a word.
 BYTE_BASE, TOKEN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: The prime of the rolling hash, its base, and tokens hashed in one pass.
+PRIME, ROLL, STEP = (1 << 61) - 1, 0x0B4E0EF37BC32127, 1 << 15
 #: Bytes hashed in one pass; bounds the working memory of a pass.
 PASS_BYTES = 2 << 20
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base & (2**64 - 1), dtype=U64)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if size <= 4 * PASS_BYTES:
-            _powers[base] = have
-    return have[:n]
-
-
-def inverse(base: int) -> int:
-    return pow(base, -1, 1 << 64)
+#: Spans of more bytes are hashed one by one.
+LONG = 512
+#: Masks that keep the first k bytes of a little-endian word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -112,25 +101,84 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, off
 
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are in order and do not overlap."""
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as a little-endian number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _span_pass(data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    lane = lanes(data)
+    h = mix(mix(size.astype(U64) * U64(TOKEN_BASE)) ^ (lane[starts] & _KEEP[np.minimum(size, 8)]))
+    at, live = 8, np.flatnonzero(size > 8)
+    while len(live):
+        if at >= LONG:
+            for i in live.tolist():
+                h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + size[i]].tobytes(), LONG)
+            break
+        h[live] = mix(h[live] * U64(BYTE_BASE) ^ (lane[starts[live] + at] & _KEEP[np.minimum(size[live] - at, 8)]))
+        at += 8
+        live = live[size[live] > at]
+    return h
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each byte span; spans are in order and do not overlap.
+
+    Eight bytes at a time are mixed in, which is a bijection for spans of equal length up to eight bytes: those never collide.
+    """
     out = np.empty(len(starts), U64)
-    at, inv = 0, inverse(base)
+    at = 0
     while at < len(starts):
         lo = int(starts[at])
         to = max(at + 1, int(np.searchsorted(ends, lo + PASS_BYTES, "right")))
-        hi = int(ends[to - 1])
-        pre = np.zeros(hi - lo + 1, U64)
-        np.cumsum((data[lo:hi].astype(U64) + U64(1)) * powers(base, hi - lo), out=pre[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        h = (pre[e] - pre[s]) * powers(inv, hi - lo + 1)[s]
-        out[at:to] = mix(h + (e - s).astype(U64) * U64(TOKEN_BASE))
+        out[at:to] = _span_pass(data[lo : int(ends[to - 1])], starts[at:to] - lo, ends[at:to] - starts[at:to])
         at = to
     return out
 
 
+def same_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """True where size bytes of lanes a from a_at are those of lanes b from b_at."""
+    out = (a[a_at] ^ b[b_at]) & _KEEP[np.minimum(size, 8)] == 0
+    at, live = 8, np.flatnonzero(out & (size > 8))
+    while len(live):
+        equal = (a[a_at[live] + at] ^ b[b_at[live] + at]) & _KEEP[np.minimum(size[live] - at, 8)] == 0
+        out[live[~equal]] = False
+        live = live[equal]
+        at += 8
+        live = live[size[live] > at]
+    return out
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & U64(PRIME)) + (x >> U64(61))
+    return np.where(x >= PRIME, x - U64(PRIME), x)
+
+
+def _times(a: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """a * (high * 2**32 + low) modulo PRIME, for numbers below PRIME."""
+    a1, a0 = a >> U64(32), a & U64(0xFFFFFFFF)
+    middle = a1 * low + a0 * high
+    least = a0 * low
+    return _fold((a1 * high << U64(3)) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << U64(32)) + (least & U64(PRIME)) + (least >> U64(61)))
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**0 .. base**(n-1) modulo PRIME, as high and low halves."""
+    out, x = [], 1
+    for _ in range(n):
+        out.append(x)
+        x = x * base % PRIME
+    full = np.array(out, U64)
+    return full >> U64(32), full & U64(0xFFFFFFFF)
+
+
 def window_hash(tokens: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rabin-Karp over token hashes: row, place in the row and hash of every run of width tokens inside a row."""
+    """Rabin-Karp modulo 2**61 - 1 over token hashes: row, place in the row and (mixed) hash of every run of width tokens inside a
+    row. For a base without regard to the texts, two different windows have the same hash with a chance of width / 2**61 at most."""
     count = np.maximum(np.diff(offsets) - width + 1, 0)
     total = int(count.sum())
     row = np.repeat(np.arange(len(count)), count)
@@ -139,25 +187,31 @@ def window_hash(tokens: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np
     place = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(offsets[:-1], count) + place
     out = np.empty(total, U64)
-    step, inv = 1 << 20, inverse(TOKEN_BASE)
-    for i in range(0, total, step):
-        a = at[i : i + step]
-        lo, hi = int(a[0]), int(a[-1]) + width
-        pre = np.zeros(hi - lo + 1, U64)
-        np.cumsum(tokens[lo:hi] * powers(TOKEN_BASE, hi - lo), out=pre[1:])
-        s = a - lo
-        out[i : i + step] = mix((pre[s + width] - pre[s]) * powers(inv, hi - lo + 1)[s])
+    up, down = _powers(ROLL, STEP + width), _powers(pow(ROLL, -1, PRIME), STEP + width)
+    cut = np.searchsorted(at, np.arange(0, int(at[-1]) + STEP + 1, STEP))
+    for lo, i, j in zip(range(0, int(at[-1]) + 1, STEP), cut[:-1].tolist(), cut[1:].tolist(), strict=False):
+        if i == j:
+            continue
+        part = _fold(tokens[lo : lo + STEP + width - 1])
+        n = len(part)
+        term = _times(part, up[0][:n], up[1][:n])
+        high, low = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+        np.cumsum(term >> U64(32), out=high[1:])
+        np.cumsum(term & U64(0xFFFFFFFF), out=low[1:])
+        s = at[i:j] - lo
+        high, low = high[s + width] - high[s], low[s + width] - low[s]
+        sums = _fold((high >> U64(29)) + ((high & U64((1 << 29) - 1)) << U64(32)) + low)
+        out[i:j] = mix(_times(sums, down[0][s], down[1][s]))
     return row, place, out
 
 
 def row_hash(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One hash of each row's whole token sequence."""
-    n = len(tokens)
-    pre = np.zeros(n + 1, U64)
-    np.cumsum(tokens * powers(TOKEN_BASE, n), out=pre[1:])
-    size = np.diff(offsets).astype(U64)
-    inv = powers(inverse(TOKEN_BASE), n + 1)
-    return mix((pre[offsets[1:]] - pre[offsets[:-1]]) * inv[offsets[:-1]] + size * U64(BYTE_BASE))
+    """One hash of each row's whole token sequence: the sum of its tokens, each mixed with its place."""
+    size = np.diff(offsets)
+    place = np.arange(len(tokens)) - np.repeat(offsets[:-1], size)
+    pre = np.zeros(len(tokens) + 1, U64)
+    np.cumsum(mix(tokens ^ mix(place.astype(U64) * U64(TOKEN_BASE) + U64(BYTE_BASE))), out=pre[1:])
+    return mix(pre[offsets[1:]] - pre[offsets[:-1]] + size.astype(U64) * U64(BYTE_BASE))
 
 
 def line_word_hash(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
