@@ -37,11 +37,36 @@ from .shared import shared_dir
 from .tokens import encoded, tokenizer_path
 
 MAGIC, BLOCK = b"S8B1", 1024
+#: Bytes of text that a shard's task reads at most, about; Spark sorts them on disk where they don't fit, and Python streams them.
+SHARD_BYTES = 512 << 20
 #: ids in a word and bits for each, by selector (fixed values of Simple-8b).
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = (1 << 60) - 1
 _COUNTS = np.array(COUNTS)
+#: The first id that each selector can't hold; the last one takes all that are left.
+_LIMITS = np.array([1 << w for w in WIDTHS[:15]], np.uint64)
+
+
+def selectors(ids: np.ndarray, block: int) -> np.ndarray:
+    """For each id of each block (a row) the selector that packs most ids from there on; blocks end with zeros that fit anything."""
+    need = np.searchsorted(_LIMITS, ids, "right").astype(np.uint8)  # the first selector that is wide enough
+    flat = np.zeros((len(need) // block, block + COUNTS[0]), np.uint8)
+    flat[:, :block] = need.reshape(-1, block)
+    flat = flat.reshape(-1)
+    best = np.full(len(flat), 15, np.uint8)
+    most, size, doubled = flat, 1, {1: flat}  # the widest of the next 1, 2, 4 ... ids
+    while 2 * size <= COUNTS[0]:
+        most = np.maximum(most[:-size], most[size:])
+        size *= 2
+        doubled[size] = most
+    for sel in range(14, -1, -1):
+        c = COUNTS[sel]
+        half = 1 << (c.bit_length() - 1)
+        run = doubled[half]
+        widest = run[: len(flat) - c + 1] if half == c else np.maximum(run[: len(flat) - c + 1], run[c - half : len(flat) - half + 1])
+        best[: len(widest)][widest <= sel] = sel
+    return best
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -49,41 +74,32 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     n = -(-len(ids) // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat = np.zeros((n, block + COUNTS[0]), np.uint64)
     padded = np.zeros(n * block, np.uint64)
     padded[: len(ids)] = ids
+    best = selectors(padded, block)
+    width = block + COUNTS[0]
+    flat = np.zeros((n, width), np.uint64)
     flat[:, :block] = padded.reshape(n, block)
-    width = flat.shape[1]
     flat = flat.reshape(-1)
-    best = np.full(len(flat), 15, np.int8)
-    for sel in range(14, -1, -1):
-        wide = flat >= np.uint64(1 << WIDTHS[sel])
-        if wide.all():
-            break
-        run = np.concatenate(([0], np.cumsum(wide, dtype=np.int32)))
-        c = COUNTS[sel]
-        best[: len(flat) - c + 1][run[c:] == run[:-c]] = sel
     at = np.arange(n) * width
     stop = at + np.minimum(block, len(ids) - np.arange(n) * block)
-    place, live = [], np.arange(n)
-    spot = at.copy()
-    owner = []
-    while len(live):
-        p = spot[live]
-        place.append(p)
-        owner.append(live)
-        spot[live] = p + _COUNTS[best[p]]
-        live = live[spot[live] < stop[live]]
-    p, b = np.concatenate(place), np.concatenate(owner)
-    order = np.argsort(p, kind="stable")
-    p, b = p[order], b[order]
+    step, begins = _COUNTS.astype(np.int32)[best], np.zeros(len(flat), dtype=bool)
+    while len(at):  # one word of every block a round
+        begins[at] = True
+        at = at + step[at]
+        more = at < stop
+        at, stop = (at, stop) if more.all() else (at[more], stop[more])
+    p = np.flatnonzero(begins)
+    b = p // width
     sel = best[p]
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in np.unique(sel).tolist():
         if WIDTHS[s]:
             which = np.flatnonzero(sel == s)
+            own, here = words[which], p[which]
             for k in range(COUNTS[s]):
-                words[which] |= np.minimum(flat[p[which] + k], np.uint64(ESCAPE)) << np.uint64(k * WIDTHS[s])
+                own |= np.minimum(flat[here + k], np.uint64(ESCAPE)) << np.uint64(k * WIDTHS[s])
+            words[which] = own
     count = np.bincount(b, minlength=n)
     large = np.flatnonzero((sel == 15) & (flat[p] >= np.uint64(ESCAPE)))
     if len(large):
@@ -232,7 +248,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
     """Writes shards in ascending doc_id order; (path, ids before it, ids in it) of each, in order."""
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body"))
     tie = F.xxhash64("body")
-    dealt = src.repartitionByRange(F.col("id"), tie).sortWithinPartitions(F.col("id"), tie)
+    spark = docs.sparkSession
+    n_bytes = src.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
+    dealt = src.repartitionByRange(n, F.col("id"), tie).sortWithinPartitions(F.col("id"), tie)
     shards = sorted(dealt.mapInArrow(_write(folder, tokenizer_path(tokenizer), uuid.uuid4().hex, end), SHARD).collect())
     out, before = [], 0
     for s in shards:
