@@ -11,8 +11,10 @@ sentencepiece package. ``build`` makes a tokenizer of it:
 The dummy prefix is put in front of the text before it is normalised. If no piece has a marker after another character, merges
 never cross from a word to a marker, and the text is cut there, so that equal words come from the library's cache.
 
-``encode_pieces`` encodes batches with the library's threads, decodes the ids again, and verifies parity: each distinct text of a
-batch is encoded by the sentencepiece package as well, and ``parity`` says whether all ids are the same.
+``encode_pieces`` encodes batches multithreaded (in Rust, one batch after another in each task, as many threads as the executor has
+tasks; ``threads`` gives a task more where it has the machine for itself), decodes the ids again, and verifies parity: each distinct
+text of a batch is encoded whole by the sentencepiece package as well, and ``parity`` says whether all ids are the same. Ids are
+decoded by gathering the bytes of their pieces; a batch whose bytes aren't UTF-8 in the end is decoded by the library.
 
 Edge cases: a null text is an empty one: no ids, and decodes to the empty string; a null doc_id stays null; repeated rows come
 out as often as they went in; extra columns are ignored.
@@ -27,6 +29,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .tokens import StretchEncoder, tokenizer_path
+from .tokens import StretchEncoder, gather, tokenizer_path
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -165,24 +168,53 @@ class PieceTokenizer:
         user = any(kind == USER for _, _, kind in m.pieces)
         #: For models whose normaliser is the marker alone, equal stretches of text are encoded once.
         self.stretches = StretchEncoder(self.tokenizer, "marked") if m.kind == BPE and m.escape_whitespaces and not (inner or user or m.charsmap or m.remove_extra_whitespaces) else None
+        raw = [bytes([int(p[3:5], 16)]) if m.byte_fallback and kind == BYTE else p.replace(MARKER, " ").encode() for p, _, kind in m.pieces]
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.begin, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
 
     def _prepared(self, text: str) -> str:
         if self.model.remove_extra_whitespaces:
             text = text.strip(" ")
         return " " + text if self.model.add_dummy_prefix and text else text
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and the n + 1 offsets of the texts."""
         if self.stretches:
-            ids, off = self.stretches.encode(*K.utf8(pa.array([self._prepared(t) for t in texts], pa.large_string())))
-            return [x.tolist() for x in np.split(ids, off[1:-1])] if texts else []
-        return self.whole(texts)
+            return self.stretches.encode(*K.utf8(pa.array([self._prepared(t) for t in texts], pa.large_string())))
+        return flattened(self.whole(texts))
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, off = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, off[1:-1])] if texts else []
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast([self._prepared(t) for t in texts], add_special_tokens=False)]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
+        """By the library, whatever the ids."""
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    def decode_flat(self, ids: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The UTF-8 of each row's text."""
+        if not len(ids) or int(ids.max()) < len(self.size):
+            flat = gather(self.bytes, self.begin[ids], self.size[ids])
+            ends = np.concatenate(([0], np.cumsum(self.size[ids])))[off]
+            raw = flat.tobytes()
+            first = [a + (self.model.add_dummy_prefix and a < b and raw[a] == 32) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            out = [raw[a:b] for a, b in zip(first, ends[1:].tolist(), strict=True)]
+            try:
+                for x in out:
+                    x.decode("utf-8")
+                return out
+            except UnicodeDecodeError:
+                pass
+        return [x.encode("utf-8", "surrogatepass") for x in self.decode([x.tolist() for x in np.split(ids, off[1:-1])])]
+
+
+def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    off = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))))
+    return np.fromiter(chain.from_iterable(found), np.uint32, int(off[-1])), off
+
 
 _open: dict[tuple[str, str], PieceTokenizer] = {}
 
@@ -198,13 +230,14 @@ def piece_tokenizer(path: str, run: str = "") -> PieceTokenizer:
 ROW = "n_tokens long, ids_crc32 long, decoded_sha256 string, parity boolean"
 
 
-def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", verify: bool = True, with_ids: bool = False) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", verify: bool = True, with_ids: bool = False, threads: int = 1) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, parity, with with_ids the ids too."""
     path, run = tokenizer_path(model), uuid.uuid4().hex
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("body"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
         code = piece_tokenizer(path, run)
         check = None
         if verify:
@@ -215,22 +248,35 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: s
             for part in K.slices(batch, "body"):
                 coded = part.column("body").dictionary_encode()
                 texts = coded.dictionary.to_pylist()
-                ids = code.encode(texts)
-                back = code.decode(ids)
-                same = [a == b for a, b in zip(ids, check.encode(texts), strict=True)] if check else [None] * len(ids)
-                flat = [np.array(x, "<u4") for x in ids]
-                of = coded.indices.to_pylist()
-                crc, sha = [zlib.crc32(x.tobytes()) for x in flat], [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]
-                columns = [pa.array([len(flat[i]) for i in of], pa.int64()), pa.array([crc[i] for i in of], pa.int64()), pa.array([sha[i] for i in of]), pa.array([same[i] for i in of], pa.bool_())]
+                ids, off = code.encode_flat(texts)
+                size = np.diff(off)
+                raw = ids.astype("<u4").tobytes()
+                crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+                sha = pa.array([hashlib.sha256(x).hexdigest() for x in code.decode_flat(ids, off)], pa.string())
+                same = pa.array(_equal(ids, off, *flattened(check.encode(texts, num_threads=threads))) if check else [None] * len(texts), pa.bool_())
+                of = coded.indices
+                at = of.to_numpy()
+                columns = [pa.array(size[at]), pa.array(crc[at]), sha.take(of), same.take(of)]
                 names = [x.split()[0] for x in ROW.split(", ")]
                 if with_ids:
-                    columns.append(pa.array([flat[i].astype(np.int32) for i in of], pa.list_(pa.int32())))
+                    own = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                    columns.append(own.take(of))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["doc_id", *names])
 
     return src.mapInArrow(go, f"doc_id {dict(src.dtypes)['id']}, {ROW}" + ", ids array<int>" * with_ids)
 
 
+def _equal(ids: np.ndarray, off: np.ndarray, other: np.ndarray, other_off: np.ndarray) -> np.ndarray:
+    """For each row whether both have the same ids."""
+    same = np.diff(off) == np.diff(other_off)
+    if same.all():
+        wrong = np.flatnonzero(ids != other)
+        same[np.searchsorted(off, wrong, "right") - 1] = False
+        return same
+    return np.array([bool(k) and np.array_equal(ids[a:b], other[c:d]) for k, a, b, c, d in zip(same, off[:-1], off[1:], other_off[:-1], other_off[1:], strict=True)])
+
+
 def decode_pieces(df: DataFrame, ids_col: str = "ids", into: str = "text", model: str = "piece_bpe_32k.model") -> DataFrame:
     """df with the text of a column of ids; null ids give null."""
     path = tokenizer_path(model)
