@@ -39,7 +39,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .repeats import line_dedup
+    from .winnow import line_dedup
 
     out = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("rest.doc_id", F.col("n").alias("n_lines"), F.col("gone").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -1,77 +1,85 @@
-r"""Removal of text that already stands earlier in the corpus: substring dedup and line dedup.
+r"""Substring dedup: words that a window of 50 words covers go if that window also starts in a document of smaller doc_id.
 
-Both cut a document into tokens (words, or lines that hold a word), hash every window of consecutive tokens, find windows that
-also occur at a smaller rank, and remove the tokens that such windows cover. Windows are judged on the input.
+Every window of consecutive words is hashed by Rabin-Karp (modulo 2**61 - 1, over 64-bit hashes of the words), the least doc_id
+of each hash is found, and the words that later occurrences cover are removed; overlapping ones merge into maximal intervals.
+Windows are judged on the input.
 
-* ``substring_dedup``: windows of 50 words by Rabin-Karp; the rank of a window is its doc_id.
-* ``line_dedup``: windows of ``min_lines`` lines; winnowing picks the smallest line hash of each window (the last one on ties) as
-  its fingerprint, windows meet on fingerprints, and a match counts once it extends both ways over the whole window; the rank
-  is (doc_id, line number), so a run repeated within one document goes as well. With ``min_words`` (the pipeline's stage: 50) a
-  shorter run that stands earlier goes too if it holds that many words: windows of fewer lines with that many words are matched too.
+How it runs (one lazy plan, no cache and no driver data apart from a count of bytes):
 
-How it runs (one lazy plan, no cache and no driver data apart from two counts):
-
-1. ``mapInArrow`` hashes chunks of documents. Within a chunk only the windows of smallest rank go on; windows that a smaller
-   rank in the same chunk already beats are decided on the spot. However often a passage occurs, a chunk sends it once, so no
+1. ``mapInArrow`` hashes chunks of documents. Within a chunk only the windows of smallest doc_id go on; windows that a smaller
+   one in the same chunk already beats are decided on the spot. However often a passage occurs, a chunk sends it once, so no
    key gathers more rows than there are chunks.
-2. ``repartitionById`` brings equal hash prefixes together, as packed blobs of 7 hash bytes and about 3 more bytes per window.
-3. A reducer sorts its hashes, and sends each window that is not of smallest rank to the partition of its document.
-4. Texts meet their decisions there, and the covered tokens are removed.
+2. ``repartitionById`` brings equal hash prefixes together, as packed blobs of 7 hash bytes and about 3 more bytes per window
+   (a row of its own for each window would be some 16 bytes after compression: over 4 times the input).
+3. A reducer sorts its hashes, and sends each window that is not of smallest doc_id to the partition of its document.
+4. Texts meet their decisions there, sorted so that decisions come first, and the covered words are removed as texts stream by.
 
-The number of partitions follows the bytes of text, so that a partition holds about ``PART_BYTES`` of them.
+A document's partition follows from its doc_id and its text, so rows that share a doc_id spread. The number of partitions follows
+the bytes of text; ``part_bytes`` makes them larger where executors have more memory, and chunks with them, so that a chunk's blob
+for a partition holds about as many windows on a large cluster as on a small one.
 
-Hashes have 64 bits (56 beside the partition's prefix): among n windows about n**2 / 2**65 pairs of different windows
-collide. Words and lines are compared by hash only.
+Windows are compared by hash only, over 61 bits: among n windows about n**2 / 2**62 pairs of different ones collide.
 
 Edge cases: a null or empty text has no windows and is returned as it is (hash of the empty string for null); a null doc_id
-neither loses windows nor makes others lose any; rows with the same doc_id never beat each other in ``substring_dedup``;
-texts with fewer tokens than a window keep everything; extra columns, whatever their names, are passed through unchanged.
+neither loses windows nor makes others lose any; rows with the same doc_id never beat each other; doc_ids that aren't numbers are
+an error, as windows are ranked by them as 64-bit numbers; texts with fewer words than a window keep everything; extra columns,
+whatever their names, are passed through unchanged.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
 
-#: Bytes of text for each partition of the two shuffles, and windows that a map task compares at once.
-PART_BYTES, CHUNK = 16 << 20, 2_500_000
+#: Bytes of text for each partition of the two shuffles, and windows that a map task compares at once, for a task that has
+#: ``TASK_BYTES`` of an executor's heap.
+PART_BYTES, CHUNK, TASK_BYTES = 16 << 20, 2_000_000, 900 << 20
 HASH_BYTES = 7
-OWNER_SHIFTS = (7, 17, 29, 41)
-#: Bits of a place that hold the number of lines, where windows differ in it.
-RUN_BITS = 4
 
 ENTRIES = "to int, kind int, n long, blob binary"
 
 
-def partitions_for(n_bytes: int, least: int = 16) -> int:
-    n = max(least, -(-n_bytes // PART_BYTES))
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([kmgt]?)b?", size.strip().lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def scale_for(spark: SparkSession) -> int:
+    """How many times TASK_BYTES a task has, at least 1."""
+    conf = spark.sparkContext.getConf()
+    heap = _bytes(conf.get("spark.executor.memory", "1g"))
+    return max(1, heap // max(1, int(conf.get("spark.executor.cores", "0") or 0) or 2) // TASK_BYTES)
+
+
+def partitions_for(n_bytes: int, part_bytes: int = PART_BYTES, least: int = 16) -> int:
+    n = max(least, -(-n_bytes // part_bytes))
     return 1 << (n - 1).bit_length()
 
 
-def _pack(doc: np.ndarray, tag: np.ndarray, row: np.ndarray, place: np.ndarray, h: np.ndarray | None) -> bytes:
+def _pack(doc: np.ndarray, rid: np.ndarray, row: np.ndarray, place: np.ndarray, h: np.ndarray | None) -> bytes:
     """Windows in order of (row, place): a table of documents, then a few bytes for each window."""
     first = np.concatenate(([True], row[1:] != row[:-1]))
     at = np.flatnonzero(first)
     step = place.copy()
     step[1:] -= np.where(first[1:], 0, place[:-1])
     head = np.array([len(at), len(row)], np.int64).tobytes()
-    parts = [head, K.planes(doc[row[at]]), K.planes(tag[row[at]]), K.planes(np.diff(np.append(at, len(row))).astype(np.int32)), K.planes(step.astype(np.int32))]
+    parts = [head, K.planes(doc[row[at]]), K.planes(rid[row[at]]), K.planes(np.diff(np.append(at, len(row))).astype(np.int32)), K.planes(step.astype(np.int32))]
     if h is not None:
         parts.append(np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]).tobytes())
     return b"".join(parts)
 
 
 def _unpack(raw: bytes, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """doc, tag, row (into doc), place, hash."""
+    """doc, rid, row (into doc), place, hash."""
     m, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     view, at = memoryview(raw), 16
 
@@ -82,7 +90,7 @@ def _unpack(raw: bytes, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at += size
         return out
 
-    doc, tag, count, step = take(np.int64, m), take(np.int32, m), take(np.int32, m), take(np.int32, n)
+    doc, rid, count, step = take(np.int64, m), take(np.int64, m), take(np.int32, m), take(np.int32, n)
     row = np.repeat(np.arange(m), count)
     run = np.cumsum(step.astype(np.int64))
     begin = np.cumsum(count) - count
@@ -93,7 +101,7 @@ def _unpack(raw: bytes, hashed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarra
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :HASH_BYTES] = np.frombuffer(raw, np.uint8, n * HASH_BYTES, at).reshape(n, HASH_BYTES)
         h = wide.view(K.U64).reshape(n)
-    return doc, tag, row, place, h
+    return doc, rid, row, place, h
 
 
 def _later(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -107,124 +115,76 @@ def _later(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranks(doc: np.ndarray, row: np.ndarray, place: np.ndarray, by_place: bool) -> np.ndarray:
-    if not by_place:
-        return doc[row]
-    dense = np.unique(doc, return_inverse=True)[1].astype(np.int64)
-    return (dense[row] << 32) | place
-
-
-def _split(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def _split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(k, indices where key is k, in order)."""
+    if not len(key):
+        return
     order = np.argsort(key.astype(np.uint32), kind="stable")
-    cut = np.searchsorted(key[order], np.arange(n + 1))
-    for k in range(n):
-        if cut[k] < cut[k + 1]:
-            yield k, order[cut[k] : cut[k + 1]]
+    there, cut = np.unique(key[order], return_index=True)
+    for k, part in zip(there.tolist(), np.split(order, cut[1:]), strict=True):
+        yield k, part
 
 
-def _owner(doc: np.ndarray, n: int) -> np.ndarray:
-    """The partition of a document; the same sum as in ``_without_repeats``."""
-    out = doc.copy()
-    for k in OWNER_SHIFTS:
-        out ^= doc >> k
-    return out % n
+def word_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, off = K.words(data, offsets)
+    return K.window_hash(K.span_hash(data, starts, ends), off, width)
 
 
-def word_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, off = K.words(data, offsets)
-    row, place, h = K.window_hash(K.span_hash(data, starts, ends), off, width)
-    return row, place, h, h
-
-
-def line_windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The key of a window is its winnowing fingerprint, the smallest line hash of the window."""
-    lh, _, _, off = K.line_word_hash(data, offsets)
-    row, place, h = K.window_hash(lh, off, width)
-    key = np.full(len(h), np.iinfo(np.uint64).max, K.U64)
-    at = off[row] + place if len(h) else np.zeros(0, np.int64)
-    for k in range(width):
-        np.minimum(key, lh[at + k], out=key)
-    return row, place, h, K.mix(key)  # minima are small numbers; mixed, their first bits are even
-
-
-def line_runs(min_words: int, data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of width lines, and those of fewer lines that hold min_words words; a place is (line << RUN_BITS | lines)."""
-    lh, size, _, off = K.line_word_hash(data, offsets)
-    words = np.concatenate(([0], np.cumsum(size)))
-    rows, places, hs = [], [], []
-    for w in range(1, width + 1):
-        row, place, h = K.window_hash(lh, off, w)
-        at = off[row] + place
-        ok = words[at + w] - words[at] >= (min_words if w < width else 0)
-        rows.append(row[ok])
-        places.append(place[ok] << RUN_BITS | w)
-        hs.append(K.mix(h[ok] + K.U64(w)))
-    row, place, h = (np.concatenate(x) for x in (rows, places, hs))
-    order = np.lexsort((place, row))
-    return row[order], place[order], h[order], h[order]
-
-
-Windows = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-
-
-def _hash_chunks(windows: Windows, width: int, n: int, by_place: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _hash_chunks(width: int, n: int, chunk: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     bits = n.bit_length() - 1
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        docs, tags, rows, places, hs, keys, base = [], [], [], [], [], [], 0
-        for doc, tag, row, place, h, key in held:
+        docs, rids, rows, places, hs, base = [], [], [], [], [], 0
+        for doc, rid, row, place, h in held:
             docs.append(doc)
-            tags.append(tag)
+            rids.append(rid)
             rows.append((row + base).astype(np.int32))
             places.append(place.astype(np.int32))
             hs.append(h)
-            keys.append(key)
             base += len(doc)
-        doc, tag, row, place, h = (np.concatenate(x) for x in (docs, tags, rows, places, hs))
-        key = h if all(a is b for a, b in zip(hs, keys, strict=True)) else np.concatenate(keys)
+        doc, rid, row, place, h = (np.concatenate(x) for x in (docs, rids, rows, places, hs))
         held.clear()
-        beaten = _later(h, _ranks(doc, row, place, by_place))
+        beaten = _later(h, doc[row])
         out: list[tuple[int, int, int, bytes]] = []
         if beaten.any():
             lost = np.flatnonzero(beaten)
-            for k, at in _split(_owner(doc[row[lost]], n), n):
+            for k, at in _split(rid[row[lost]] & n - 1):
                 at = lost[at]
-                out.append((k, 1, len(at), _pack(doc, tag, row[at], place[at], None)))
+                out.append((k, 1, len(at), _pack(doc, rid, row[at], place[at], None)))
         left = np.flatnonzero(~beaten)
-        for k, at in _split((key[left] >> K.U64(64 - bits)).astype(np.int64), n):
+        for k, at in _split((h[left] >> K.U64(64 - bits)).astype(np.int64)):
             at = left[at]
-            out.append((k, 0, len(at), _pack(doc, tag, row[at], place[at], h[at])))
-        for i in range(0, len(out), 64):
-            to, kind, size, blob = zip(*out[i : i + 64], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], ["to", "kind", "n", "blob"])
+            out.append((k, 0, len(at), _pack(doc, rid, row[at], place[at], h[at])))
+            if len(out) >= 64:
+                yield _entries(out)
+                out = []
+        if out:
+            yield _entries(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in K.slices(batch, "body"):
-                data, off = K.utf8(part.column("body"))
-                known = part.column("id").is_valid().to_numpy(zero_copy_only=False)
-                doc = part.column("id").fill_null(0).to_numpy().astype(np.int64)
-                row, place, h, key = windows(data, off, width)
-                ok = known[row]
-                if not ok.all():
-                    own = h[ok]
-                    row, place, h, key = row[ok], place[ok], own, own if key is h else key[ok]
+                row, place, h = word_windows(*K.utf8(part.column("body")), width)
                 if not len(row):
                     continue
-                held.append((doc, part.column("tag").to_numpy().astype(np.int32), row, place, h, key))
+                held.append((part.column("id").to_numpy().astype(np.int64), part.column("rid").to_numpy().astype(np.int64), row, place, h))
                 size += len(row)
-                if size >= CHUNK:
+                if size >= chunk:
                     yield from flush(held)
-                    size = 0
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
     return run
 
 
-def _decide(n: int, by_place: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _entries(out: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    to, kind, size, blob = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kind, pa.int32()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())], ["to", "kind", "n", "blob"])
+
+
+def _decide(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: list[tuple[np.ndarray, ...]] = []
         base = 0
@@ -233,27 +193,27 @@ def _decide(n: int, by_place: bool) -> Callable[[Iterator[pa.RecordBatch]], Iter
             if past.num_rows:
                 yield past.select(["to", "blob"])
             for raw in batch.filter(pc.equal(batch.column("kind"), 0)).column("blob").to_pylist():
-                doc, tag, row, place, h = _unpack(raw, True)
-                got.append((doc, tag, (row + base).astype(np.int32), place.astype(np.int32), h))
+                doc, rid, row, place, h = _unpack(raw, True)
+                got.append((doc, rid, (row + base).astype(np.int32), place.astype(np.int32), h))
                 base += len(doc)
         if not got:
             return
-        doc, tag, row, place, h = (np.concatenate(x) for x in zip(*got, strict=True))
+        doc, rid, row, place, h = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
-        lost = np.flatnonzero(_later(h, _ranks(doc, row, place, by_place)))
+        lost = np.flatnonzero(_later(h, doc[row]))
         del h
-        for k, at in _split(_owner(doc[row[lost]], n), n):
+        for k, at in _split(rid[row[lost]] & n - 1):
             at = lost[at]
             at = at[np.lexsort((place[at], row[at]))]
-            blob = _pack(doc, tag, row[at].astype(np.int64), place[at].astype(np.int64), None)
+            blob = _pack(doc, rid, row[at].astype(np.int64), place[at].astype(np.int64), None)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["to", "blob"])
 
     return run
 
 
-def _covered(places: np.ndarray, width: int | np.ndarray, n: int) -> np.ndarray:
+def _covered(places: np.ndarray, width: int, n: int) -> np.ndarray:
     """True for the tokens of n that windows at places cover; overlapping windows merge into one interval."""
-    edge = np.zeros(n + int(np.max(width)) + 1, np.int32)
+    edge = np.zeros(n + width + 1, np.int32)
     np.add.at(edge, places, 1)
     np.add.at(edge, places + width, -1)
     return np.cumsum(edge)[:n] > 0
@@ -267,85 +227,42 @@ def remaining_words(text: str | None, places: np.ndarray | None, width: int) ->
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "surrogatepass")
 
 
-def remaining_lines(text: str | None, places: np.ndarray | None, width: int | np.ndarray) -> tuple[int, int, str | None]:
-    if text is None:
-        return 0, 0, None
-    pieces = text.split("\n")
-    full = [i for i, x in enumerate(pieces) if x.strip(" \t\n\v\f\r")]
-    if places is None:
-        return len(full), 0, text
-    gone = _covered(places, width, len(full))
-    drop = {full[i] for i in np.flatnonzero(gone)}
-    return len(full), len(drop), "\n".join(x for i, x in enumerate(pieces) if i not in drop)
-
-
-def remaining_runs(text: str | None, places: np.ndarray | None, width: int) -> tuple[int, int, str | None]:
-    if places is None:
-        return remaining_lines(text, None, width)
-    return remaining_lines(text, places >> RUN_BITS, places & (1 << RUN_BITS) - 1)
-
+def _apply(width: int, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The partition's rows come sorted: all its decisions, then its texts."""
 
-def _apply(width: int, finish: Callable, digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, lost = [], {}
+        lost: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
             there = batch.column("blob").is_valid()
             for raw in batch.filter(there).column("blob").to_pylist():
-                doc, tag, row, place, _ = _unpack(raw, False)
+                doc, rid, row, place, _ = _unpack(raw, False)
                 cut = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                 for i, part in zip(cut, np.split(place.astype(np.int32), cut[1:]), strict=True):
-                    lost.setdefault((int(doc[row[i]]), int(tag[row[i]])), []).append(part)
-            docs = batch.filter(pc.invert(there))
-            if docs.num_rows:
-                texts.append(docs)
-        for batch in texts:
-            for part in K.slices(batch, "body"):
+                    lost.setdefault((int(doc[row[i]]), int(rid[row[i]])), []).append(part)
+            for part in K.slices(batch.filter(pc.invert(there)), "body"):
                 found = []
-                for doc, tag, text in zip(part.column("id").to_pylist(), part.column("tag").to_pylist(), part.column("body").to_pylist(), strict=True):
-                    places = lost.get((doc, tag))
-                    found.append(finish(text, np.concatenate(places) if places else None, width))
+                for doc, rid, text in zip(part.column("id").to_pylist(), part.column("rid").to_pylist(), part.column("body").to_pylist(), strict=True):
+                    places = lost.get((doc, rid))
+                    found.append(remaining_words(text, np.concatenate(places) if places else None, width))
                 n, gone, kept = zip(*found, strict=True)
                 if digest:
-                    kept = [hashlib.sha256((x or "").encode("utf-8", "surrogatepass")).hexdigest() for x in kept]
+                    kept = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in kept]
                 yield pa.RecordBatch.from_arrays([part.column("rest"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["rest", "n", "gone", "kept"])
 
     return run
 
 
-def _without_repeats(docs: DataFrame, id_col: str, text_col: str, rest: list[str], windows: Windows, width: int, by_place: bool, finish: Callable, digest: bool) -> DataFrame:
-    src = docs.select(
-        docs[id_col].cast("long").alias("id"),
-        docs[text_col].alias("body"),
-        F.hash(docs[text_col]).alias("tag"),
-        F.struct(*[docs[c] for c in rest]).alias("rest"),
-    )
-    n = partitions_for(src.agg(F.sum(F.octet_length("body"))).first()[0] or 0)
-    entries = src.select("id", "body", "tag").mapInArrow(_hash_chunks(windows, width, n, by_place), ENTRIES)
-    lost = entries.repartitionById(n, "to").mapInArrow(_decide(n, by_place), "to int, blob binary")
-    spread = F.coalesce("id", "tag")
-    for k in OWNER_SHIFTS:
-        spread = spread.bitwiseXOR(F.shiftright(F.coalesce("id", "tag"), k))
-    both = src.withColumn("to", F.pmod(spread, F.lit(n)).cast("int")).unionByName(lost, allowMissingColumns=True)
-    kind = dict(src.dtypes)["rest"]
-    return both.repartitionById(n, "to").mapInArrow(_apply(width, finish, digest), f"rest {kind}, n long, gone long, kept string")
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50, digest: bool = False) -> DataFrame:
-    """docs with ``kept`` (kept words joined by one space; with digest its SHA-256 in hex), ``n_words`` and ``n_removed`` in a
-    struct column ``rest`` beside the input columns: ``rest.*`` are the input columns other than the text."""
-    rest = [c for c in docs.columns if c != text_col]
-    return _without_repeats(docs, id_col, text_col, rest, word_windows, width, False, remaining_words, digest)
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int | None = None) -> DataFrame:
-    """``rest`` (the input columns other than the text), ``n`` lines with a word, ``gone`` lines deleted, ``kept`` text.
-
-    Runs of min_lines lines that stand earlier are deleted; with min_words also shorter runs of that many words.
-    Lines are compared by their words with A-Z in lower case; lines without a word don't count, are kept, and don't break a run.
-    """
-    rest = [c for c in docs.columns if c != text_col]
-    if min_words is None:
-        return _without_repeats(docs, id_col, text_col, rest, line_windows, min_lines, True, remaining_lines, False)
-    if min_lines >= 1 << RUN_BITS:
-        raise ValueError(f"min_lines must be under {1 << RUN_BITS} with min_words")
-    return _without_repeats(docs, id_col, text_col, rest, partial(line_runs, min_words), min_lines, True, remaining_runs, False)
+    """``rest`` (the input columns other than the text), ``n`` words, ``gone`` words removed, ``kept`` words joined by one space;
+    with digest the SHA-256 of these in hex."""
+    src = docs.select(
+        docs[id_col].cast("long").alias("id"), docs[text_col].alias("body"), F.xxhash64(docs[id_col], docs[text_col]).alias("rid"),
+        F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("rest"),
+    )
+    scale = scale_for(docs.sparkSession)
+    n = partitions_for(src.agg(F.sum(F.octet_length("body"))).first()[0] or 0, scale * PART_BYTES)
+    entries = src.where("id is not null").select("id", "body", "rid").mapInArrow(_hash_chunks(width, n, scale * CHUNK), ENTRIES)
+    lost = entries.repartitionById(n, "to").mapInArrow(_decide(n), "to int, blob binary")
+    both = src.withColumn("to", F.col("rid").bitwiseAND(F.lit(n - 1).cast("long")).cast("int")).unionByName(lost, allowMissingColumns=True)
+    dealt = both.repartitionById(n, "to").sortWithinPartitions(F.col("blob").isNull())
+    return dealt.mapInArrow(_apply(width, digest), f"rest {dict(src.dtypes)['rest']}, n long, gone long, kept string")
