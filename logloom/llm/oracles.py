@@ -37,11 +37,11 @@ RULES = f"""WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, COALESCE(sourc
   t AS (SELECT a.doc_id, a.p, a.word || ' ' || b.word || ' ' || c.word AS h FROM x a JOIN x b ON b.doc_id = a.doc_id AND b.p = a.p + 1 JOIN x c ON c.doc_id = a.doc_id AND c.p = a.p + 2),
   u AS (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS k FROM t),
   v AS (SELECT DISTINCT doc_id, unnest(range(p, p + 3)) AS p FROM u WHERE k > 1), rw AS (SELECT doc_id, count(*) AS n_repeat_words FROM v GROUP BY doc_id),
-  l AS (SELECT doc_id, host, md5(text) AS body, unnest(string_split(text, chr(10))) AS line FROM d),
-  f AS (SELECT doc_id, host, body, line, {LINE} AS norm FROM l WHERE {LINE} <> ''),
+  l AS (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM d),
+  f AS (SELECT doc_id, host, line, {LINE} AS norm FROM l WHERE {LINE} <> ''),
   dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY doc_id),
-  hd AS (SELECT host, count(DISTINCT md5(text)) AS docs FROM d GROUP BY host),
-  fr AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT body) AS n FROM f GROUP BY host, norm) JOIN hd USING (host) WHERE n > {MAX_DOCS} AND n > docs * {MAX_SHARE}),
+  hd AS (SELECT host, count(DISTINCT doc_id) AS docs FROM d GROUP BY host),
+  fr AS (SELECT host, norm FROM (SELECT host, norm, count(DISTINCT doc_id) AS n FROM f GROUP BY host, norm) JOIN hd USING (host) WHERE n > {MAX_DOCS} AND n > docs * {MAX_SHARE}),
   rm AS (SELECT doc_id, sum(len(string_split(norm, ' '))) AS removed FROM f JOIN fr USING (host, norm) GROUP BY doc_id),
   b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(CAST(list_sum(list_transform(w, lambda y: length(y))) AS BIGINT), 0) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words, COALESCE(CAST(removed AS BIGINT), 0) AS n_removed_words FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN rm USING (doc_id)),
