@@ -7,8 +7,8 @@ whether brightness falls from each pixel of a 9 x 8 picture to its right neighbo
 column of a DataFrame.
 
 ``text_media`` keeps any text as an image without loss: its UTF-8 bytes, filled up with zeros to a positive multiple of 64, are
-the 8-bit samples of a PGM picture 64 wide. The pictures are written as a Parquet table to the shared folder and read back;
-everything that is returned comes from the bytes read back.
+the 8-bit samples of a PGM picture 64 wide. The pictures and their NPY tiles are written as a Parquet table to the shared folder
+and read back; everything that is returned comes from the bytes read back.
 
 Edge cases: null media give null columns; bytes that aren't a readable image give null columns and a message in ``error``; a
 null text is an empty one (64 zero bytes); extra columns are passed through by ``media_columns`` and ignored by ``text_media``.
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import written
 
-UNIT = 64
+#: Samples in a row of a text's picture; pixels on a side of a tile.
+UNIT, SIDE = 64, 32
 
 
 def _header(raw: bytes, count: int) -> tuple[list[int], int]:
@@ -127,14 +128,20 @@ def _edges(size: int, target: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The exact mean of each target pixel's area, as float64; sums come from an integral image."""
+    """The exact mean of each target pixel's area, as float64.
+
+    Sums come from the integral image; of its rows only those at target edges are made, so a tall image needs no copy of itself.
+    """
     rows, columns, depth = image.shape
-    whole = np.zeros((rows + 1, columns + 1, depth))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=whole[1:, 1:])
     y, fy = _edges(rows, height)
     x, fx = _edges(columns, width)
+    cuts = np.unique(np.concatenate((y, y + 1)))
+    inner = cuts[cuts < rows]
+    bands = np.add.reduceat(image.reshape(rows, -1), inner, axis=0, dtype=np.int64).reshape(len(inner), columns, depth)
+    whole = np.zeros((len(cuts), columns + 1, depth))
+    np.cumsum(np.cumsum(bands, axis=0)[: len(cuts) - 1], axis=1, out=whole[1:, 1:])
     fy, fx = fy[:, None, None], fx[None, :, None]
-    up, down = whole[y], whole[y + 1]
+    up, down = whole[np.searchsorted(cuts, y)], whole[np.searchsorted(cuts, y + 1)]
     line = up + (down - up) * fy
     left, right = line[:, x], line[:, x + 1]
     total = left + (right - left) * fx
@@ -164,7 +171,7 @@ def tile(image: np.ndarray, side: int) -> bytes:
 COLUMNS = "height int, width int, channels int, tile binary, dhash string, error string"
 
 
-def media_columns(df: DataFrame, media_col: str, side: int = 32, into: str = "media") -> DataFrame:
+def media_columns(df: DataFrame, media_col: str, side: int = SIDE, into: str = "media") -> DataFrame:
     """df with a struct column ``into``: size, NPY tile and difference hash of each image, or what was wrong with it."""
     rest = [df[c] for c in df.columns if c != into]
     src = df.select(F.struct(*rest).alias("rest"), df[media_col].alias("raw"))
@@ -190,8 +197,8 @@ def media_columns(df: DataFrame, media_col: str, side: int = 32, into: str = "me
     return src.mapInArrow(go, f"rest {kind}, media struct<{COLUMNS.replace(' ', ':').replace(',:', ',')}>").select("rest.*", F.col("media").alias(into))
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and media: each text as the bytes of a PGM picture."""
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", side: int = SIDE) -> DataFrame:
+    """doc_id, n_bytes, media and tile: each text as the bytes of a PGM picture, and that picture's NPY tile."""
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,33 +206,43 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in K.slices(batch, "body"):
                 data, off = K.utf8(part.column("body"))
                 raw = data.tobytes()
-                media, sizes = [], []
+                media, tiles, sizes = [], [], []
                 for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
                     rows = max(1, -(-(b - a) // UNIT))
                     payload = raw[a:b] + bytes(rows * UNIT - (b - a))
                     media.append(encode_pgm(np.frombuffer(payload, np.uint8).reshape(rows, UNIT)))
+                    tiles.append(tile(decode(media[-1]), side))
                     sizes.append(b - a)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary()), pa.array(tiles, pa.binary())], ["doc_id", "n_bytes", "media", "tile"])
+
+    return src.mapInArrow(store, f"doc_id {dict(src.dtypes)['id']}, n_bytes long, media binary, tile binary")
+
 
-    return src.mapInArrow(store, f"doc_id {dict(src.dtypes)['id']}, n_bytes long, media binary")
+FOUND = {
+    "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+    "tile_shape": pa.string(), "tile_sha256": pa.string(),
+}
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """What the stored pictures hold: payload digests and the difference hash of the decoded array."""
+    """What the stored pictures and tiles hold: payload digests, the difference hash of the decoded picture, and the tile's array."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for raw in batch.column("media").to_pylist():
-                image = decode(raw)
+            for raw, npy in zip(batch.column("media").to_pylist(), batch.column("tile").to_pylist(), strict=True):
+                image, small = decode(raw), np.load(io.BytesIO(npy), allow_pickle=False)
                 payload = image.tobytes()
-                found.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(image)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)] if found else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                found.append((
+                    len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), difference_hash(image),
+                    "x".join(map(str, small.shape)), hashlib.sha256(small.tobytes()).hexdigest(),
+                ))
+            columns = [pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), FOUND.values(), strict=True)] if found else [pa.array([], k) for k in FOUND.values()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], ["doc_id", "n_bytes", *FOUND])
 
     kind = dict(stored.dtypes)["doc_id"]
-    return stored.mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    names = ", ".join(f"{c} {'string' if k == pa.string() else 'long'}" for c, k in FOUND.items())
+    return stored.mapInArrow(read, f"doc_id {kind}, n_bytes long, {names}")
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
