@@ -6,15 +6,17 @@ don't change what matches: ``(?:\G|(?<![x]))[x]++`` starts once in a run of x (l
 ``\G`` is the end of the last match), and possessive quantifiers where nothing that follows could match part of the run.
 
 Positions: matches are wrapped in a mark (U+0001; those of the text are first replaced by U+0002), the text is split at marks, and
-the code points of the pieces are summed up, in runs of ``RUN`` pieces so that a text with very many matches stays cheap.
+the code points of the pieces are summed up, in runs of ``RUN`` pieces so that a text with very many matches stays cheap. Overlaps
+are found by running maxima over sorted spans, and texts are cut in blocks of ``BLOCK`` code points, so the work for a text
+follows its length and its number of spans, not their product.
 
 Candidates come from generators of high recall, whose spans may overlap: ``token`` (a word with a digit, @ or =), ``number``
-(digits with separators), ``keyed`` (what follows a word like password and a colon or equals sign). Words are taken whole, however
-long, so that no secret's tail is left. Each candidate gets format
+(digits with separators), ``keyed`` (what follows a word like password and a colon or equals sign). Words and numbers are taken
+whole, however long, so that no secret's tail is left. Each candidate gets format
 features and context features (of the code points before it). Gradient boosted trees, fitted on the driver to a labelled sample that
 ``examples`` makes (at most ``EXAMPLES`` rows, features by the same expressions), become CASE expressions. On a third of the examples
-the threshold is calibrated to ``PRECISION``, and to even odds at least. Selected spans that overlap a base span or a better candidate are
-dropped; the rest are kind ``other``.
+the threshold is calibrated to ``PRECISION``, and to even odds at least. Candidates that overlap a base span are dropped; selected
+ones that overlap each other become one span of kind ``other``.
 
 Edge cases: a null text is an empty one: no spans; a null doc_id stays null; repeated rows come out as often as they went in;
 ``redact`` keeps extra columns, ``find_pii`` ignores them.
@@ -23,12 +25,13 @@ Edge cases: a null text is an empty one: no spans; a null doc_id stays null; rep
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARK, RUN, CONTEXT = "\x01", 256, 24
+MARK, RUN, CONTEXT, BLOCK = "\x01", 256, 24, 4096
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns, linear forms of the fixed ones.
 PATTERNS = {
@@ -42,9 +45,11 @@ HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "+"}
 KEYWORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|ssn|iban|passport|licen[cs]e no|account|dob|born|birth|phone|mobile|tel|fax|call|mail|contact"
 GENERATORS = {
     "token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@=]*+[0-9@=])[^\x20\x09-\x0D]{6,}+",
-    "number": r"(?<![0-9A-Za-z+])[(]?[0-9][0-9().\x20/-]{5,40}[0-9](?![0-9A-Za-z])",
+    "number": r"(?<![0-9A-Za-z+])[(]?[0-9]++(?![A-Za-z])(?:[().\x20/-]{1,3}+[0-9]++(?![A-Za-z]))*+",
     "keyed": r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential)s?[\x20\x09]{0,2}[:=][\x20\x09]{0,2}[^\x20\x09-\x0D]{4,}+",
 }
+#: Code points of a number that make it a candidate.
+LEAST_NUMBER = 7
 SPAN = "array<struct<s:int,e:int,m:string,c:string>>"
 EXAMPLES, PRECISION, SEED = 4500, 0.98, 7
 TREES, DEPTH, RATE, LEAF = 40, 3, 0.2, 12
@@ -54,11 +59,19 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, also where body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(size: Column) -> Column:
+    return F.sequence(F.lit(0), F.ceil(size / RUN).cast("int") - 1)
+
+
 def _spans(pieces: Column) -> Column:
     """The odd pieces with their places and the end of the piece before."""
-    runs = F.sequence(F.lit(0), F.ceil(F.size(pieces) / RUN).cast("int") - 1)
     part = lambda k: F.slice(pieces, k * RUN + 1, F.lit(RUN))
-    sums = F.transform(runs, lambda k: F.aggregate(part(k), F.lit(0), lambda a, x: a + F.char_length(x)))
+    sums = F.transform(_runs(F.size(pieces)), lambda k: F.aggregate(part(k), F.lit(0), lambda a, x: a + F.char_length(x)))
     begin = F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
     none = F.expr(f"cast(array() as {SPAN})")
 
@@ -67,12 +80,56 @@ def _spans(pieces: Column) -> Column:
         span = F.struct(acc["at"].alias("s"), end.alias("e"), x.alias("m"), F.right(acc["past"], F.lit(CONTEXT)).alias("c"))
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), x.alias("past"), F.when(acc["odd"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    def run(k: Column) -> Column:
-        zero = F.struct(F.get(begin_col, k).alias("at"), F.lit(False).alias("odd"), F.lit("").alias("past"), none.alias("out"))
+    def run(begin: Column, k: Column) -> Column:
+        zero = F.struct(F.get(begin, k).alias("at"), F.lit(False).alias("odd"), F.lit("").alias("past"), none.alias("out"))
         return F.aggregate(part(k), zero, step, lambda acc: acc["out"])
 
-    begin_col = begin
-    return F.when(F.size(pieces) > 1, F.flatten(F.transform(runs, run))).otherwise(none)
+    return F.when(F.size(pieces) > 1, _let(begin, lambda b: F.flatten(F.transform(_runs(F.size(pieces)), lambda k: run(b, k))))).otherwise(none)
+
+
+def _running_max(values: Column) -> Column:
+    """The largest value so far, for each value of an array that isn't empty."""
+    part = lambda v, k: F.slice(v, k * RUN + 1, F.lit(RUN))
+    grow = lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x)))
+    least = F.array(F.lit(-(2**31) + 1))
+
+    def all_runs(v: Column) -> Column:
+        before = F.aggregate(F.transform(_runs(F.size(v)), lambda k: F.array_max(part(v, k))), least, grow)
+        return _let(before, lambda b: F.flatten(F.transform(_runs(F.size(v)), lambda k: F.aggregate(part(v, k), F.array(F.get(b, k)), grow, lambda acc: F.slice(acc, 2, RUN)))))
+
+    return _let(values, all_runs)
+
+
+def _clear(candidates: Column, taken: Column) -> Column:
+    """The candidates that overlap none of the taken spans."""
+    fixed = F.transform(taken, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(-1).alias("k")))
+
+    def of(c: Column) -> Column:
+        merged = F.array_sort(F.concat(fixed, F.transform(c, lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), i.alias("k")))))
+
+        def kept(m: Column) -> Column:
+            ends = _running_max(F.transform(m, lambda x: F.when(x["k"] < 0, x["e"]).otherwise(0)))
+            starts = F.reverse(_running_max(F.reverse(F.transform(m, lambda x: F.when(x["k"] < 0, -x["s"]).otherwise(-(2**31) + 1)))))
+            ok = lambda e, s: F.filter(m, lambda x, i: (x["k"] >= 0) & (F.get(e, i) <= x["s"]) & (-F.get(s, i) >= x["e"]))
+            return _let(ends, lambda e: _let(starts, lambda s: ok(e, s)))
+
+        return F.transform(_let(merged, kept), lambda x: F.get(c, x["k"]))
+
+    return F.when((F.size(candidates) > 0) & (F.size(taken) > 0), _let(candidates, of)).otherwise(candidates)
+
+
+def _islands(spans: Column) -> Column:
+    """Overlapping spans (structs that begin with s and e) as one: the first one of each island, with the largest end."""
+
+    def of(x: Column) -> Column:
+        def by_ends(e: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i)["s"] >= F.get(e, i - 1)))
+            last = lambda f, j: F.get(e, F.coalesce(F.get(f, j + 1), F.size(x)) - 1)
+            return _let(first, lambda f: F.transform(f, lambda i, j: F.get(x, i).withField("e", last(f, j))))
+
+        return _let(_running_max(F.transform(x, lambda y: y["e"])), by_ends)
+
+    return F.when(F.size(spans) > 1, _let(F.array_sort(spans), of)).otherwise(spans)
 
 
 def _digits(m: Column) -> Column:
@@ -249,18 +306,15 @@ def _with_spans(docs: DataFrame, text: Column) -> DataFrame:
         base[f"_{k}"] = F.filter(spans, check) if check else spans
     df = df.withColumns(base)
     taken = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    overlaps = lambda a, b: (a["s"] < b["e"]) & (b["s"] < a["e"])
-    candidates = F.concat(*[F.coalesce(_spans(F.col(f"_g_{k}")), empty) for k in GENERATORS])
-    df = df.withColumn("_taken", taken).withColumn("_candidates", F.filter(candidates, lambda x: ~F.exists("_taken", lambda b: overlaps(x, b))))
+    found = {k: F.coalesce(_spans(F.col(f"_g_{k}")), empty) for k in GENERATORS}
+    found["number"] = F.filter(found["number"], lambda x: F.char_length(x["m"]) >= LEAST_NUMBER)
+    df = df.withColumns({"_taken": taken, "_found": F.concat(*found.values())})
+    df = df.withColumn("_candidates", _clear(F.col("_found"), F.col("_taken")))
     scored = F.transform("_candidates", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.array(*features(x)).alias("f")))
     df = df.withColumn("_scored", F.when(F.size("_candidates") > 0, scored))
-    chosen = F.filter(F.transform("_scored", lambda x: F.struct(model.column(x["f"]).alias("p"), x["s"].alias("s"), x["e"].alias("e"))), lambda x: x["p"] >= least)
-    df = df.withColumn("_chosen", chosen)
-    # Of overlapping ones the best stays, of equal ones the first and then the longest.
-    beats = lambda b, a: (b["p"] > a["p"]) | ((b["p"] == a["p"]) & ((b["s"] < a["s"]) | ((b["s"] == a["s"]) & (b["e"] > a["e"]))))
-    single = F.filter(F.array_distinct("_chosen"), lambda a: ~F.exists("_chosen", lambda b: overlaps(a, b) & beats(b, a)))
-    other = F.transform(F.array_sort(F.transform(single, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), lambda x: x)
-    return df.withColumn("_other", F.coalesce(other, F.expr("cast(array() as array<struct<s:int,e:int>>)")))
+    chosen = F.filter(F.transform("_scored", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), model.column(x["f"]).alias("p"))), lambda x: x["p"] >= least)
+    df = df.withColumn("_chosen", F.transform(chosen, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+    return df.withColumn("_other", F.coalesce(_islands(F.col("_chosen")), F.expr("cast(array() as array<struct<s:int,e:int>>)")))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,19 +334,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     src = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"))
     df = _with_spans(src, F.col("_row")[text_col])
     named = lambda k: F.transform(F.col(f"_{k}"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k")))
-    spans = F.array_sort(F.concat(*[named(k) for k in (*KINDS, "other")]))
-    df = df.withColumn("_spans", spans)
-    none = F.expr("cast(array() as array<string>)")
-    body = F.col("_row")[text_col]
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        gap = F.substr(body, acc["at"] + 1, x["s"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], F.array(gap, F.concat(F.lit("<"), x["k"], F.lit(">"))))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), out.alias("out"))
-
-    end = F.char_length(body)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    made = F.aggregate("_spans", zero, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(F.substr(body, acc["at"] + 1, F.greatest(end - acc["at"], F.lit(0))))), ""))
-    text = F.when(F.size("_spans") > 0, made).otherwise(body)
+    df = df.withColumn("_spans", _islands(F.concat(*[named(k) for k in (*KINDS, "other")])))
+    body, spans = F.col("_row")[text_col], F.col("_spans")
+    blocks = F.when(F.char_length(body) <= BLOCK, F.array(body)).otherwise(F.regexp_extract_all(body, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+    def cut(blocks: Column, a: Column, b: Column) -> Column:
+        block = lambda x: F.floor(x / BLOCK).cast("int")
+        low = lambda k: F.greatest(a - k * BLOCK, F.lit(0))
+        parts = F.transform(F.sequence(block(a), block(b - 1)), lambda k: F.substr(F.get(blocks, k), low(k) + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - low(k)))
+        return F.when(b > a, F.array_join(parts, "")).otherwise("")
+
+    def made(blocks: Column, spans: Column) -> Column:
+        past = lambda i: F.coalesce(F.get(spans, i - 1)["e"], F.lit(0))
+        return F.concat(
+            F.array_join(F.transform(spans, lambda x, i: F.concat(cut(blocks, past(i), x["s"]), F.lit("<"), x["k"], F.lit(">"))), ""),
+            cut(blocks, F.element_at(spans, -1)["e"], F.char_length(body)),
+        )
+
+    text = F.when(F.size(spans) > 0, _let(blocks, lambda b: _let(spans, lambda x: made(b, x)))).otherwise(body)
     return df.withColumn("_text", text).select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names])
