@@ -16,7 +16,8 @@ Linking at 3 or fewer differing bits, without loss:
 * Buckets hold distinct fingerprints only. Each bucket is verified by exact distance; inside a bucket pairs are looked for
   among fingerprints that agree on one of four 16-bit bands (three errors leave a band intact), so a large bucket isn't compared
   pair by pair. A task sends on only a spanning forest of the links it has found: at most as many links as fingerprints.
-* Components by alternating large-star and small-star rounds over distinct fingerprints; each round is checkpointed.
+* Components by alternating large-star and small-star rounds over distinct fingerprints; each round is checkpointed. A node with
+  very many neighbours (there can only be few) is sent to them instead of gathering them in one task.
 
 Edge cases: a null text is an empty one; rows with a null doc_id are fingerprinted and linked, but a component's id is the
 smallest doc_id that is not null (null if there is none); repeated rows come out as often as they went in; extra columns are
@@ -41,6 +42,10 @@ SEED, SHINGLE, NEAR = 42, 3, 3
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
 GENERATOR = 0xC75
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+#: A node with fewer neighbours is never a hub; hubs that are sent to all tasks at most (16 bytes each).
+HEAVY, HUBS = 200, 200_000
+#: Fingerprints in buckets (about 30 rows each) that one task of the link search holds.
+TASK_FINGERPRINTS = 100_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -193,21 +198,42 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(known[tied].view(np.int64)), pa.array(known[root[tied]].view(np.int64))], ["a", "b"])
 
 
+def _least(edges: DataFrame, heavy: int) -> tuple[DataFrame, DataFrame]:
+    """(node, m) with the smallest neighbour of each node, and of those with over heavy neighbours alone."""
+    least = checkpoint(edges.groupBy("node").agg(F.min("other").alias("m"), F.count("*").alias("degree")))
+    return least.select("node", "m"), least.where(F.col("degree") > heavy).select("node", "m")
+
+
+def _with_least(edges: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
+    """edges with m of their node. The neighbours of a hub stay where they are, as its m is sent to them."""
+    few = F.broadcast(hubs)
+    return edges.join(few, "node").unionByName(edges.join(F.broadcast(hubs.select("node")), "node", "left_anti").join(least, "node"))
+
+
+def _summary(edges: DataFrame) -> tuple:
+    """The same for the same set of edges (and for others with a chance of 2**-64)."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node that can be reached."""
     # large-star / small-star (Kiveris et al. 2014): a round hangs nodes below the smallest neighbour; ends when all are stars.
-    edges = checkpoint(edges.where("a <> b").distinct())
-    while True:
+    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = _summary(edges)
+    # Nodes with more neighbours than this are sent to all tasks: at most HUBS of them, as each has so many of the edges.
+    heavy = max(HEAVY, 2 * before[0] // HUBS)
+    while before[0]:
         both = edges.union(edges.select("b", "a")).toDF("node", "other")
-        least = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("m", "node").alias("m"))
-        large = both.join(least, "node").where("other > node").select(F.col("other").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("other"))
-        least = down.groupBy("node").agg(F.min("other").alias("m"))
-        small = down.join(least, "node").select(F.col("other").alias("a"), F.col("m").alias("b")).union(least).where("a <> b").distinct()
-        after = checkpoint(small)
-        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        edges = after
+        large = _with_least(both, *_least(both, heavy)).where("other > node").select(F.col("other").alias("node"), F.least("m", "node").alias("other")).where("node <> other")
+        down = checkpoint(large.distinct())
+        least, hubs = _least(down, heavy)
+        small = _with_least(down, least, hubs).select(F.col("other").alias("a"), F.col("m").alias("b")).union(least).where("a <> b").distinct()
+        edges = checkpoint(small)
+        after = _summary(edges)
+        if after == before:
+            break
+        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,8 +242,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"), F.xxhash64(docs[text_col]).alias("tag"))
     marked = checkpoint(src.mapInArrow(_fingerprints, f"id {dict(src.dtypes)['id']}, tag long, fp long"))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
-    n = max(1, marked.sparkSession.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = distinct.select("fp").mapInArrow(_buckets, "bucket int, fp long")
+    n = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // TASK_FINGERPRINTS))
+    buckets = distinct.select("fp").repartition(n).mapInArrow(_buckets, "bucket int, fp long")
     links = buckets.repartition(n, "bucket").mapInArrow(_links, "a long, b long")
     tree = components(spark, links)
     # Only fingerprints with a near one are in the tree; the others are their own component.
