@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (as in tests on one machine) a folder of our own."""
+    """The folder of spark.checkpoint.dir; only where that is unset and all runs on one machine (as in tests) a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         set_one = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_one.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = set_one.get() if set_one.isDefined() else f"file://{tempfile.gettempdir()}/logloom-checkpoints"
     return folder.rstrip("/")
 
