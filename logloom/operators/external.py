@@ -54,8 +54,13 @@ def _without(m: Column, other: Column) -> Column:
     return F.map_filter(m, lambda k, v: ~F.array_contains(F.map_keys(other), k))
 
 
-def range_entries(answers: DataFrame, value_col: str = "value") -> DataFrame:
-    """answers' JSON texts to log_event rows (with source and line), malformed entries left out."""
+def range_entries(answers: DataFrame, value_col: str = "value", now: Column | None = None, in_order: bool = False) -> DataFrame:
+    """answers' JSON texts to log_event rows (with source, line and raw), malformed entries left out.
+
+    A time that can't be read is now. raw is the record as it came: a JSON line as it is, another one with its stream's labels.
+    With in_order rows are sorted by time, which only a reader of single answers needs.
+    """
+    now = F.current_timestamp() if now is None else now
     got = answers.select(F.from_json(F.col(value_col), RANGE_ANSWER).alias("a")).select(F.explode("a.data.result").alias("s"))
     rows = got.select(present(F.col("s.stream")).alias("stream"), F.explode("s.values").alias("pair")).where(F.size("pair") >= 2)
     rows = rows.select("stream", F.col("pair")[0].alias("ts_ns"), F.col("pair")[1].alias("line"))
@@ -66,18 +71,20 @@ def range_entries(answers: DataFrame, value_col: str = "value") -> DataFrame:
     inner = F.col("n").isNotNull()
     extra = F.when(inner, present(F.from_json(F.get_json_object("line", "$.labels"), "map<string,string>"))).otherwise(F.create_map().cast("map<string,string>"))
     exact = lambda keys: F.coalesce(*[F.try_element_at("stream", F.lit(k)) for k in keys])
-    stamp = F.coalesce(F.when(inner, F.try_to_timestamp(some(TIME_KEYS))), epoch_guess(F.col("ts_ns").try_cast("decimal(38,0)")))
+    stamp = F.coalesce(F.when(inner, F.try_to_timestamp(some(TIME_KEYS))), epoch_guess(F.col("ts_ns").try_cast("decimal(38,0)")), now)
+    raw = F.when(inner, F.col("line")).otherwise(F.to_json(F.struct("line", F.col("stream").alias("labels"))))
     labels = merged(F.col("stream"), extra)
     labels = F.when(F.array_contains(F.map_keys(labels), "source"), labels).otherwise(F.map_concat(labels, F.create_map(F.lit("source"), F.lit(RANGE_SOURCE))))
-    return rows.select(
+    out = rows.select(
         stamp.alias("timestamp"), F.upper(F.coalesce(F.when(inner, F.coalesce(*[text(k) for k in LEVEL_KEYS])), pick(F.col("stream"), LEVEL_KEYS), F.lit("INFO"))).alias("level"),
         F.coalesce(F.when(inner, some(SERVICE_KEYS)), pick(F.col("stream"), SERVICE_KEYS), F.lit("unknown")).alias("service"),
         F.coalesce(F.when(inner, some(HOST_KEYS)), pick(F.col("stream"), HOST_KEYS), F.lit("unknown")).alias("host"),
         F.coalesce(F.when(inner, some(MESSAGE_KEYS)), F.col("line"), F.lit("")).alias("message"),
         F.when(inner, F.coalesce(*[text(k) for k in CODE_KEYS])).otherwise(exact(CODE_KEYS)).alias("error_code"),
         F.when(inner, F.coalesce(*[text(k) for k in TRACE_KEYS])).otherwise(exact(TRACE_KEYS)).alias("trace_id"),
-        labels.alias("labels"), F.lit(RANGE_SOURCE).alias("source"), "ts_ns", "line",
+        labels.alias("labels"), F.lit(RANGE_SOURCE).alias("source"), "ts_ns", "line", raw.alias("raw"),
     )
+    return out.orderBy("timestamp", "ts_ns", "line") if in_order else out
 
 
 def alert_level(severity: Column, firing: Column) -> Column:

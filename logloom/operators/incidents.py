@@ -10,13 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import seconds_between
-from ..model import ACTIVE, SETTABLE
+from ..model import ACTIVE, ALERT_ROW, SETTABLE
 
-ROW = (
-    "id string, fingerprint string, title string, description string, severity string, service string, host string, status string, occurrence_count bigint, "
-    "first_seen timestamp, last_seen timestamp, error_code string, trace_id string, labels map<string,string>, sample_message string, acknowledged_at timestamp, "
-    "resolved_at timestamp, tta_seconds bigint, ttr_seconds bigint, created_at timestamp, updated_at timestamp"
-)
+ROW = ALERT_ROW.lower()
 COLUMNS = [x.split(" ")[0] for x in ROW.split(", ") if " " in x]
 
 
@@ -102,10 +98,14 @@ def with_status(table: DataFrame, new: Column, now: Column, when: Column | None
     return table.withColumns({c: F.when(when, v).otherwise(F.col(c)) for c, v in changed.items()})
 
 
-def set_status(table: DataFrame, alert_id: str, status: str, now: Column | None = None) -> DataFrame:
-    """An operator's action on one incident; ValueError for statuses that operators can't set, or a second active row."""
+def check_settable(status: str) -> None:
     if status not in SETTABLE:
         raise ValueError(f"status must be one of {', '.join(SETTABLE)}")
+
+
+def set_status(table: DataFrame, alert_id: str, status: str, now: Column | None = None) -> DataFrame:
+    """An operator's action on one incident; ValueError for statuses that operators can't set, or a second active row."""
+    check_settable(status)
     if status in ACTIVE:
         one = table.where(F.col("id") == alert_id).select("fingerprint", F.col("id").alias("_own"))
         rival = table.where(F.col("status").isin(*ACTIVE)).join(one, "fingerprint").where("id <> _own")

@@ -45,6 +45,11 @@ def claim(outbox: DataFrame, now: Column, batch: int = BATCH, key: str = "idempo
     return picked.withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "updated_at": now})
 
 
+def released(outbox: DataFrame, now: Column, seconds: int = STALE_SECONDS) -> DataFrame:
+    """The stale rows alone, pending again: all of them, whether or not the next claim takes them."""
+    return release_stale(outbox.where((F.col("status") == "processing") & (F.col("updated_at") < later(now, -seconds))), now, seconds)
+
+
 def apply_rows(outbox: DataFrame, changed: DataFrame, key: str = "idempotency_key") -> DataFrame:
     return outbox.join(changed.select(key), key, "left_anti").unionByName(changed)
 
@@ -122,6 +127,6 @@ def deliver(claimed: DataFrame, audit: DataFrame, senders: dict[str, Send], now:
     # Kept, so that nothing is sent again when the result is read twice.
     got = checkpointed(todo.mapInPandas(send, "idempotency_key string, success int, status_code int, response_body string, error_message string"))
     done = mark(todo.join(got, "idempotency_key"), F.col("success") == 1, F.col("error_message"), now, **limits).select(*names)
-    skipped = mark(sent, F.lit(True), F.lit(None).cast("string"), now).select(*names)
+    skipped = mark(sent, F.lit(True), F.lit(None).cast("string"), now, **limits).select(*names)
     log = todo.join(got, "idempotency_key").select("alert_id", "channel", "success", "status_code", *audit_row(), "idempotency_key", now.alias("created_at"))
     return done.unionByName(skipped), log

@@ -60,10 +60,24 @@ def timestamp(given: Column, now: Column) -> Column:
     """
     text, number = given["t"], given["t"].try_cast("double")
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
-    stamp = F.when(text.rlike("^[0-9]{4}-"), F.try_to_timestamp(text))
+    full = F.when(text.rlike("^[0-9]{4}-"), text).when(text.rlike(BASIC), _extended(text))
+    stamp = F.try_to_timestamp(F.regexp_replace(full, "T([0-9]{2}:[0-9]{2})(?=$|Z|[+-])", "T$1:00"))
     return F.when(given.isNull(), now).when(given["k"] == "STRING", stamp).otherwise(F.timestamp_micros(F.round(seconds * 1_000_000).cast("long")))
 
 
+#: ISO 8601 in its basic form, without marks between the parts.
+BASIC = r"^[0-9]{8}(T[0-9]{2}([0-9]{2}([0-9]{2}([.,][0-9]{1,6})?)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?)?$"
+
+
+def _extended(text: Column) -> Column:
+    """The extended form of a timestamp in basic form."""
+    out = F.regexp_replace(text, "^([0-9]{4})([0-9]{2})([0-9]{2})", "$1-$2-$3")
+    out = F.regexp_replace(out, "T([0-9]{2})(?=$|Z|[+-])", "T$1:00")
+    out = F.regexp_replace(out, "T([0-9]{2})([0-9]{2})(?![0-9])", "T$1:$2")
+    out = F.regexp_replace(out, "T([0-9]{2})([0-9]{2})([0-9]{2})", "T$1:$2:$3")
+    return F.regexp_replace(F.regexp_replace(out, "([+-][0-9]{2}):?([0-9]{2})$", "$1:$2"), "(T.*[+-][0-9]{2})$", "$1:00")
+
+
 def record(text: Column) -> Column:
     return F.from_json(text, FIELDS)
 
@@ -85,6 +99,8 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 def parse(df: DataFrame, value_col: str = "value", now: Column | None = None) -> DataFrame:
     """df with ``event`` (log_event struct, null if unparseable) and ``reason`` (null, unparseable or invalid_timestamp)."""
     now = F.current_timestamp() if now is None else now
+    # Of a key that an object has twice, the last value counts, in both readers.
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     text = F.col(value_col).cast("string")
     # Records are read, and times found, in rows of generated arrays: a filter on reason or event isn't pushed below those, where
     # it would read the record again for each mention of it.
@@ -108,6 +124,11 @@ def dead_letters(parsed: DataFrame, value_col: str = "value") -> DataFrame:
     return parsed.where("reason is not null").select(*[c for c in parsed.columns if c not in ("event", "reason", value_col)], "reason", F.substring(F.col(value_col).cast("string"), 1, RAW_CHARS).alias("payload"))
 
 
+def unwired(df: DataFrame, value_col: str = "value", now: Column | None = None) -> DataFrame:
+    """log_event rows of the records of a log topic."""
+    return events(parse(df.select(F.col(value_col).alias("value")), now=now))
+
+
 def wire(df: DataFrame) -> DataFrame:
     """key and value of the records that a log topic takes."""
     return df.select(F.coalesce("service", F.lit("unknown")).alias("key"), F.to_json(F.struct("*")).alias("value"))

@@ -92,7 +92,17 @@ def page_from_offset(limit: int, offset: int) -> tuple[int, int]:
 
 
 def alerts_page(alerts: DataFrame, page: int = 1, page_size: int = 25, rows: int = SNAPSHOT_ROWS, **filters) -> DataFrame:
-    return page_rows(filtered(snapshot(alerts, rows), **filters), [F.desc("last_seen"), "id"], page, page_size)
+    shown = filtered(snapshot(alerts, rows), **filters)
+    newest = F.coalesce("last_seen", "first_seen") if "first_seen" in shown.columns else F.col("last_seen")
+    return page_rows(shown, [F.desc(newest), "id"], page, page_size)
+
+
+def view(table: DataFrame) -> DataFrame:
+    """Stored rows as readers see them: labels from their JSON text (nothing readable: none), and defaults where a value is missing."""
+    kind = dict(table.dtypes)["labels"]
+    labels = F.from_json("labels", "map<string,string>") if kind == "string" else F.col("labels")
+    filled = {"labels": F.coalesce(labels, F.create_map().cast("map<string,string>")), "occurrence_count": F.coalesce("occurrence_count", F.lit(0)), **{c: F.coalesce(c, F.lit("")) for c in ("title", "sample_message")}}
+    return table.withColumns(filled)
 
 
 def dispatch_counts(dispatches: DataFrame) -> DataFrame:
@@ -146,10 +156,14 @@ def widgets(table: DataFrame) -> DataFrame:
     return table.orderBy("sort_order", "title")
 
 
-def save_widget(table: DataFrame, row: DataFrame) -> DataFrame:
-    """Insert or replace by id; a widget needs a label."""
+def check_widget(row: DataFrame) -> None:
     if not row.where(F.size("labels") < 1).isEmpty():
         raise ValueError("a widget needs at least one label")
+
+
+def save_widget(table: DataFrame, row: DataFrame) -> DataFrame:
+    """Insert or replace by id; a widget needs a label."""
+    check_widget(row)
     return table.join(row.select("id"), "id", "left_anti").unionByName(row)
 
 

@@ -13,16 +13,22 @@ PREFIX = "LOGLOOM_"
 class Settings:
     """Each field is read from LOGLOOM_<NAME>; lists are comma-separated."""
 
+    source: str = "auto"
     input_path: str = ""
+    files_per_batch: int = 1000
+    topic_servers: str = ""
+    topic: str = "logs"
     tables: str = ""
     checkpoint: str = ""
     policy_paths: tuple[str, ...] = ()
-    channels: tuple[str, ...] = ()
+    channels: tuple[str, ...] = ("webhook",)
+    addresses: tuple[str, ...] = ()
     outbox_batch: int = 50
     max_attempts: int = 8
     stale_seconds: int = 120
     snapshot_rows: int = 2000
     range_url: str = ""
+    range_query: str = '{job=~".+"}'
     range_seconds: int = 15
     range_lookback: int = 60
     range_limit: int = 1000
@@ -32,6 +38,10 @@ class Settings:
             value = getattr(self, f.name)
             if isinstance(value, int) and value < 1:
                 raise ValueError(f"{f.name} must be at least 1, not {value}")
+        if self.source not in ("auto", "files", "topic", "range"):
+            raise ValueError("source must be files, topic, range or auto")
+        if any("=" not in x for x in self.addresses):
+            raise ValueError("addresses must be channel=address pairs")
         if self.range_url and not self.range_url.startswith(("http://", "https://")):
             raise ValueError("range_url must be an http or https address")
 

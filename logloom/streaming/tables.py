@@ -1,62 +1,261 @@
-"""Incident and outbox tables kept up to date from a stream of emits: a version of each table per batch.
+"""Incident, outbox, audit and widget tables in one folder, with a commit log: the stream and operators both write to them.
 
-A version is a folder ``v=<batch>``; a batch that runs again after a failure writes the same folder from the version before it, so
-repeating it changes nothing.
+Each commit has a sequence number of its own. It appends the rows that it changes (``<table>/seq=<n>``, a deleted row as its key with
+``_gone``) and then creates ``_log/<n>.json``, which names the folders that belong to it. A reader looks at committed folders alone, so
+a commit is there as a whole or not at all: incidents and the outbox rows that they cause can't part. Of a key's rows the newest
+counts. Creating a log entry fails if it is there already; then another writer was first, and the change is made again on top
+of its commit.
+
+A log entry is as atomic as the file system's rename. A stream's batch carries its number in the commit, and a batch that is found in the log isn't applied again; a batch that failed
+before its log entry leaves folders that nobody reads, and are overwritten.
+
+``clear`` hides everything before it, for good. ``compact`` writes each table's newest rows to one folder, from where readers begin;
+``vacuum`` then deletes older folders.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import time
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import ALERT_ROW, DISPATCH, OUTBOX
 from ..operators import incidents, outbox, reads
 
+WIDGET = "id STRING, title STRING, labels ARRAY<STRUCT<key: STRING, value: STRING>>, status_filter STRING, sort_order INT, created_at TIMESTAMP, updated_at TIMESTAMP"
+#: Key and schema of each table; the audit is only appended to.
+SCHEMAS = {"incidents": ("id", ALERT_ROW), "outbox": ("idempotency_key", OUTBOX), "audit": (None, DISPATCH), "widgets": ("id", WIDGET)}
+CLEARED = ("incidents", "outbox", "audit")
+COMPACT_EVERY, TRIES = 50, 20
+
+
+class Conflict(Exception):
+    """Another writer has made the commit with this number."""
+
 
 class Tables:
-    def __init__(self, spark: SparkSession, folder: str, channels: Sequence[str] = ("webhook",)) -> None:
-        self.spark, self.folder, self.channels = spark, folder.rstrip("/"), list(channels)
-
-    def versions(self, name: str) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(f"{self.folder}/{name}")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [str(s.getPath().getName()) for s in fs.listStatus(path) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(x[2:]) for x in done if x.startswith("v="))
-
-    def read(self, name: str, before: int | None = None) -> DataFrame | None:
-        found = [v for v in self.versions(name) if before is None or v < before]
-        return self.spark.read.parquet(f"{self.folder}/{name}/v={found[-1]}") if found else None
-
-    def write(self, name: str, df: DataFrame, version: int) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
-        return self.spark.read.parquet(f"{self.folder}/{name}/v={version}")
-
-    def apply(self, emits: DataFrame, batch: int) -> None:
-        """One batch: reopen policy, merge into incidents, outbox rows of what may be sent."""
-        table = self.read("incidents", batch)
-        if table is not None:
-            emits = incidents.reopen_allowed(emits, table).where("reason is null").drop("reason")
-        after, stored = incidents.merge(table, emits)
-        self.write("incidents", after, batch)
-        box = self.read("outbox", batch)
-        rows = outbox.enqueue(stored.where(incidents.should_enqueue()), self.channels, box, F.col("last_seen"))
-        self.write("outbox", rows if box is None else box.unionByName(rows), batch)
-
-    def clear(self, version: int) -> dict[str, int]:
-        """Empties the tables as of a new version, and says how many rows each one had; earlier versions stay readable."""
-        had = {}
-        for name in ("incidents", "outbox", "audit"):
-            table = self.read(name, version)
-            if table is not None:
-                had[name] = table.count()
-                self.write(name, table.limit(0), version)
+    def __init__(self, spark: SparkSession, folder: str, channels: Sequence[str] = ("webhook",), compact_every: int = COMPACT_EVERY) -> None:
+        self.spark, self.folder, self.channels, self.compact_every = spark, folder.rstrip("/"), list(channels), compact_every
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _path(self, name: str):
+        return self._hadoop.Path(f"{self.folder}/{name}" if name else self.folder)
+
+    # The log
+
+    def generation(self) -> int:
+        """The number of the newest commit; 0 before the first one."""
+        log = self._path("_log")
+        if not self._fs.exists(log):
+            return 0
+        return max((int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(log) if s.getPath().getName().endswith(".json")), default=0)
+
+    def entry(self, seq: int) -> dict:
+        """What is there after commit seq: for each table its folders in order, and the batches that have been applied."""
+        if not seq:
+            return {"tables": {name: [] for name in SCHEMAS}, "batches": {}}
+        stream = self._fs.open(self._path(f"_log/{seq:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _record(self, seq: int, entry: dict) -> None:
+        """Whole entries only: written under another name, which then becomes the entry's, if nobody has made it."""
+        target, made = self._path(f"_log/{seq:012d}.json"), self._path(f"_log/.{seq:012d}-{time.time_ns()}")
+        self._fs.mkdirs(self._path("_log"))
+        stream = self._fs.create(made, True)
+        stream.write(bytearray(json.dumps(entry).encode()))
+        stream.close()
+        if self._fs.exists(target) or not self._fs.rename(made, target):
+            self._fs.delete(made, False)
+            raise Conflict(seq)
+
+    # Reading
+
+    def rows(self, name: str, at: int | None = None) -> DataFrame:
+        """All committed row versions of a table with ``_seq`` and ``_gone``."""
+        folders = self.entry(self.generation() if at is None else at)["tables"][name]
+        schema = f"{SCHEMAS[name][1]}, _gone BOOLEAN"
+        parts = [self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/seq={n}").withColumn("_seq", F.lit(n)) for n in folders]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], f"{schema}, _seq INT")
+
+    def read(self, name: str, at: int | None = None) -> DataFrame:
+        """A table as of a commit, by default the newest one: of each key the newest row, without deleted ones."""
+        found, key = self.rows(name, at), SCHEMAS[name][0]
+        columns = [c for c in found.columns if c not in ("_seq", "_gone")]
+        if key:
+            newest = found.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*columns, "_gone"), "_seq").alias("r"))
+            found = newest.select("r.*")
+        return found.where("_gone is not true").select(*columns)
+
+    def snapshot(self, rows: int) -> tuple[int, DataFrame]:
+        """The generation, and the newest incidents as of it: a reader keeps them until the generation changes."""
+        now = self.generation()
+        return now, reads.snapshot(self.read("incidents", now), rows)
+
+    # Writing
+
+    def commit(self, change: Callable[[int], dict[str, DataFrame]], batch: tuple[str, int] | None = None, hide: Sequence[str] = ()) -> int:
+        """Applies a change, a function from the generation that it builds on to changed rows by table, and gives the new generation.
+
+        Columns that a change doesn't have are null; ``hide`` names tables whose earlier rows are to be gone.
+        """
+        for _ in range(TRIES):
+            base = self.generation()
+            entry = self.entry(base)
+            if batch and entry["batches"].get(batch[0], -1) >= batch[1]:
+                return base
+            seq = base + 1
+            for name in hide:
+                entry["tables"][name] = []
+            for name, df in change(base).items():
+                self._append(name, df, seq)
+                entry["tables"][name].append(seq)
+            if batch:
+                entry["batches"][batch[0]] = batch[1]
+            try:
+                self._record(seq, entry)
+            except Conflict:
+                continue
+            if self.compact_every and any(len(x) > self.compact_every for x in entry["tables"].values()):
+                return self.compact()
+            return seq
+        raise Conflict(f"no commit after {TRIES} tries")
+
+    def _append(self, name: str, df: DataFrame, seq: int) -> None:
+        kinds = self.spark.createDataFrame([], f"{SCHEMAS[name][1]}, _gone BOOLEAN").schema
+        have = set(df.columns)
+        columns = [(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds.fields]
+        df.select(*columns).write.mode("overwrite").parquet(f"{self.folder}/{name}/seq={seq}")
+
+    def compact(self) -> int:
+        """A commit in which each table is one folder; a table of up to one folder is left as it is."""
+        for _ in range(TRIES):
+            base = self.generation()
+            entry, seq = self.entry(base), base + 1
+            for name in [n for n, x in entry["tables"].items() if len(x) > 1]:
+                self._append(name, self.read(name, base), seq)
+                entry["tables"][name] = [seq]
+            try:
+                self._record(seq, entry)
+                return seq
+            except Conflict:
+                continue
+        raise Conflict(f"no compaction after {TRIES} tries")
+
+    def vacuum(self) -> int:
+        """Deletes the folders that the newest commit doesn't need; readers of older generations lose theirs. Their number."""
+        now = self.generation()
+        entry, gone = self.entry(now), 0
+        for name in SCHEMAS:
+            if self._fs.exists(self._path(name)):
+                for s in self._fs.listStatus(self._path(name)):
+                    n = int(s.getPath().getName()[4:])
+                    if n <= now and n not in entry["tables"][name]:
+                        self._fs.delete(s.getPath(), True)
+                        gone += 1
+        return gone
+
+    # The stream's batches
+
+    def apply(self, emits: DataFrame, batch: int, name: str = "dedup") -> int:
+        """One batch: reopen policy, merge into the incidents of its fingerprints, outbox rows of what may be sent; one commit."""
+
+        def change(base: int) -> dict[str, DataFrame]:
+            table, box = self.read("incidents", base), self.read("outbox", base)
+            allowed = incidents.reopen_allowed(emits, table).where("reason is null").drop("reason")
+            near = table.join(allowed.select("fingerprint").distinct(), "fingerprint", "left_semi")
+            after, stored = incidents.merge(near, allowed)
+            rows = outbox.enqueue(stored.where(incidents.should_enqueue()), self.channels, box, F.col("last_seen"))
+            return {"incidents": after, "outbox": rows}
+
+        return self.commit(change, (name, batch))
+
+    # Operators' writes
+
+    def set_status(self, alert_id: str, status: str, now: Column | None = None) -> DataFrame | None:
+        """The incident after an operator's action; None if there is none with this id."""
+
+        def change(base: int) -> dict[str, DataFrame]:
+            return {"incidents": incidents.set_status(self.read("incidents", base), alert_id, status, now).where(F.col("id") == alert_id)}
+
+        if self.read("incidents").where(F.col("id") == alert_id).isEmpty():
+            incidents.check_settable(status)
+            return None
+        self.commit(change)
+        return self.read("incidents").where(F.col("id") == alert_id)
+
+    def resolve_fingerprint(self, fingerprint: str, now: Column | None = None) -> int:
+        """Resolves the active incidents of a fingerprint; how many there were."""
+        mine = incidents.active_rows(self.read("incidents")).where(F.col("fingerprint") == fingerprint)
+        n = mine.count()
+        if n:
+            self.commit(lambda base: {"incidents": incidents.resolve_fingerprint(incidents.active_rows(self.read("incidents", base)).where(F.col("fingerprint") == fingerprint), fingerprint, now)})
+        return n
+
+    def clear(self) -> dict[str, int]:
+        """Empties incidents, outbox and audit for good, and says how many rows each had."""
+        had = {name: self.read(name).count() for name in CLEARED}
+        self.commit(lambda base: {}, hide=CLEARED)
         return had
 
-    def snapshot(self, rows: int) -> tuple[int, DataFrame] | None:
-        """The newest incidents and the generation that they belong to: a reader keeps them until the generation changes."""
-        found = self.versions("incidents")
-        return (found[-1], reads.snapshot(self.spark.read.parquet(f"{self.folder}/incidents/v={found[-1]}"), rows)) if found else None
+    def claim(self, now: Column, batch: int = outbox.BATCH) -> DataFrame:
+        """Claims the due rows that come first, and releases all stale ones; the claimed rows. Two workers can't claim the same row."""
+        seq = self.commit(lambda base: {"outbox": self._claimed(base, now, batch)})
+        return self.read("outbox").join(self._written("outbox", seq).where("status = 'processing'").select("idempotency_key"), "idempotency_key", "left_semi")
+
+    def _claimed(self, base: int, now: Column, batch: int) -> DataFrame:
+        box = self.read("outbox", base)
+        picked = outbox.claim(box, now, batch)
+        return picked.unionByName(outbox.released(box, now).join(picked.select("idempotency_key"), "idempotency_key", "left_anti"))
+
+    def _written(self, name: str, seq: int) -> DataFrame:
+        return self.rows(name).where(F.col("_seq") == seq)
+
+    def results(self, done: DataFrame, log: DataFrame) -> int:
+        """Outbox rows after delivery and their audit rows, in one commit."""
+        return self.commit(lambda base: {"outbox": done, "audit": log})
+
+    def redrive(self, now: Column, keys: Sequence[str] | None = None, status: str = "dead") -> int:
+        before = self.read("outbox")
+        hit = before.where(F.col("idempotency_key").isin(*keys) & F.col("status").isin("dead", "failed") if keys else F.col("status") == status)
+        n = hit.count()
+        if n:
+            self.commit(lambda base: {"outbox": outbox.redrive(hit, now, keys, status)})
+        return n
+
+    def delete_outbox(self, keys: Sequence[str] | None = None, status: str | None = None) -> int:
+        if not keys and not status:
+            raise ValueError("keys or a status must be given")
+        hit = self.read("outbox").where(F.col("idempotency_key").isin(*keys) if keys else F.col("status") == status)
+        n = hit.count()
+        if n:
+            self.commit(lambda base: {"outbox": hit.select("idempotency_key", F.lit(True).alias("_gone"))})
+        return n
+
+    def save_widget(self, row: DataFrame, now: Column | None = None) -> None:
+        """Inserts or replaces widgets by id; the time of their making stays."""
+        reads.check_widget(row)
+        at = F.current_timestamp() if now is None else now
+
+        def change(base: int) -> dict[str, DataFrame]:
+            old = self.read("widgets", base).select("id", F.col("created_at").alias("_made"))
+            return {"widgets": row.join(old, "id", "left").withColumns({"created_at": F.coalesce("_made", at), "updated_at": at}).drop("_made")}
+
+        self.commit(change)
+
+    def drop_widget(self, widget_id: str) -> bool:
+        hit = self.read("widgets").where(F.col("id") == widget_id)
+        if hit.isEmpty():
+            return False
+        self.commit(lambda base: {"widgets": hit.select("id", F.lit(True).alias("_gone"))})
+        return True
+
+    def widgets(self) -> DataFrame:
+        return reads.widgets(self.read("widgets"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from logloom.operators import metrics, reads
 from logloom.settings import Settings
-from logloom.streaming.tables import Tables
 
 
 def test_settings_from_environment():
@@ -45,14 +44,3 @@ def test_dispatch_pages_and_lookups(spark):
     alerts = spark.createDataFrame([("b",), ("c",)], "id string")
     assert keys(reads.dispatches_of(rows, alerts)) == ["b:1"]
     assert [r.id for r in reads.alert_by_id(alerts, "c").collect()] == ["c"]
-
-
-def test_cleared_tables(spark, tmp_path):
-    tables = Tables(spark, f"file://{tmp_path}")
-    assert tables.clear(0) == {} and tables.snapshot(10) is None
-    tables.write("incidents", spark.sql("SELECT id, timestamp'2024-01-01' AS last_seen FROM VALUES ('x'), ('y'), ('z') AS v(id)"), 1)
-    generation, rows = tables.snapshot(2)
-    assert generation == 1 and [r.id for r in rows.collect()] == ["x", "y"]
-    assert tables.clear(2) == {"incidents": 3}
-    assert tables.snapshot(2)[0] == 2 and tables.read("incidents").count() == 0
-    assert tables.read("incidents", 2).count() == 3

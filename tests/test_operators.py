@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from logloom.functions import text
 from logloom.operators import external, incidents, outbox, parse, policy, reads
-from logloom.sources.range_logs import RangeLogs, pages
-from logloom.streaming.tables import Tables
+from logloom.sources.range_logs import RangeLogs, Reader, pages
 
 T0 = datetime(2024, 5, 1, tzinfo=timezone.utc)
 EMIT = (
@@ -158,20 +157,40 @@ def test_range_source(spark, tmp_path):
     answer = {"status": "success", "data": {"resultType": "streams", "result": [{"stream": {"app": "a"}, "values": [[str(now - 5 * 10**9), "boom"], [str(now - 500 * 10**9), "old"]]}]}}
     (tmp_path / "a.json").write_text(json.dumps(answer))
     spark.dataSource.register(RangeLogs)
-    src = spark.readStream.format("range_logs").option("answers", str(tmp_path / "a.json")).option("now_ns", str(now)).load()
+    src = spark.readStream.format("range_logs").option("answers", str(tmp_path / "a.json")).option("start_ns", str(now - 60 * 10**9)).option("now_ns", str(now)).load()
     got = []
     q = src.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, n: got.extend(external.range_entries(df).collect())).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
-    assert {(r.service, r.message, r.level) for r in got} <= {("a", "boom", "INFO")}
-
-
-def test_tables_by_batch(spark, tmp_path):
-    t = Tables(spark, f"file://{tmp_path}/tables", ["webhook"])
-    for n, e in enumerate([emit(spark, ("a", "f", 1, True)), emit(spark, ("a", "f", 4, False), ("b", "g", 1, True))]):
-        t.apply(e, n)
-        t.apply(e, n)  # a batch that runs again changes nothing
-    assert sorted((r.id, r.occurrence_count) for r in t.read("incidents").collect()) == [("a", 4), ("b", 1)]
-    assert sorted(r.idempotency_key for r in t.read("outbox").collect()) == ["a:webhook:1", "a:webhook:4", "b:webhook:1"]
+    assert {(r.service, r.message, r.level) for r in got} == {("a", "boom", "INFO")}
+
+
+def test_range_slices(tmp_path):
+    """Every entry is in exactly one slice of a poll, also where more than the limit share a time."""
+    entries = [[str(10 + t // 3), f"l{t}"] for t in range(200)]
+    (tmp_path / "a.json").write_text(json.dumps({"data": {"result": [{"stream": {"app": "a"}, "values": entries}]}}))
+    reader = Reader({"answers": str(tmp_path / "a.json"), "limit": "2", "overlap_seconds": "0", "slices": "4", "now_ns": "1000", "start_ns": "0"})
+    start, end = reader.initialOffset(), reader.latestOffset()
+    parts = reader.partitions(start, end)
+    assert len(parts) == 4
+    seen = [p[1] for part in parts for (text,) in reader.read(part) for s in json.loads(text)["data"]["result"] for p in s["values"]]
+    assert set(seen) == {x for _, x in entries}
+
+
+def test_bad_range_times_and_order(spark):
+    now = F.lit("2024-05-01 00:00:00").cast("timestamp")
+    answer = json.dumps({"data": {"result": [{"stream": {"app": "a"}, "values": [["1700000002000000000", "b"], ["bad", "x"], ["1700000001000000000", "{\"msg\":\"a\"}"]]}]}})
+    got = external.range_entries(spark.createDataFrame([(answer,)], "value string"), now=now, in_order=True).collect()
+    assert [r.message for r in got] == ["a", "b", "x"] and got[2].timestamp == datetime(2024, 5, 1)
+    assert json.loads(got[0].raw) == {"msg": "a"} and json.loads(got[1].raw) == {"line": "b", "labels": {"app": "a"}}
+
+
+def test_records_with_odd_forms(spark):
+    """Keys that occur twice count with their last value; ISO 8601 in basic form."""
+    got = parsed(spark, '{"message":"a","message":"b","level":"error"}', {"time": "20260615T083000"}, {"time": "20260615T0830Z"}, {"time": "20260615T083000.25+0200"}, {"time": "20260615"}, {"time": "2026061"})
+    assert got[0].event.message == "b" and got[0].event.level == "ERROR"
+    stamps = [got[k].event.timestamp for k in range(1, 5)]
+    assert stamps == [datetime(2026, 6, 15, 8, 30), datetime(2026, 6, 15, 8, 30), datetime(2026, 6, 15, 6, 30, 0, 250000), datetime(2026, 6, 15)]
+    assert got[5].reason == "invalid_timestamp"
