@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import level
 
 RAW_CHARS = 4000
+#: Times on the wire keep their microseconds.
+WIRE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 #: Aliases of each field, in order.
 ALIASES = {
     "level": ("level", "severity", "log_level"),
@@ -131,4 +133,4 @@ def unwired(df: DataFrame, value_col: str = "value", now: Column | None = None)
 
 def wire(df: DataFrame) -> DataFrame:
     """key and value of the records that a log topic takes."""
-    return df.select(F.coalesce("service", F.lit("unknown")).alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return df.select(F.coalesce("service", F.lit("unknown")).alias("key"), F.to_json(F.struct("*"), {"timestampFormat": WIRE_TIME}).alias("value"))

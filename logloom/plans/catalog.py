@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import channels, dedup, external, incidents, metrics, outbox, parse, policy, reads
-from ..session import checkpointed
+from ..session import checkpointed, shared_folder
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,9 +303,9 @@ def outbox_redrive_clear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("idempotency_key", "status", "attempts", "last_error")
 
 
-@query(f"WITH RECURSIVE {V.DELIVERIES} SELECT idempotency_key FROM del WHERE success = 1 AND alert_id < '8'")
+@query(f"WITH RECURSIVE {V.DELIVERIES} SELECT idempotency_key FROM del WHERE success = 1")
 def outbox_already_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outbox.already_sent(V.box(spark, sf_dir).where("alert_id < '8'"), V.deliveries(spark, sf_dir)).select("idempotency_key")
+    return outbox.already_sent(V.box(spark, sf_dir), V.deliveries(spark, sf_dir)).select("idempotency_key")
 
 
 # Reads
@@ -385,12 +386,10 @@ def widgets_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources
 
 
-@query(f"WITH {V.LOGS}, u AS (SELECT event_id, 'a' AS origin, trace_id, CAST(NULL AS VARCHAR) AS host FROM logs WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 'b', NULL, host FROM logs WHERE event_id % 3 = 0) SELECT * FROM u")
+@query(f"WITH {V.LOGS}, u AS (SELECT event_id, 'a' AS origin, trace_id, CAST(NULL AS VARCHAR) AS host FROM logs UNION ALL SELECT event_id, 'b', NULL, host FROM logs) SELECT * FROM u")
 def union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.logs(spark, sf_dir)
-    return external.union_sources(
-        e.where("event_id % 2 = 0").select("event_id", F.lit("a").alias("origin"), "trace_id"), e.where("event_id % 3 = 0").select("event_id", F.lit("b").alias("origin"), "host")
-    )
+    return external.union_sources(e.select("event_id", F.lit("a").alias("origin"), "trace_id"), e.select("event_id", F.lit("b").alias("origin"), "host"))
 
 
 @query(f"WITH {V.LOGS} SELECT DISTINCT micros // 100000000 AS ts_ns, service, level AS line FROM logs")
@@ -447,10 +446,13 @@ def _said(column, *paths: tuple[str, str]) -> list:
     return [F.get_json_object(column, p).alias(n) for n, p in paths]
 
 
-@query(f"WITH RECURSIVE {V.emitted('coarse')} SELECT id, first_title AS title, severity, CASE WHEN action = 'new' THEN 'true' ELSE 'false' END AS is_new, CAST(place AS VARCHAR) AS n, env FROM em")
+@query(f"""WITH RECURSIVE {V.emitted('coarse')} SELECT id, fingerprint, first_title AS title, message AS description, severity, service, first_host AS host, CASE WHEN action = 'new' THEN 'open' ELSE 'updated' END AS status, CAST(place AS VARCHAR) AS n,
+  first_micros // 1000000 AS first_second, micros // 1000000 AS last_second, first_code AS error_code, trace_id, env, message AS sample, CASE WHEN action = 'new' THEN 'true' ELSE 'false' END AS is_new FROM em""")
 def payload_webhook(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.emits(spark, sf_dir, V.COARSE).select("id", channels.webhook().alias("j"))
-    return e.select("id", *_said("j", ("title", "$.title"), ("severity", "$.severity"), ("is_new", "$.is_new"), ("n", "$.occurrence_count"), ("env", "$.labels.env")))
+    e = V.emits(spark, sf_dir, V.COARSE).select(channels.webhook().alias("j"))
+    named = [(c, f"$.{c}") for c in ("id", "fingerprint", "title", "description", "severity", "service", "host", "status", "error_code", "trace_id", "is_new")]
+    second = lambda c: F.unix_timestamp(F.to_timestamp(F.get_json_object("j", f"$.{c}_seen"))).alias(f"{c}_second")
+    return e.select(*_said("j", *named, ("n", "$.occurrence_count"), ("env", "$.labels.env"), ("sample", "$.sample_message")), second("first"), second("last"))
 
 
 @query(f"""WITH RECURSIVE {V.emitted('coarse')} SELECT id, '[' || CASE WHEN action = 'new' THEN 'NEW' ELSE 'UPDATED' END || '] ' || first_title AS title, CASE severity WHEN 'CRITICAL' THEN 'FF0000' ELSE 'E81123' END AS colour,
@@ -466,14 +468,181 @@ def payload_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("id", *_said("j", ("message", "$.message"), ("severity", "$.severity"), ("alert_type", "$.alert_type"), ("entity_id", "$.entity_id"), ("n", "$.payload.occurrence_count"), ("trace_id", "$.payload.trace_id")))
 
 
+# Tables that are there already
+
+TAIL = V.ALERTS.removeprefix(f"{V.chain('coarse')}, ")
+INTO = f"""{V.emitted('coarse')}, {TAIL}, t AS (SELECT * FROM alerts WHERE first_micros < {V.NOW_MICROS} QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY first_micros DESC) = 1),
+  act AS (SELECT * FROM t WHERE status <> 'resolved'), eo AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY micros, event_id) AS k FROM em WHERE micros >= {V.NOW_MICROS}),
+  m AS (SELECT e.fingerprint, e.k, e.event_id, CASE WHEN a.id IS NOT NULL THEN a.id WHEN e.id IN (SELECT id FROM t) THEN substr(sha256(e.id || '|again'), 1, 8) || substr(e.id, 9, 28) ELSE e.id END AS id,
+      CASE WHEN a.id IS NULL THEN CAST(e.place AS BIGINT) WHEN e.action = 'new' OR e.place <= a.occurrence_count THEN a.occurrence_count + 1 ELSE e.place END AS n, a.id IS NULL AS is_new,
+      CASE WHEN a.id IS NULL THEN 'open' WHEN a.status = 'acknowledged' THEN a.status ELSE 'updated' END AS status, COALESCE(a.first_micros, e.first_micros) AS first_micros, e.micros AS last_micros, e.severity, COALESCE(a.title, e.first_title) AS title
+    FROM eo e LEFT JOIN act a ON a.fingerprint = e.fingerprint WHERE e.k = 1
+  UNION ALL SELECT e.fingerprint, e.k, e.event_id, m.id, CASE WHEN e.action = 'new' OR e.place <= m.n THEN m.n + 1 ELSE e.place END, false, CASE WHEN m.status = 'acknowledged' THEN m.status ELSE 'updated' END, m.first_micros, e.micros, e.severity, m.title
+    FROM m JOIN eo e ON e.fingerprint = m.fingerprint AND e.k = m.k + 1)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An incident table as of NOW: of each fingerprint the last session that has begun, active or resolved."""
+    last = Window.partitionBy("fingerprint").orderBy(F.desc("first_micros"))
+    a = V.alerts(spark, sf_dir).where(F.col("first_micros") < V.NOW_MICROS).withColumn("_k", F.row_number().over(last)).where("_k = 1")
+    nothing = {c: F.lit(None).cast(k) for c, k in (("acknowledged_at", "timestamp"), ("resolved_at", "timestamp"), ("tta_seconds", "bigint"), ("ttr_seconds", "bigint"))}
+    return a.withColumns(nothing | {"created_at": F.col("first_seen"), "updated_at": F.col("last_seen")}).select(*incidents.COLUMNS)
+
+
+def _since(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.emits(spark, sf_dir, V.COARSE).where(F.col("micros") >= V.NOW_MICROS)
+
+
+MERGED_ROW = "id, fingerprint, title, severity, status, n AS occurrence_count, first_micros, last_micros"
+
+
+@query(f"""WITH RECURSIVE {INTO}, z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY k DESC) = 1) SELECT {MERGED_ROW} FROM z
+  UNION ALL SELECT id, fingerprint, title, severity, status, occurrence_count, first_micros, last_micros FROM t WHERE status = 'resolved' OR fingerprint NOT IN (SELECT fingerprint FROM z)""")
+def incidents_merged_into(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emits from NOW on, merged into the table as of NOW."""
+    after, _ = incidents.merge(_stored(spark, sf_dir), _since(spark, sf_dir))
+    return after.select("id", "fingerprint", "title", "severity", "status", "occurrence_count", _micros("first_seen", "first_micros"), _micros("last_seen", "last_micros"))
+
+
+@query(f"WITH RECURSIVE {INTO} SELECT event_id, id, n AS occurrence_count, is_new, status, is_new OR status <> 'acknowledged' AS may_send FROM m")
+def ack_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emits as stored, and whether an acknowledged incident's policy silences them."""
+    _, stored = incidents.merge(_stored(spark, sf_dir), _since(spark, sf_dir))
+    return stored.select("event_id", "id", "occurrence_count", "is_new", "status", incidents.should_enqueue().alias("may_send"))
+
+
+@query(f"WITH RECURSIVE {V.BOX} SELECT idempotency_key, alert_id, channel FROM box WHERE status = 'failed'")
+def outbox_enqueue_into(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that an outbox lacks: it has all but one status's."""
+    there = V.box(spark, sf_dir).where("status <> 'failed'")
+    return outbox.enqueue(V.emits(spark, sf_dir, V.COARSE), V.CHANNELS, there, V.now()).select("idempotency_key", "alert_id", "channel")
+
+
+@query(f"WITH RECURSIVE {V.BOX} SELECT idempotency_key, 'pending' AS status, {V.NOW_MICROS} AS next_micros FROM box WHERE status = 'processing' AND updated_micros < {V.NOW_MICROS} - 120000000")
+def outbox_released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outbox.released(V.box(spark, sf_dir), V.now()).select("idempotency_key", "status", _micros("next_attempt_at", "next_micros"))
+
+
+@query(f"""WITH RECURSIVE {V.ALERTS}, p AS (SELECT (SELECT min(id) FROM alerts WHERE status = 'open') AS one, (SELECT min(fingerprint) FROM alerts) AS fp),
+  s AS (SELECT *, CASE WHEN id = one THEN 'acknowledged' ELSE status END AS step FROM alerts, p)
+  SELECT id, CASE WHEN fingerprint = fp AND step <> 'resolved' THEN 'resolved' ELSE step END AS status, CASE WHEN id = one OR (fingerprint = fp AND step <> 'resolved') THEN greatest(0, ({V.NOW_MICROS} - first_micros) // 1000000) END AS tta_seconds,
+    CASE WHEN fingerprint = fp AND step <> 'resolved' THEN greatest(0, ({V.NOW_MICROS} - first_micros) // 1000000) END AS ttr_seconds FROM s""")
+def operator_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One incident is acknowledged by its id, then all active ones of a fingerprint are resolved."""
+    a = checkpointed(V.alerts(spark, sf_dir))
+    one, fp = a.agg(F.min(F.when(F.col("status") == "open", F.col("id"))), F.min("fingerprint")).first()
+    for c, kind in (("acknowledged_at", "timestamp"), ("resolved_at", "timestamp"), ("tta_seconds", "bigint"), ("ttr_seconds", "bigint"), ("updated_at", "timestamp")):
+        a = a.withColumn(c, F.lit(None).cast(kind))
+    acked = incidents.with_status(a, F.lit("acknowledged"), V.now(), F.col("id") == one)
+    return incidents.resolve_fingerprint(acked, fp, V.now()).select("id", "status", "tta_seconds", "ttr_seconds")
+
+
+@query(f"WITH RECURSIVE {V.ALERTS}, snap AS (SELECT * FROM alerts ORDER BY last_micros DESC, id LIMIT 2000) SELECT id, last_micros FROM snap ORDER BY last_micros DESC, id LIMIT 10 OFFSET 20")
+def alerts_offset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An offset inside a page is cut down to the page."""
+    page, size = reads.page_from_offset(10, 25)
+    return reads.alerts_page(V.alerts(spark, sf_dir), page=page, page_size=size).select("id", "last_micros")
+
+
+@query(f"WITH RECURSIVE {V.emitted('coarse')}, {TAIL}, del AS (SELECT id AS alert_id, id || ':' || channel || ':' || place AS idempotency_key FROM em, (VALUES ('webhook'), ('card')) v(channel)) SELECT alert_id, idempotency_key FROM del WHERE alert_id IN (SELECT id FROM alerts WHERE status = 'open')")
+def dispatches_of_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.dispatches_of(V.deliveries(spark, sf_dir), V.alerts(spark, sf_dir).where("status = 'open'")).select("alert_id", "idempotency_key")
+
+
+@query(f"WITH RECURSIVE {V.ALERTS} SELECT id, CASE WHEN first_event % 3 = 0 THEN '' ELSE env END AS env, CASE WHEN first_event % 2 = 0 THEN 0 ELSE occurrence_count END AS occurrence_count, CASE WHEN first_event % 5 = 0 THEN '' ELSE sample_message END AS sample_message FROM alerts")
+def stored_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with labels as JSON text, some of it unreadable, and with missing values."""
+    a = V.alerts(spark, sf_dir).withColumns({
+        "labels": F.when(F.col("first_event") % 3 == 0, "{no json").otherwise(F.to_json("labels")), "occurrence_count": F.when(F.col("first_event") % 2 != 0, F.col("occurrence_count")),
+        "sample_message": F.when(F.col("first_event") % 5 != 0, F.col("sample_message")),
+    })
+    return reads.view(a).select("id", F.coalesce(F.try_element_at("labels", F.lit("env")), F.lit("")).alias("env"), "occurrence_count", "sample_message")
+
+
+@query("SELECT * FROM (VALUES ('w3', 'None', 0, ''), ('w1', 'Prod again', 1, 'open')) v(id, title, sort_order, status_filter)")
+def widgets_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One widget replaced, one dropped; in their order."""
+    row = spark.sql("SELECT 'w1' AS id, 'Prod again' AS title, array(named_struct('key', 'env', 'value', 'prod')) AS labels, 'open' AS status_filter, 1 AS sort_order")
+    return reads.widgets(reads.drop_widget(reads.save_widget(_widgets(spark), row), "w2")).select("id", "title", "sort_order", "status_filter")
+
+
+@query(f"WITH {V.LOGS} SELECT event_id, NULLIF(least(event_id % 6000, 4000), 0) AS n_body, NULLIF(least(event_id % 3000, 2000), 0) AS n_error FROM logs")
+def audit_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = lambda k: F.expr(f"repeat('x', cast(event_id % {k} as int))")
+    e = V.logs(spark, sf_dir).select("event_id", long(6000).alias("response_body"), long(3000).alias("error_message"))
+    return e.select("event_id", *outbox.audit_row()).select("event_id", F.char_length("response_body").cast("long").alias("n_body"), F.char_length("error_message").cast("long").alias("n_error"))
+
+
+ODD_POLICY = {
+    "defaults": {"min_level": "WARN", "update_interval_seconds": 45, "unknown": 1},
+    "services": {"checkout": {"dedup_fields": " service, level ,", "refire_interval_seconds": 7, "update_interval_seconds": 9}, "inventory": {"dedup_fields": ""}},
+    "error_codes": {"NPE": {"dedup_fields": ["service", "label:env"], "dedup_window_seconds": 77}},
+}
+
+
+@query(f"""WITH {V.LOGS} SELECT service, error_code, 'WARN' AS min_level, CASE WHEN error_code = 'NPE' THEN 77 ELSE 300 END AS window_seconds, CASE service WHEN 'checkout' THEN 7 ELSE 45 END AS refire_interval_seconds,
+  CASE WHEN error_code = 'NPE' THEN 'service,label:env' WHEN service = 'checkout' THEN 'service,level' WHEN service = 'inventory' THEN 'service,level,labels,message' END AS dedup_fields, count(*) AS n FROM logs GROUP BY ALL""")
+def policy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown keys are left out, the old name of a key counts where the new one is missing, field lists are texts or lists."""
+    got = policy.Policy.of(ODD_POLICY).resolve(V.logs(spark, sf_dir)).withColumnRenamed("dedup_window_seconds", "window_seconds")
+    return got.groupBy("service", "error_code", "min_level", "window_seconds", "refire_interval_seconds", "dedup_fields").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.LOGS} SELECT event_id, CASE WHEN micros > {V.NOW_MICROS} + 300000000 THEN {V.NOW_MICROS} ELSE micros END AS clock FROM logs")
+def clock_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.logs(spark, sf_dir).select("event_id", dedup.event_clock(F.unix_micros("timestamp"), V.NOW_MICROS).alias("clock"))
+
+
+@query(f"WITH {V.LOGS} SELECT service AS key, micros, level, service, host, message, error_code, trace_id, env FROM logs")
+def wire_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as a log topic takes them, and what a reader of that topic makes of them."""
+    sent = parse.wire(V.logs(spark, sf_dir).select("timestamp", "level", "service", "host", "message", "error_code", "trace_id", "labels"))
+    got = parse.events(parse.parse(sent))
+    return got.select("key", F.unix_micros("timestamp").alias("micros"), "level", "service", "host", "message", "error_code", "trace_id", F.col("labels")["env"].alias("env"))
+
+
+@query(f"WITH {V.LOGS} SELECT event_id, {BAD} AS reason, CASE WHEN event_id % 50 = 7 THEN 'not json ' || event_id WHEN event_id % 53 = 9 THEN '[1,2]' ELSE '{{\"timestamp\":\"yesterday\",\"message\":\"m\"}}' END AS payload FROM logs WHERE ({BAD}) IS NOT NULL")
+def dead_letter_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.dead_letters(parse.parse(raw_records(spark, sf_dir))).select("event_id", "reason", "payload")
+
+
+@query(f"WITH {V.LOGS} SELECT event_id, CASE event_id % 4 WHEN 0 THEN service ELSE '' END AS header FROM logs")
+def header_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers are a JSON object; anything else means none."""
+    k = F.col("event_id") % 4
+    given = F.when(k == 0, F.to_json(F.struct(F.col("service").alias("X-Service")))).when(k == 1, "[1]").when(k == 2, "no json")
+    return V.logs(spark, sf_dir).select("event_id", F.coalesce(F.try_element_at(text.headers(given), F.lit("X-Service")), F.lit("")).alias("header"))
+
+
+@query(f"""WITH RECURSIVE {V.emitted('coarse')}, eo AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY micros, event_id) AS k FROM em WHERE micros >= {V.NOW_MICROS}),
+  m AS (SELECT fingerprint, k, id, CAST(place AS BIGINT) AS n, 'open' AS status, severity, micros AS last_micros FROM eo WHERE k = 1
+  UNION ALL SELECT e.fingerprint, e.k, m.id, CASE WHEN e.action = 'new' OR e.place <= m.n THEN m.n + 1 ELSE e.place END, 'updated', e.severity, e.micros FROM m JOIN eo e ON e.fingerprint = m.fingerprint AND e.k = m.k + 1),
+  z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY k DESC) = 1), ob AS (SELECT DISTINCT id || ':' || n AS key, id FROM m)
+  SELECT id, fingerprint, severity, status, n AS occurrence_count, last_micros, (SELECT count(*) FROM ob WHERE ob.id = z.id) AS n_outbox FROM z""")
+def table_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of emits before NOW, all of it cleared, then a batch of those since: incidents with their outbox rows."""
+    from ..streaming.tables import Tables
+
+    tables = Tables(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    emits = checkpointed(V.emits(spark, sf_dir, V.COARSE))
+    tables.apply(emits.where(F.col("micros") < V.NOW_MICROS), 0)
+    tables.clear()
+    tables.apply(emits.where(F.col("micros") >= V.NOW_MICROS), 1)
+    queued = tables.read("outbox").groupBy(F.col("alert_id").alias("id")).agg(F.count("*").alias("n_outbox"))
+    return tables.read("incidents").join(queued, "id").select("id", "fingerprint", "severity", "status", "occurrence_count", _micros("last_seen", "last_micros"), "n_outbox")
+
+
 # Streaming
 
 
 @query(f"WITH RECURSIVE {V.emitted('coarse')} SELECT event_id, id, fingerprint, action, severity, CAST(place AS BIGINT) AS occurrence_count FROM em")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful operator over the whole table as one batch."""
+    """The stateful operator on a file stream over the events, read to its end; its changes are gathered in the shared folder."""
     from ..streaming import dedup as stream
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return stream.emits(V.enriched(spark, sf_dir, V.COARSE)).select("event_id", "id", "fingerprint", "action", "severity", "occurrence_count")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    changes = stream.emits(policy.enrich(V.logs_of(events), fields=V.COARSE)).select("event_id", "id", "fingerprint", "action", "severity", "occurrence_count")
+    stream.run_available(changes, f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    return spark.read.schema(changes.schema).parquet(f"{folder}/out/*")

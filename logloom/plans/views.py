@@ -26,7 +26,10 @@ def one_of(values: tuple, at: Column) -> Column:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return logs_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def logs_of(e: DataFrame) -> DataFrame:
     raw = F.element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), F.col("event_type"))
     return e.select(
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), raw.alias("raw_level"), level(raw).alias("level"), one_of(SERVICES, F.col("user_id")).alias("service"),

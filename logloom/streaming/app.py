@@ -49,7 +49,7 @@ def records(spark: SparkSession, settings: Settings) -> DataFrame:
         options = {"url": settings.range_url, "query": settings.range_query, "lookback_seconds": str(settings.range_lookback), "limit": str(settings.range_limit)}
         answers = spark.readStream.format("range_logs").options(**options).load()
         entries = external.once(external.range_entries(answers))
-        return entries.select(F.to_json(F.struct("timestamp", "level", "service", "host", "message", "error_code", "trace_id", "labels")).alias("value"))
+        return entries.select(F.to_json(F.struct("timestamp", "level", "service", "host", "message", "error_code", "trace_id", "labels"), {"timestampFormat": parse.WIRE_TIME}).alias("value"))
     if mode == "topic":
         return kafka.read_topic(spark, settings.topic_servers, settings.topic).select("value")
     if not settings.input_path:

@@ -22,10 +22,7 @@ def duck(tiny):
     return con
 
 
-@pytest.mark.parametrize("name", [
-    "parse_levels", "parse_json_aliases", "bad_records", "ts_coerce", "epoch_guess", "policy_resolve", "fingerprint_default", "fingerprint_label", "session_gap_incidents", "dedup_emits", "incidents_merged",
-    "outbox_due_claim", "outbox_backoff", "status_lifecycle", "widgets_matches", "loki_flatten", "alert_webhook_flatten", "payload_card", "stream_dedup",
-])
+@pytest.mark.parametrize("name", list(catalog.queries()))
 def test_same_as_duckdb(spark, tiny, duck, name):
     got = normal(catalog.queries()[name](spark, tiny).toPandas())
     want = normal(duck.execute(catalog.oracle_sql()[name]).df())
