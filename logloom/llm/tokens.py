@@ -30,6 +30,8 @@ from . import kernels as K
 CACHE = 2_000_000
 #: Stretches that are joined to one text for the library.
 JOIN = 256
+#: Bytes of the longest stretch that is kept; longer ones are encoded each time.
+KEPT = 256
 _VISIBLE = np.zeros(256, dtype=bool)
 _VISIBLE[0x21:0x7F] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -151,10 +153,10 @@ class Table:
         """New, different hashes get the next places."""
         place = np.arange(self.count, self.count + len(h), dtype=np.int32)
         self.count += len(h)
-        if 2 * self.count > self.mask:
+        if 3 * self.count > 2 * self.mask:
             used = self.slot >= 0
             h, place = np.concatenate((self.key[used], h)), np.concatenate((self.slot[used], place))
-            self._room(1 << (4 * self.count).bit_length())
+            self._room(1 << (3 * self.count).bit_length())
         at = self._slots(h)
         live = np.arange(len(h))
         while len(live):
@@ -167,26 +169,31 @@ class Table:
 
 
 class Pool:
-    """Runs of numbers, kept one after another."""
+    """Runs of numbers, kept one after another; arrays grow by half."""
 
     def __init__(self, kind: type, spare: int = 0) -> None:
-        self.flat, self.used, self.spare = np.zeros(1 << 16, kind), 0, spare
-        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.ends, self.count, self.spare = np.zeros(1 << 16, kind), np.zeros(1 << 12, np.int64), 0, spare
+
+    @staticmethod
+    def _grown(a: np.ndarray, used: int, need: int) -> np.ndarray:
+        if need <= len(a):
+            return a
+        out = np.zeros(max(need, len(a) + len(a) // 2), a.dtype)
+        out[:used] = a[:used]
+        return out
 
     def add(self, flat: np.ndarray, size: np.ndarray) -> None:
-        need = self.used + len(flat)
-        if need + self.spare > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.zeros(max(need, len(self.flat)) + self.spare, self.flat.dtype)))
-        self.flat[self.used : need] = flat
-        self.begin = np.concatenate((self.begin, self.used + np.cumsum(size, dtype=np.int64) - size))
-        self.size = np.concatenate((self.size, size.astype(np.int32)))
-        self.used = need
+        used = int(self.ends[self.count])
+        self.flat = self._grown(self.flat, used, used + len(flat) + self.spare)
+        self.flat[used : used + len(flat)] = flat
+        self.ends = self._grown(self.ends, self.count + 1, self.count + 1 + len(size))
+        self.ends[self.count + 1 : self.count + 1 + len(size)] = used + np.cumsum(size, dtype=np.int64)
+        self.count += len(size)
 
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs at these places in a row, and the n + 1 offsets of them."""
-        size = self.size[at].astype(np.int64)
-        total = np.concatenate(([0], np.cumsum(size)))
-        return self.flat[np.repeat(self.begin[at] - total[:-1], size) + np.arange(total[-1])], total
+    def where(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the runs at these places."""
+        begin = self.ends[at]
+        return begin, self.ends[at + 1] - begin
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -300,7 +307,7 @@ class StretchEncoder:
             self.clear()
         h, size = K.span_hash(data, starts, ends), ends - starts
         at = self.table.find(h)
-        new = np.flatnonzero(at < 0)
+        new = np.flatnonzero((at < 0) & (size <= KEPT))
         if len(new):
             one, first = np.unique(h[new], return_index=True)
             first = new[first]
@@ -308,22 +315,32 @@ class StretchEncoder:
             self.texts.add(gather(data, starts[first], size[first]), size[first])
             self.ids.add(*self.fresh(data, starts[first], ends[first]))
             at[new] = self.table.find(h[new])
-        same = self.texts.size[at] == size
-        same &= K.same_spans(K.lanes(data), starts, self._kept_lanes(), self.texts.begin[at], np.where(same, size, 0))
-        ids, total = self.ids.take(at)
-        if not same.all():
-            ids, total = self._mended(ids, total, np.flatnonzero(~same), data, starts, ends)
-        return ids, total[off]
+        there = at >= 0
+        at = np.where(there, at, 0) if self.table.count else np.zeros(len(at), np.int64)
+        if not self.table.count:
+            return self._mended(np.zeros(0, np.uint32), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.arange(len(at)), data, starts, ends, off)
+        kept, kept_size = self.texts.where(at)
+        same = there & (kept_size == size)
+        same &= K.same_spans(K.lanes(data), starts, self._kept_lanes(), kept, np.where(same, size, 0))
+        begin, count = self.ids.where(at)
+        if same.all():
+            return gather(self.ids.flat, begin, count), np.concatenate(([0], np.cumsum(count)))[off]
+        return self._mended(self.ids.flat, begin, count, np.flatnonzero(~same), data, starts, ends, off)
 
     def _kept_lanes(self) -> np.ndarray:
         flat = self.texts.flat
         return np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,))
 
-    def _mended(self, ids: np.ndarray, total: np.ndarray, bad: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, count = self.alone(data, starts[bad], ends[bad])
-        begin, size = total[:-1].copy(), np.diff(total)
-        begin[bad], size[bad] = len(ids) + np.cumsum(count) - count, count
-        return gather(np.concatenate((ids, own)), begin, size), np.concatenate(([0], np.cumsum(size)))
+    def _mended(self, flat: np.ndarray, begin: np.ndarray, count: np.ndarray, bad: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs of flat, but of the bad stretches those that the library gives for each itself."""
+        own, size = self.alone(data, starts[bad], ends[bad])
+        begin, count = begin.copy(), count.copy()
+        begin[bad], count[bad] = 0, 0
+        total = np.concatenate(([0], np.cumsum(count)))
+        flat = np.concatenate((gather(flat, begin, count), own))
+        begin, count = total[:-1].copy(), count
+        begin[bad], count[bad] = total[-1] + np.cumsum(size) - size, size
+        return gather(flat, begin, count), np.concatenate(([0], np.cumsum(count)))[off]
 
 
 _current: tuple[tuple[str, str, str], StretchEncoder] | None = None
