@@ -260,6 +260,48 @@ def test_quality(spark, tiny, docs, none):
     assert quality.keep_good(docs, labels).columns == docs.columns
 
 
+def quality_twin(rows, labels):
+    """Scores in one process: sums over all rows at once instead of partitions, curves without Spark."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from logloom.llm.statistics import statistics
+
+    x = np.concatenate([statistics(*kernels.utf8(pa.array([t], pa.string()))) for _, t in rows])
+    known = {}
+    for d, y in labels:
+        if d is not None and y in (0, 1):
+            known.setdefault(d, []).append(y)
+    train = [(k, y, zlib.crc32(str(i).encode()) % 3) for k, (i, _) in enumerate(rows) if i is not None and zlib.crc32(str(i).encode()) % 3 != 1 for y in known.get(i, [])]
+    six = lambda v: Decimal(repr(float(v))).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+    n = len(train)
+    mean = np.array([float(sum(six(x[k, j]) for k, _, _ in train)) for j in range(x.shape[1])]) / n
+    square = np.array([float(sum(six(x[k, j] * x[k, j]) for k, _, _ in train)) for j in range(x.shape[1])]) / n
+    spread = np.sqrt(np.maximum(square - mean**2, 0))
+    spread = np.where(spread > 1e-9, spread, 1.0)
+    at, y, fold = (np.array(v) for v in zip(*train))
+    fold = np.where(fold == 0, 0, 1)
+    z = quality.features(x[at], mean, spread)
+    sums = [np.rint(z[fold == k].T @ np.concatenate((z[fold == k], y[fold == k, None] * float(quality.SCALE)), axis=1)).astype(np.int64) for k in (0, 1)]
+    both = quality.ridge(sums[0] + sums[1])
+    cross = [quality.ridge(sums[1]), quality.ridge(sums[0])]
+    bins = lambda f, w: quality._bin(np.round(f @ w / quality.SCALE, 9))
+    own = np.where(fold == 0, bins(z, cross[0]), bins(z, cross[1]))
+    good, total = np.bincount(own, y, quality.BINS), np.bincount(own, minlength=quality.BINS).astype(float)
+    rate = quality.isotonic(good, total)
+    last = bins(quality.features(x, mean, spread), both)
+    return rate[last] * 0.999 + last * (0.001 / (quality.BINS - 1))
+
+
+def test_quality_against_one_process(spark, tiny, docs, rows):
+    labels = spark.read.parquet(f"{tiny}/labels.parquet")
+    want = quality_twin(rows, [(r.doc_id, r.quality) for r in labels.collect()])
+    got = grouped(quality.quality_scores(docs, labels), "doc_id", "score")
+    near = sorted(((i, float(v)) for (i, _), v in zip(rows, want)), key=repr)
+    key = lambda x: (repr(x[0]), x[1])
+    off = [abs(a[1] - b[1]) for a, b in zip(sorted(got, key=key), sorted(near, key=key), strict=True)]
+    assert np.median(off) == 0 and sum(v > 0.01 for v in off) <= 0.01 * len(off)  # a rounded bin may fall on the other side
+
+
 def test_isotonic_is_monotone():
     good, total = np.array([0, 3, 1, 0, 5.0]), np.array([4, 4, 4, 0, 5.0])
     rate = quality.isotonic(good, total)
@@ -305,6 +347,46 @@ def test_media_round_trip(docs, rows, none):
     assert media.store_and_read(none).count() == 0
 
 
+def slow_resize(image, height, width):
+    """Means by matrices of overlaps."""
+    def overlap(size, target):
+        edge = np.arange(target + 1) * (size / target)
+        low, high = np.arange(size), np.arange(size) + 1
+        return np.maximum(np.minimum(edge[1:, None], high) - np.maximum(edge[:-1, None], low), 0)
+
+    y, x = overlap(image.shape[0], height), overlap(image.shape[1], width)
+    return y @ image.astype(float) @ x.T / ((image.shape[0] / height) * (image.shape[1] / width))
+
+
+def test_media_features(docs, rows):
+    """The stored form, tile and difference hash of each text, computed otherwise."""
+    want = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        p = b + bytes(max(1, -(-len(b) // 64)) * 64 - len(b))
+        image = np.frombuffer(p, np.uint8).reshape(-1, 64)
+        stored = b"P5\n64 %d\n255\n" % len(image) + p
+        small = slow_resize(image, 8, 9)
+        tile = np.rint(np.round(slow_resize(image, 32, 32), 9)).astype(np.uint8)[:, :, None]
+        clear = np.abs(np.diff(small, axis=1)).min() > 1e-5 or not image.any()
+        bits = np.packbits((np.round(small, 6)[:, :-1] > np.round(small, 6)[:, 1:]).reshape(-1)).tobytes().hex()
+        want[i, len(b), hashlib.sha256(p).hexdigest()] = (len(stored), hashlib.sha256(stored).hexdigest(), bits if clear else None, tile)
+    for r in media.store_and_read(docs).collect():
+        size, sha, bits, tile = want[r.doc_id, r.n_bytes, r.payload_sha256]
+        assert (r.media_bytes, r.media_sha256, r.tile_shape) == (size, sha, "32x32x1")
+        assert bits is None or r.feature == bits
+    got = {bytes(r.media): r.tile for r in media.text_media(docs).collect()}
+    import io
+
+    off = [np.abs(np.load(io.BytesIO(bytes(got[b"P5\n64 %d\n255\n" % (len(p) // 64) + p]))).astype(int) - tile).max() for (p, tile) in ((_padded(t), want[i, len((t or "").encode()), hashlib.sha256(_padded(t)).hexdigest()][3]) for i, t in rows)]
+    assert max(off) <= 1 and np.mean(off) < 0.05  # halves may round either way
+
+
+def _padded(t):
+    b = (t or "").encode()
+    return b + bytes(max(1, -(-len(b) // 64)) * 64 - len(b))
+
+
 def test_image_formats(spark):
     grid = np.arange(12, dtype=np.uint8).reshape(3, 4)
     rgb = np.stack([grid, grid + 20, grid + 40], axis=2)
@@ -430,6 +512,41 @@ def test_overlaps_against_brute_force(spark):
         assert [(y.s, y.e) for y in x.one] == islands(a)
 
 
+def pii_twin(t, model, least):
+    """other spans of a text, by plain loops."""
+    t = t.replace("\x01", "\x02")
+    base = [(s, e) for _, s, e in base_spans(t)]
+    kw = re.compile(f"(?i)({pii.KEYWORDS})[^A-Za-z0-9]*$")
+    chosen = []
+    for name, pattern in pii.GENERATORS.items():
+        end = 0
+        for m in re.finditer(pattern, t):
+            s, e, x = m.start(), m.end(), m.group()
+            c, end = t[end:s][-pii.CONTEXT :], m.end()
+            if (name == "number" and len(x) < pii.LEAST_NUMBER) or any(s < f and b < e for b, f in base):
+                continue
+            n = lambda p, x=x: float(len(re.findall(p, x)))
+            size, letters, has = max(len(x), 1), n("[A-Za-z]"), lambda p, y: float(bool(re.search(p, y)))
+            f = [
+                size, n("[0-9]"), letters, n("[A-Z]"), n("[^A-Za-z0-9]"), n("[0-9]") / size, n("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"), n("@"), n("="), n(r"\."), n("-"), n(":"), n("/"), n("[\"']"),
+                float(bool(kw.search(c))), has(f"(?i)({pii.KEYWORDS})[^A-Za-z0-9]", x), has("[0-9A-Fa-f]{16}", x), has("[0-9A-Za-z_]{20}", x), n("[0-9]+"), n("[aeiouAEIOU]") / max(letters, 1.0), has(r"[$€£#][ \t\n\x0b\f\r]?$", c),
+                has(r"[A-Za-z][ \t\n\x0b\f\r]$", c), has("%|[A-Za-z]$", x), has(r"(?a)^\W*(19|20)[0-9]{2}\W*$", x),
+            ]
+            if model.score(np.array([f]))[0] >= least:
+                chosen.append((s, e))
+    return islands(chosen)
+
+
+def test_selected_spans_against_plain_loops(spark, docs, rows):
+    model, least = pii.fit(spark)
+    r = random.Random(21)
+    made = [(7000 + k, " ".join(r.choice(["call", "a@b.cd", "(212) 555-0142", "key=abc123def456", "10.0.0.1", "x9" * r.randint(1, 30), "in 1999-2004", "password: hunter22", "12 34 56 78 90", "\n", "end.", "#12/34-56"]) for _ in range(r.randint(1, 60)))) for k in range(120)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string"))
+    got = Counter((x.doc_id, x.spans) for x in pii.find_pii(both).select("doc_id", "spans").collect())
+    want = Counter((i, ",".join([f"{k}:{a}:{b}" for k, a, b in base_spans(t or "")] + [f"other:{a}:{b}" for a, b in pii_twin(t or "", model, least)])) for i, t in [*rows, *made])
+    assert got == want and sum("other" in s for _, s in want) > 50
+
+
 def test_secrets_in_real_texts(spark, tiny):
     """Recall and precision on lines that the examples didn't make, put into real documents."""
     secrets = [
