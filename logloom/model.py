@@ -8,17 +8,14 @@ LEVEL_ALIASES = {"WARNING": "WARN", "FATAL": "CRITICAL"}
 
 ACTIVE = ("open", "updated", "acknowledged")
 SETTABLE = (*ACTIVE, "resolved")
-STATUSES = (*SETTABLE, "suppressed")
 OUTBOX_OPEN = ("pending", "processing", "failed")
 CLAIMABLE = ("pending", "failed")
 REDRIVABLE = ("dead", "failed")
 OUTBOX_STATUSES = ("pending", "processing", "sent", "failed", "dead")
-SKIP_REASONS = ("unparseable", "below_min_level", "dedup_suppressed", "reopen_disallowed", "invalid_timestamp")
 
 DEDUP_FIELDS = ("service", "level", "labels", "message")
 WINDOW_SECONDS, REFIRE_SECONDS, FUTURE_SECONDS = 300, 60, 300
 
-LOG_EVENT = "timestamp TIMESTAMP, level STRING, service STRING, host STRING, message STRING, error_code STRING, trace_id STRING, labels MAP<STRING, STRING>"
 ALERT = (
     "id STRING, fingerprint STRING, title STRING, description STRING, severity STRING, service STRING, host STRING, status STRING, occurrence_count BIGINT, "
     "first_seen TIMESTAMP, last_seen TIMESTAMP, error_code STRING, trace_id STRING, labels MAP<STRING, STRING>, sample_message STRING, is_new BOOLEAN"

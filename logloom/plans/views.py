@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import idempotency_key, level
+from ..model import OUTBOX_STATUSES
 from ..operators import dedup, policy
 
 #: Services and codes that the shipped policy names.
@@ -67,9 +68,6 @@ def deliveries(spark: SparkSession, sf_dir: str, given: DataFrame | None = None)
     )
 
 
-OUTBOX_STATUS = ("pending", "processing", "sent", "failed", "dead")
-
-
 def box(spark: SparkSession, sf_dir: str, given: DataFrame | None = None) -> DataFrame:
     """Outbox rows of the emits (given, or the coarse ones), with statuses, attempts and times that event numbers say."""
     e = emits(spark, sf_dir, COARSE) if given is None else given
@@ -77,7 +75,7 @@ def box(spark: SparkSession, sf_dir: str, given: DataFrame | None = None) -> Dat
     at = lambda k: F.timestamp_micros(F.col("micros") + (F.col("event_id") % k) * 1_000_000)
     return e.select(
         idempotency_key(F.col("id"), F.col("channel"), F.col("occurrence_count")).alias("idempotency_key"), F.col("id").alias("alert_id"), "channel", F.lit("{}").alias("payload_json"),
-        one_of(OUTBOX_STATUS, F.col("event_id")).alias("status"), (F.col("event_id") % 9).cast("int").alias("attempts"), at(3600).alias("next_attempt_at"), F.lit("e").alias("last_error"), at(1).alias("created_at"), at(7200).alias("updated_at"),
+        one_of(OUTBOX_STATUSES, F.col("event_id")).alias("status"), (F.col("event_id") % 9).cast("int").alias("attempts"), at(3600).alias("next_attempt_at"), F.lit("e").alias("last_error"), at(1).alias("created_at"), at(7200).alias("updated_at"),
     )
 
 
@@ -165,5 +163,5 @@ ALERTS = f"""{chain('coarse')}, st AS (SELECT fingerprint, s, arg_min(title, pla
 DELIVERIES = f"""{emitted('coarse')}, del AS (SELECT id AS alert_id, channel, CASE WHEN event_id % 7 <> 0 THEN 1 ELSE 0 END AS success, id || ':' || channel || ':' || place AS idempotency_key,
   micros + (event_id % 5) * 1000000 AS created_micros FROM em, (VALUES ('webhook'), ('card')) v(channel))"""
 
-BOX = f"""{emitted('coarse')}, box AS (SELECT id || ':' || channel || ':' || place AS idempotency_key, id AS alert_id, channel, {_case('event_id', OUTBOX_STATUS)} AS status, CAST(event_id % 9 AS INT) AS attempts,
+BOX = f"""{emitted('coarse')}, box AS (SELECT id || ':' || channel || ':' || place AS idempotency_key, id AS alert_id, channel, {_case('event_id', OUTBOX_STATUSES)} AS status, CAST(event_id % 9 AS INT) AS attempts,
   micros + (event_id % 3600) * 1000000 AS next_micros, micros + (event_id % 7200) * 1000000 AS updated_micros FROM em, (VALUES ('webhook'), ('card')) v(channel))"""

@@ -259,3 +259,37 @@ class Tables:
 
     def widgets(self) -> DataFrame:
         return reads.widgets(self.read("widgets"))
+
+
+class ReadModel:
+    """The newest incidents, kept in memory until the tables change: at most ``rows`` of them. A check of the generation is a listing
+    of the log, and is made once in ``seconds`` at most; ``invalidate`` makes the next read look again at once."""
+
+    def __init__(self, tables: Tables, rows: int = reads.SNAPSHOT_ROWS, seconds: float = 10.0) -> None:
+        self.tables, self.rows, self.seconds = tables, rows, seconds
+        self._kept: tuple[int, DataFrame] | None = None
+        self._looked = 0.0
+
+    def invalidate(self) -> None:
+        self._looked = 0.0
+
+    def get(self) -> DataFrame:
+        if self._kept and time.monotonic() - self._looked < self.seconds:
+            return self._kept[1]
+        now = self.tables.generation()
+        if not self._kept or self._kept[0] != now:
+            if self._kept:
+                self._kept[1].unpersist()
+            generation, df = self.tables.snapshot(self.rows)
+            self._kept = generation, df.persist()
+        self._looked = time.monotonic()
+        return self._kept[1]
+
+    def page(self, page: int = 1, page_size: int = 25, **filters) -> DataFrame:
+        return reads.alerts_page(self.get(), page, page_size, self.rows, **filters)
+
+    def about(self) -> dict[str, float | int | None]:
+        """The generation that is kept, its rows, and seconds since the last look."""
+        if not self._kept:
+            return {"generation": None, "rows": 0, "age": None}
+        return {"generation": self._kept[0], "rows": self._kept[1].count(), "age": time.monotonic() - self._looked}

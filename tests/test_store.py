@@ -1,17 +1,21 @@
 """The table store, the stream application, the worker and the senders."""
 
 import json
+import time
 import urllib.error
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from logloom.operators.policy import Policy
 from logloom.settings import Settings
+from logloom.sinks.logs import FileSink, emit_all
 from logloom.sinks.senders import HttpSender, registry, with_payload
+from logloom.sources import files, kafka
 from logloom.streaming import app
-from logloom.streaming.tables import Conflict, Tables
+from logloom.streaming.tables import Conflict, ReadModel, Tables
 from tests.test_operators import emit
 
 def at(hour):
@@ -219,3 +223,75 @@ def test_settings_choose_the_source(spark, tmp_path):
         assert app.load_policy(Settings(policy_paths=(str(tmp_path / "none.yaml"),))) == Policy()
     (tmp_path / "p.yaml").write_text("defaults: {min_level: WARN}\n")
     assert app.load_policy(Settings(policy_paths=(str(tmp_path / "none.yaml"), str(tmp_path / "p.yaml")))).defaults == {"min_level": "WARN"}
+
+
+def test_read_model(spark, tables):
+    model = ReadModel(tables, 10, 3600)
+    assert model.get().count() == 0
+    tables.apply(emit(spark, ("a", "f", 1, True)), 0)
+    assert model.get().count() == 0  # not looked again yet
+    model.invalidate()
+    assert [r.id for r in model.page().collect()] == ["a"] and model.about()["generation"] == 1 and model.about()["rows"] == 1
+    kept = model.get()
+    model.invalidate()
+    assert model.get() is kept  # nothing has changed
+
+
+def test_sinks_feed_sources(spark, tmp_path):
+    """What sources publish as files is what a file stream of the application reads."""
+    rows = spark.createDataFrame([(datetime(2024, 5, 1, 0, 0, 0, 123456), "ERROR", "s", "boom")], "timestamp timestamp, level string, service string, message string")
+    emit_all(FileSink(f"file://{tmp_path}/in"), rows, rows.withColumn("service", F.lit("t")))
+    settings = Settings(input_path=f"file://{tmp_path}/in/*.txt", tables=f"file://{tmp_path}/tables", checkpoint=f"file://{tmp_path}/c")
+    made = app.App(spark, settings, Policy.of({}))
+    made.run_available()
+    got = made.tables.read("incidents").orderBy("service").collect()
+    assert [(r.service, r.last_seen) for r in got] == [(s, datetime(2024, 5, 1, 0, 0, 0, 123456)) for s in ("s", "t")]
+
+
+class StubReader(SimpleDataSourceStreamReader):
+    def initialOffset(self):
+        return {"n": 0}
+
+    def read(self, start):
+        return iter([(b"s", b'{"message":"m"}')] if start["n"] == 0 else []), {"n": 1}
+
+    def readBetweenOffsets(self, start, end):
+        return iter([(b"s", b'{"message":"m"}')] if start["n"] == 0 and end["n"] == 1 else [])
+
+
+class StubTopic(DataSource):
+    """Stands in for a topic connector: it wants the same options."""
+
+    @classmethod
+    def name(cls):
+        return "stub_topic"
+
+    def schema(self):
+        return "key binary, value binary"
+
+    def simpleStreamReader(self, schema):
+        assert {"kafka.bootstrap.servers", "subscribe", "startingoffsets"} <= {k.lower() for k in self.options}
+        return StubReader()
+
+
+def test_topic_with_a_stub(spark, tmp_path):
+    spark.dataSource.register(StubTopic)
+    got = []
+    q = kafka.read_topic(spark, "h:1", "logs", "earliest", source="stub_topic").writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, n: got.extend(df.collect())).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert {(r.key, r.value) for r in got} == {("s", '{"message":"m"}')}
+
+
+def test_demo_records(spark, tmp_path):
+    got = []
+    q = files.demo_logs(spark, 100).writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, n: got.extend(df.collect())).start()
+    try:
+        while len(got) < 50 and q.isActive:
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    made = [json.loads(r.value) for r in got]
+    assert {r["service"] for r in made} <= {"payments-api", "checkout", "inventory", "auth-service"} and {"INFO", "ERROR"} <= {r["level"] for r in made}
