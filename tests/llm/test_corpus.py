@@ -845,6 +845,86 @@ def test_pipeline_stages(spark, tiny, docs):
         assert stage(spark, empty, tiny).count() == 0
 
 
+def lines_twin(rows, min_lines=3, min_words=50):
+    """Texts after line dedup, by a table of all windows."""
+    lined, first = [], {}
+    for i, t in rows:
+        found = [(k, " ".join(WORD.findall(lower(x)))) for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+        windows = [(k, tuple(x for _, x in found[k : k + w])) for w in range(1, min_lines + 1) for k in range(len(found) - w + 1)]
+        windows = [(k, w) for k, w in windows if i is not None and (len(w) == min_lines or sum(len(x.split(" ")) for x in w) >= min_words)]
+        for k, w in windows:
+            first[w] = min(first.get(w, (i, k)), (i, k))
+        lined.append((i, t, found, windows))
+    out = []
+    for i, t, found, windows in lined:
+        gone = {found[k + j][0] for k, w in windows if first[w] < (i, k) for j in range(len(w))}
+        out.append((i, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return out
+
+
+def near_twin(rows):
+    """Rows that stay of each group of similar texts, by all pairs."""
+    def shingled(t):
+        w = WORD.findall(lower(t or ""))
+        return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or frozenset([tuple(w)] if w else ())
+
+    sets = [shingled(t) for _, t in rows]
+    one = list(dict.fromkeys(sets))
+    up = list(range(len(one)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(one):
+        for j, b in enumerate(one[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    of = {x: root(k) for k, x in enumerate(one)}
+    least = {}
+    for (i, _), x in zip(rows, sets):
+        if i is not None:
+            least[of[x]] = min(least.get(of[x], i), i)
+    return [(i, t) for (i, t), x in zip(rows, sets) if i is None or least[of[x]] == i]
+
+
+def redacted_twin(t, model, least):
+    if t is None:
+        return None
+    spans = sorted([(s, e, k) for k, s, e in base_spans(t.replace("\x01", "\x02"))] + [(s, e, "other") for s, e in pii_twin(t, model, least)])
+    out, at = [], 0
+    for s, e, k in spans:
+        if s >= at:
+            out += [t[at:s], f"<{k}>"]
+        at = max(at, e)
+    return "".join(out) + t[at:]
+
+
+def test_pipeline_against_plain_code(spark, tiny, docs, rows, tmp_path):
+    """All five stages in a row, as run() makes them, against plain code on the small table."""
+    from tokenizers import Tokenizer
+
+    (tmp_path / "labels.parquet").symlink_to(f"{tiny}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{tiny}/labels.parquet").collect()]
+    model, least = pii.fit(spark)
+    score = quality_twin(rows, labels)
+    left = [row for row, v in zip(rows, score) if row[0] is None or v >= 0.5]
+    assert len(left) < len(rows)
+    left = near_twin(lines_twin(left))
+    code = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in left:
+        ids = code.encode(redacted_twin(t, model, least) or "", add_special_tokens=False).ids + [0]
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048, zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in got) == want
+    total = sum(r.length for r in got)
+    assert len({r.sequence_id for r in got}) <= -(-total // 2048) + 1
+
+
 def test_registered():
     names = list(registered.queries())
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
