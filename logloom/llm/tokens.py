@@ -19,6 +19,7 @@ The cache lives in the Python worker, for one run of one operator, and starts an
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,7 +28,8 @@ import pyarrow as pa
 
 from . import kernels as K
 
-CACHE = 2_000_000
+#: Stretches that are kept at most, and seconds that an encoder stays without use.
+CACHE, IDLE = 2_000_000, 2.0
 #: Stretches that are joined to one text for the library.
 JOIN = 256
 #: Bytes of the longest stretch that is kept; longer ones are encoded each time.
@@ -343,27 +345,52 @@ class StretchEncoder:
         return gather(flat, begin, count), np.concatenate(([0], np.cumsum(count)))[off]
 
 
-_current: tuple[tuple[str, str, str], StretchEncoder] | None = None
+class _Held:
+    """The worker's encoder of one run. One that nothing has used for ``IDLE`` seconds is dropped, so that a worker that Spark
+    keeps for other stages doesn't hold its cache through them."""
 
+    def __init__(self) -> None:
+        self.lock, self.key, self.encoder, self.users, self.timer = threading.Lock(), None, None, 0, None
+
+    def take(self, path: str, mode: str, run: str) -> StretchEncoder:
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            if self.key != (path, mode, run):
+                self.key, self.encoder = (path, mode, run), StretchEncoder(Tokenizer.from_file(path), mode)
+            self.users += 1
+            return self.encoder
+
+    def give_back(self) -> None:
+        with self.lock:
+            self.users -= 1
+            self.timer = threading.Timer(IDLE, self.drop)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def drop(self) -> None:
+        with self.lock:
+            if not self.users:
+                self.key = self.encoder = None
+        pa.default_memory_pool().release_unused()
 
-def encoder(path: str, mode: str, run: str) -> StretchEncoder:
-    """The worker's encoder of this run; that of another run is dropped."""
-    global _current
-    from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if _current is None or _current[0] != (path, mode, run):
-        _current = ((path, mode, run), StretchEncoder(Tokenizer.from_file(path), mode))
-    return _current[1]
+_held = _Held()
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, mode: str, run: str, end: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, ids, per-row offsets) for slices of batches with a text column ``body``; each row's ids end with end, if given."""
-    code = encoder(path, mode, run)
-    for batch in batches:
-        for part in K.slices(batch, "body"):
-            ids, off = code.encode(*K.utf8(part.column("body")))
-            if end is not None:
-                ids = np.insert(ids, off[1:], end)
-                off = off + np.arange(len(off))
-            yield part, ids, off
+    code = _held.take(path, mode, run)
+    try:
+        for batch in batches:
+            for part in K.slices(batch, "body"):
+                ids, off = code.encode(*K.utf8(part.column("body")))
+                if end is not None:
+                    ids = np.insert(ids, off[1:], end)
+                    off = off + np.arange(len(off))
+                yield part, ids, off
+    finally:
+        _held.give_back()
