@@ -6,6 +6,8 @@ from __future__ import annotations
 LEVEL_RANK = {"DEBUG": 10, "INFO": 20, "WARN": 30, "ERROR": 40, "CRITICAL": 50}
 LEVEL_ALIASES = {"WARNING": "WARN", "FATAL": "CRITICAL"}
 
+SEVERE = ("ERROR", "CRITICAL", "FATAL")
+
 ACTIVE = ("open", "updated", "acknowledged")
 SETTABLE = (*ACTIVE, "resolved")
 OUTBOX_OPEN = ("pending", "processing", "failed")

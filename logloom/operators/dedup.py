@@ -20,28 +20,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import incident_id, rank
+from ..model import FUTURE_SECONDS
 
 SLICE_SECONDS, FOLD_EVENTS = 86_400, 10_000
 SECOND = 1_000_000
 
 
-def event_clock(micros: Column, now_micros: int | None = None, future_seconds: int = 300) -> Column:
+def event_clock(micros: Column, now_micros: int | Column | None = None, future_seconds: int = FUTURE_SECONDS) -> Column:
     """Event time; times more than future_seconds after now count as now (without now: event time as it is)."""
     if now_micros is None:
         return micros
-    return F.when(micros > now_micros + future_seconds * SECOND, F.lit(now_micros)).otherwise(micros)
+    now = now_micros if isinstance(now_micros, Column) else F.lit(now_micros)
+    return F.when(micros > now + future_seconds * SECOND, now).otherwise(micros)
 
 
-def sessions(df: DataFrame, key: list[str], micros: str = "micros", order: str = "event_id", gap: str = "window_seconds", slice_seconds: int = SLICE_SECONDS) -> DataFrame:
-    """df with ``session``, a number that grows with time per key; a session ends at a gap over the earlier event's ``gap`` seconds."""
+def sessions(df: DataFrame, key: list[str], micros: str = "micros", order: str = "event_id", gap: str = "window_seconds", slice_seconds: int = SLICE_SECONDS, clock: str | None = None) -> DataFrame:
+    """df with ``session``, a number that grows with time per key; a session ends at a gap over the earlier event's ``gap`` seconds.
+
+    Events are in order of ``micros``; a gap is from there to the next event's ``clock``, where that is another column.
+    """
+    clock = clock or micros
     slot = F.floor(F.col(micros) / (slice_seconds * SECOND))
     df = df.withColumn("_slot", slot)
     in_slot = Window.partitionBy(*key, "_slot").orderBy(micros, order)
     last, wide = F.lag(micros).over(in_slot), F.lag(gap).over(in_slot)
-    df = df.withColumn("_first", last.isNull()).withColumn("_new", F.when(last.isNull(), False).otherwise(F.col(micros) - last > F.greatest(F.lit(1), wide).cast("long") * SECOND))
+    df = df.withColumn("_first", last.isNull()).withColumn("_new", F.when(last.isNull(), False).otherwise(F.col(clock) - last > F.greatest(F.lit(1), wide).cast("long") * SECOND))
     df = df.withColumn("_run", F.sum(F.col("_new").cast("long")).over(in_slot.rowsBetween(Window.unboundedPreceding, 0)))
     ends = df.groupBy(*key, "_slot").agg(
-        F.min(micros).alias("_from"), F.max_by(F.struct(F.col(micros).alias("t"), F.col(gap).alias("w")), F.struct(micros, order)).alias("_to"), F.sum(F.col("_new").cast("long")).alias("_n")
+        F.min_by(clock, F.struct(micros, order)).alias("_from"), F.max_by(F.struct(F.col(micros).alias("t"), F.col(gap).alias("w")), F.struct(micros, order)).alias("_to"), F.sum(F.col("_new").cast("long")).alias("_n")
     )
     by_slot = Window.partitionBy(*key).orderBy("_slot")
     before = F.lag("_to").over(by_slot)
@@ -83,7 +89,7 @@ def actions(enriched: DataFrame, now_micros: int | None = None, fold_events: int
     """enriched with micros, clock, session, place (in the session, from 1) and action."""
     df = enriched.withColumn("micros", F.unix_micros("timestamp"))
     df = df.withColumn("clock", event_clock(F.col("micros"), now_micros))
-    df = sessions(df, ["fingerprint"])
+    df = sessions(df, ["fingerprint"], clock="clock")
     df = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("fingerprint", "session")))
     # Rows are gathered, folded and taken apart again under the one partitioning by session. Maps aren't sortable: they travel as entries.
     names = [c for c in df.columns if c not in ("fingerprint", "session", "_n")]

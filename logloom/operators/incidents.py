@@ -21,15 +21,22 @@ def _of_schema(df: DataFrame) -> DataFrame:
 
 
 def merge(table: DataFrame | None, emits: DataFrame, order: tuple[str, ...] = ("micros", "event_id")) -> tuple[DataFrame, DataFrame]:
-    """(the table after the emits, the emits as stored: with the id, count and is_new that they have after the merge).
+    """(the table after the emits, the emits as stored: with the id, count and is_new that they have after the merge)."""
+    table = _of_schema(table) if table is not None else emits.sparkSession.createDataFrame([], ROW)
+    rows, stored = merge_rows(table, emits, order)
+    touched = active_rows(table).join(emits.select("fingerprint"), "fingerprint", "left_semi").select("id")
+    return table.join(touched, "id", "left_anti").unionByName(rows), stored
+
+
+def merge_rows(table: DataFrame, emits: DataFrame, order: tuple[str, ...] = ("micros", "event_id")) -> tuple[DataFrame, DataFrame]:
+    """(the rows of the table that the emits change or add, the emits as stored).
 
     An emit without an active row is inserted (with an id of its own if the table holds its id already); others are merged.
 
     A merge sets the count to n, or to one more than it was if the emit is new or n isn't larger: max(n, count + 1). After the
     k-th emit it is therefore k + max(count before, largest n_j - j so far), a running maximum: nothing is gathered per fingerprint.
     """
-    spark = emits.sparkSession
-    table = _of_schema(table) if table is not None else spark.createDataFrame([], ROW)
+    table = _of_schema(table)
     active = table.where(F.col("status").isin(*ACTIVE)).select("fingerprint", F.struct(*COLUMNS).alias("_row"))
     in_order = Window.partitionBy("fingerprint").orderBy(*order)
     e = emits.join(active, "fingerprint", "left").withColumn("_k", F.row_number().over(in_order).cast("long"))
@@ -58,9 +65,7 @@ def merge(table: DataFrame | None, emits: DataFrame, order: tuple[str, ...] = ("
         "updated_at": F.col("z.last_seen"), "created_at": F.when(old, F.col("row.created_at")).otherwise(F.col("a.last_seen")),
         "trace_id": F.coalesce("trace", value["trace_id"]), "sample_message": F.coalesce("sample", value["sample_message"]),
     }
-    rows = g.select(*[value[c].alias(c) for c in COLUMNS])
-    touched = e.where("_row is not null").select(F.col("_row.id").alias("id")).distinct()
-    return table.join(touched, "id", "left_anti").unionByName(rows), stored
+    return g.select(*[value[c].alias(c) for c in COLUMNS]), stored
 
 
 def reopen_allowed(emits: DataFrame, table: DataFrame) -> DataFrame:

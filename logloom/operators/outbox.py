@@ -26,7 +26,12 @@ def enqueue(emits: DataFrame, channels: Sequence[str], outbox: DataFrame | None
         idempotency_key(F.col("id"), F.col("channel"), F.col("occurrence_count")).alias("idempotency_key"), F.col("id").alias("alert_id"), "channel", F.to_json(F.struct("*")).alias("payload_json"),
         F.lit("pending").alias("status"), F.lit(0).alias("attempts"), now.alias("next_attempt_at"), F.lit(None).cast("string").alias("last_error"), now.alias("created_at"), now.alias("updated_at"),
     ).dropDuplicates(["idempotency_key"])
-    return rows if outbox is None else rows.join(outbox.select("idempotency_key"), "idempotency_key", "left_anti")
+    return rows if outbox is None else missing(rows, outbox)
+
+
+def missing(rows: DataFrame, outbox: DataFrame) -> DataFrame:
+    """The rows whose key the outbox doesn't have."""
+    return rows.join(outbox.select("idempotency_key"), "idempotency_key", "left_anti")
 
 
 def due(now: Column) -> Column:
@@ -69,9 +74,18 @@ def already_sent(claimed: DataFrame, audit: DataFrame) -> DataFrame:
     return claimed.join(audit.where("success = 1").select("idempotency_key").distinct(), "idempotency_key", "left_semi")
 
 
+def _redriven(keys: Sequence[str] | None, status: str, key: str) -> Column:
+    return F.col(key).isin(*keys) & F.col("status").isin(*REDRIVABLE) if keys else F.col("status") == status
+
+
+def redrivable(outbox: DataFrame, keys: Sequence[str] | None = None, status: str = "dead", key: str = "idempotency_key") -> DataFrame:
+    """The rows that ``redrive`` changes."""
+    return outbox.where(_redriven(keys, status, key))
+
+
 def redrive(outbox: DataFrame, now: Column, keys: Sequence[str] | None = None, status: str = "dead", key: str = "idempotency_key") -> DataFrame:
     """Given keys (if dead or failed), or all rows of a status, are pending again with no attempts and no error."""
-    hit = F.col(key).isin(*keys) & F.col("status").isin(*REDRIVABLE) if keys else F.col("status") == status
+    hit = _redriven(keys, status, key)
     new = {"status": F.lit("pending"), "attempts": F.lit(0), "last_error": F.lit(None).cast("string"), "next_attempt_at": now, "updated_at": now}
     return outbox.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import SEVERE
+
 SNAPSHOT_ROWS, RECENT, PER_ALERT = 2000, 100, 50
 
 
@@ -142,7 +144,7 @@ def stats(alerts: DataFrame, dispatches: DataFrame) -> DataFrame:
     """One row; the table is scanned once for all counts."""
     a = alerts.agg(
         F.count("*").alias("total"), *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("open", "updated", "acknowledged", "resolved")],
-        F.count_if(F.col("severity").isin("ERROR", "CRITICAL", "FATAL")).alias("n_severe"), F.max("last_seen").alias("last_seen"), F.count_distinct("service").alias("n_services"),
+        F.count_if(F.col("severity").isin(*SEVERE)).alias("n_severe"), F.max("last_seen").alias("last_seen"), F.count_distinct("service").alias("n_services"),
     )
     d = dispatches.agg(F.count_if(F.col("success") == 1).alias("dispatch_ok"), F.count_if(F.col("success") == 0).alias("dispatch_failed"))
     return a.crossJoin(d)  # one row each

@@ -27,6 +27,8 @@ class Settings:
     max_attempts: int = 8
     stale_seconds: int = 120
     snapshot_rows: int = 2000
+    future_seconds: int = 300
+    settle_seconds: int = 604_800
     range_url: str = ""
     range_query: str = '{job=~".+"}'
     range_seconds: int = 15

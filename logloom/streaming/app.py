@@ -4,6 +4,7 @@ worker that delivers what the outbox holds. Everything follows from ``Settings``
 from __future__ import annotations
 
 import time
+import uuid
 import warnings
 from collections.abc import Callable, Mapping
 from pathlib import Path
@@ -58,10 +59,17 @@ def records(spark: SparkSession, settings: Settings) -> DataFrame:
 
 
 class App:
-    def __init__(self, spark: SparkSession, settings: Settings, policy: Policy | None = None, stream: DataFrame | None = None, now_micros: int | None = None) -> None:
+    """Times more than ``future_seconds`` ahead of the batch's wall clock (or of ``now_micros``, if given) count as now.
+
+    The state of each fingerprint is also kept in the tables. Where the checkpoint is gone but the tables are there, the stream begins with
+    that state, so that its next decisions are those that it would have made.
+    """
+
+    def __init__(self, spark: SparkSession, settings: Settings, policy: Policy | None = None, stream: DataFrame | None = None, now_micros: int | Column | None = None) -> None:
         if not settings.tables or not settings.checkpoint:
             raise ValueError("tables and checkpoint must be set")
-        self.spark, self.settings, self.now_micros = spark, settings, now_micros
+        self.spark, self.settings = spark, settings
+        self.now_micros = F.unix_micros(F.current_timestamp()) if now_micros is None else now_micros
         self.policy = load_policy(settings) if policy is None else policy
         self.tables = Tables(spark, settings.tables, settings.channels)
         self.stream = records(spark, settings) if stream is None else stream
@@ -78,20 +86,38 @@ class App:
         trigger = {"availableNow": True} if available else {"processingTime": f"{self.settings.range_seconds} seconds"}
         return df.writeStream.queryName(f"{name}-{time.time_ns()}").option("checkpointLocation", f"{self.settings.checkpoint}/{name}").trigger(**trigger).foreachBatch(write).start()
 
-    def _store_emits(self, emits: DataFrame, batch: int) -> None:
-        emits.persist()
-        try:
-            self.tables.apply(emits, batch)
-        finally:
-            emits.unpersist()
+    def _run_name(self) -> str:
+        """The name of the stream's batches in the tables' log: another one for each checkpoint, whose batches count from 0."""
+        return self.spark.read.text(f"{self.settings.checkpoint}/name").first().value
+
+    def _initial(self) -> DataFrame | None:
+        """States for a stream without a checkpoint; None where there is one, or nothing to begin with."""
+        path = self.tables._hadoop.Path(f"{self.settings.checkpoint}/name")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            return None
+        self.spark.createDataFrame([(f"dedup-{uuid.uuid4().hex}",)], "value string").coalesce(1).write.text(f"{self.settings.checkpoint}/name")
+        states = self.tables.read("states")
+        return None if states.isEmpty() else states
+
+    def _store_changes(self, name: str) -> Callable[[DataFrame, int], None]:
+        def store(changes: DataFrame, batch: int) -> None:
+            changes.persist()
+            try:
+                self.tables.apply(changes.where(F.col("action").isin(*dedup.EMITTED)), batch, name, dedup.latest_states(changes))
+            finally:
+                changes.unpersist()
+
+        return store
 
     def _store_letters(self, letters: DataFrame, batch: int) -> None:
         letters.withColumn("batch", F.lit(batch)).write.mode("overwrite").json(f"{self.settings.tables}/dead_letters/batch={batch}")
 
     def start(self, available: bool = False) -> list[StreamingQuery]:
         """The two queries: incidents, and dead letters; with available over all that is there, else for ever."""
-        emits = dedup.emits(self.enriched(), self.now_micros)
-        return [self._start(emits, "incidents", self._store_emits, available), self._start(self.dead_letters(), "dead-letters", self._store_letters, available)]
+        initial = self._initial()
+        changes = dedup.emits(self.enriched(), self.now_micros, self.settings.settle_seconds, True, initial, self.settings.future_seconds)
+        return [self._start(changes, "incidents", self._store_changes(self._run_name()), available), self._start(self.dead_letters(), "dead-letters", self._store_letters, available)]
 
     def run_available(self) -> None:
         for query in self.start(True):
