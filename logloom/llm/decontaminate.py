@@ -67,10 +67,12 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(off)
             place = np.arange(len(words)) + GAP * np.repeat(np.arange(len(sizes)), sizes)
             order = np.argsort(words, kind="stable")
-            terms, first = np.unique(words[order], return_index=True)
-            lengths = np.diff(np.append(first, len(words)))
-            steps = place[order]
-            steps[1:] -= np.where(np.isin(np.arange(1, len(words)), first), 0, steps[:-1]) if len(words) else 0
+            words, steps = words[order], place[order]
+            new = np.ones(len(words), dtype=bool)
+            new[1:] = words[1:] != words[:-1]
+            first = np.flatnonzero(new)
+            terms, lengths = words[first], np.diff(np.append(first, len(words)))
+            steps[1:] -= np.where(new[1:], 0, steps[:-1])
             ids = part.column("id")
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),

@@ -186,8 +186,7 @@ def _block(key: tuple, entries: pa.Table, groups: pa.Table) -> pa.Table:
     names, absent = groups.column("source").to_pylist(), groups.column("absent").to_numpy()
     number = {s: i for i, s in enumerate(names)}
     row = np.array([number[s] for s in entries.column("source").to_pylist()], np.int64)
-    words = entries.column("term").combine_chunks().dictionary_encode()
-    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    words = pa.array(entries.column("term").to_pylist(), pa.string()).dictionary_encode()
     order = np.argsort(row, kind="stable")
     off = np.searchsorted(row[order], np.arange(len(names) + 1))
     got = row_divergences(entries.column("p").to_numpy()[order], words.indices.to_numpy()[order], off, absent, len(words.dictionary))
@@ -220,8 +219,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, block: int
     blocks = max(1, -(-counts.count() // block))
     of = F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int")
     entries = shares.select("lang", "source", "term", "p", of.alias("block"))
-    there = entries.select("lang", "block").distinct()
-    rows = meta.join(there, "lang").select("lang", "block", "source", "absent")
+    rows = meta.where("terms > 0").select("lang", "source", "absent", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     parts = entries.groupBy("lang", "block").cogroup(rows.groupBy("lang", "block")).applyInArrow(_block, PARTS)
     sums = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     both = meta.select("lang", "source").join(meta.select("lang", F.col("source").alias("item")), "lang").where("source <> item")
