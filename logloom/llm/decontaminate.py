@@ -11,7 +11,8 @@ whole item if it has fewer (but not none). Words of a document that an occurrenc
    in the shard to the most frequent: places of the first one, less its offset in the window, are candidates, and each further term leaves
    those where its own postings, less its offset, have the same place. Postings lie in order of (term, place), so a step is one binary
    search for all windows' candidates at once.
-3. With ``slack`` a second search lets every term stand up to so many words before or after its place: proximity matches.
+3. With ``slack`` a second search finds proximity matches: places of a window where each of its terms stands at most so many words before or
+   after its own place. Candidates are then all places within slack of those that the rarest term gives.
 4. A document's spans merge, and its items are counted. Documents meet their spans of several blocks by a group of one row a block.
 
 No cap, no sample: a term that stands in every document only makes its own list long, and is used last.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .shared import written
 
-WIDTH, SLACK = 10, 3
+WIDTH = 10
 #: Places left free between documents; words of windows in a block; candidates of one step.
 GAP, BLOCK, STEP = 64, 1_000_000, 2_000_000
 #: Bytes of text in a shard; a longer document is a shard of its own.
@@ -163,8 +164,10 @@ def occurrences(p: Postings, w: Windows, slack: int = 0) -> tuple[np.ndarray, np
         hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + STEP, "right")) - 1)
         which = np.repeat(np.arange(lo, hi), count[lo:hi])
         at = np.arange(len(which)) - np.repeat(cut[lo:hi] - cut[lo], count[lo:hi])
+        place = p.places[p.first[term[live[which], rarest[which, 0]]] + at] - rarest[which, 0]
+        if slack:
+            which, place = np.repeat(which, 2 * slack + 1), (place[:, None] + np.arange(-slack, slack + 1)).ravel()
         own = live[which]
-        place = p.places[p.first[term[own, rarest[which, 0]]] + at] - rarest[which, 0]
         for step in range(1, w.words.shape[1]):
             more = step < w.lengths[own]
             offset = rarest[which, step]
@@ -213,7 +216,8 @@ def _search(windows, slack: int | None):
                 items = near = _items(w, doc, window, rows)
                 if slack:
                     window, place = occurrences(p, w, slack)
-                    near = _items(w, np.searchsorted(p.begin, np.maximum(place + slack, 0), "right") - 1, window, rows)
+                    # A place may be up to slack words before its document; the gap before that is wider.
+                    near = _items(w, np.searchsorted(p.begin, place + slack, "right") - 1, window, rows)
                 arrays = [
                     pa.array(np.full(rows, one.column("shard")[0].as_py(), np.int64)), pa.array(np.arange(rows, dtype=np.int32)), one.column("ids").flatten(), pa.array(p.sizes),
                     *[pa.array([x[k].astype(np.int32) for x in spans], pa.list_(pa.int32())) for k in (0, 1)], pa.array(items, pa.list_(pa.string())), pa.array(near, pa.list_(pa.string())),
@@ -255,7 +259,7 @@ def _item_words(width: int):
     return go
 
 
-def spans(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int | None = SLACK, item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def spans(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int | None = None, item_col: str = "item_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Of each document: ``id``, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``n_near_items`` (items with a proximity match), and what
     they come from: ``begin`` and ``end`` of the hit spans (in words), ``items``."""
     if not 0 < width < GAP // 2 or not 0 <= (slack or 0) < GAP // 4:
@@ -279,8 +283,9 @@ def spans(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int | N
 
 
 def find(index: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``spans`` as numbers and digests of each document."""
-    return spans(index, items, **options).drop("begin", "end", "items").withColumnRenamed("id", id_col)
+    """``spans`` as numbers and digests of each document; n_near_items only where a slack is given."""
+    out = spans(index, items, **options).drop("begin", "end", "items").withColumnRenamed("id", id_col)
+    return out if options.get("slack") else out.drop("n_near_items")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -37,7 +37,7 @@ from .shared import written
 
 MIN_DOCS, ADD, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Terms, and counts of (group, term), that a task gathers before it sends them; entries of a block.
-VOCABULARY, PAIRS, BLOCK = 400_000, 1_500_000, 500_000
+VOCABULARY, PAIRS, BLOCK = 400_000, 1_500_000, 100_000
 #: Bytes of text tokenized at once, and rows sent at once.
 SLICE, ROWS = 4 << 20, 50_000
 

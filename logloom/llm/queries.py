@@ -85,7 +85,7 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import build_index, find
 
-    return find(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return find(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), slack=None)
 
 
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ from .tokens import encoded, tokenizer_path
 MAGIC, BLOCK = b"S8B1", 1024
 #: Bytes of text that a shard's task reads at most, about; Spark sorts them on disk where they don't fit, and Python streams them.
 SHARD_BYTES = 512 << 20
+#: Bytes that a row counts for besides its text, so that a shard's table of documents is bounded too; rows read from a shard at once.
+ROW_BYTES, READ_ROWS = 64, 50_000
 #: ids in a word and bits for each, by selector (fixed values of Simple-8b).
 COUNTS = (240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -220,7 +223,8 @@ class Shard:
     def documents(self, at_once: int = 1024) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) of each document, reading at_once blocks at a time."""
         held, block = np.zeros(0, np.uint64), 0
-        for doc, null, size in zip(self.doc.tolist(), self.null.tolist(), self.size.tolist(), strict=True):
+        for k in range(len(self.doc)):
+            doc, null, size = int(self.doc[k]), bool(self.null[k]), int(self.size[k])
             parts, have = [held], len(held)
             while have < size:
                 got = self.blocks(block, min(block + at_once, len(self.begin)))
@@ -239,19 +243,24 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
             shard = Shard(path)
-            begin = start + np.cumsum(shard.size) - shard.size
-            crc = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in shard.documents()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.doc, mask=shard.null), pa.array(begin), pa.array(shard.size), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            found = shard.documents()
+            for a in range(0, len(shard.doc), READ_ROWS):
+                size = shard.size[a : a + READ_ROWS]
+                begin = start + np.cumsum(size) - size
+                crc = np.fromiter((zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in islice(found, len(size))), np.int64, len(size))
+                start += int(size.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc[a : a + READ_ROWS], mask=shard.null[a : a + READ_ROWS]), pa.array(begin), pa.array(size), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
     """Writes shards in ascending doc_id order; (path, ids before it, ids in it) of each, in order."""
     src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("body"))
-    tie = F.xxhash64("body")
-    spark = docs.sparkSession
-    n_bytes = src.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    # Rows that are alike in doc_id and text are told apart by their place in the input, so that they spread as well.
+    src = src.withColumns({"tie": F.xxhash64("body"), "place": F.monotonically_increasing_id()})
+    spark, order = docs.sparkSession, ["id", "tie", "place"]
+    n_bytes = src.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // SHARD_BYTES))
-    dealt = src.repartitionByRange(n, F.col("id"), tie).sortWithinPartitions(F.col("id"), tie)
+    dealt = src.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "body")
     shards = sorted(dealt.mapInArrow(_write(folder, tokenizer_path(tokenizer), uuid.uuid4().hex, end), SHARD).collect())
     out, before = [], 0
     for s in shards:

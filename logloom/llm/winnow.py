@@ -5,14 +5,16 @@ window is ``min_lines`` consecutive lines, or with ``min_words`` (the pipeline's
 words. A line goes if a window that covers it also stands at a smaller (doc_id, line).
 
 1. Winnowing (``mapInArrow``): of each window the smallest line hash is selected, the last one on ties. Equal windows select the
-   same line at the same place, so the selected ones are guaranteed fingerprints. A row is a window with its fingerprint.
-2. Fingerprints that are selected at a single position of the corpus match nothing; the others are joined by their hashes.
-3. A match is extended to the left and to the right over the whole window around it: among the windows of shared fingerprints those
-   with equal lines on both sides (128 bits over the hashes of all their lines) meet, and all but the first are repeats.
-   Overlapping repeats merge into runs.
+   same line at the same place, so the selected lines are guaranteed fingerprints of any shared run. A document with windows is one row: its
+   line hashes, and which of them are selected (about half, however many windows select one).
+2. Positions (document, line) meet by their fingerprint; those of fingerprints that stand at a single position of the corpus match nothing,
+   and most documents have no others.
+3. The rest go back to their documents' line hashes, and a match is extended to both sides of its position: of the windows around it those
+   that select it. Windows with the same fingerprint and equal lines to its left and right (128 bits over the hashes of all
+   their lines) are one passage; all but the first are repeats, and overlapping repeats merge into maximal runs.
 4. Texts meet the repeats of their document, and the covered lines are deleted.
 
-Nothing compares pairs: occurrences of a fingerprint or of a window meet in minima, with partial ones before each shuffle, and
+Nothing compares pairs: positions of a fingerprint, and windows of a passage, meet in minima, with partial ones before each shuffle, and
 the minima are written to the shared folder before rows are joined to them, so that Spark can split the join of a line or window
 that a third of all documents hold.
 
@@ -39,8 +41,13 @@ RUN_BITS = 4
 
 
 def line_windows(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int | None) -> dict[str, np.ndarray]:
-    """row, place (first line << RUN_BITS | lines), fingerprint f with its line ``at``, and two hashes of each window."""
+    """``windows`` of texts."""
     lh, size, _, off = K.line_word_hash(data, offsets)
+    return windows(lh, size, off, width, min_words)
+
+
+def windows(lh: np.ndarray, size: np.ndarray, off: np.ndarray, width: int, min_words: int | None) -> dict[str, np.ndarray]:
+    """row, place (first line << RUN_BITS | lines), fingerprint f with its line ``at``, and two hashes of each window; from line hashes and numbers of words."""
     words = np.concatenate(([0], np.cumsum(size)))
     found: dict[str, list[np.ndarray]] = {k: [] for k in ("row", "place", "f", "at", "h", "g")}
     for w in range(1 if min_words is not None else width, width + 1):
@@ -60,14 +67,43 @@ def line_windows(data: np.ndarray, offsets: np.ndarray, width: int, min_words: i
     return {k: np.concatenate(v) for k, v in found.items()}
 
 
-def _scan(width: int, min_words: int | None):
+def _lists(values: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values, kind))
+
+
+def _flat(column: pa.ListArray, kind: type) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+
+
+def _select(width: int, min_words: int | None):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with windows: their lines, and those that a window selects."""
         for batch in batches:
             for part in K.slices(batch, "body"):
-                found = line_windows(*K.utf8(part.column("body")), width, min_words)
-                row = pa.array(found["row"])
-                numbers = [pa.array(found[k].view(np.int64)) for k in ("f", "at", "h", "g", "place")]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(row), part.column("rid").take(row), *numbers], ["id", "rid", "f", "at", "h", "g", "place"])
+                lh, size, _, off = K.line_word_hash(*K.utf8(part.column("body")))
+                found = windows(lh, size, off, width, min_words)
+                picked = np.unique(off[found["row"]] + found["at"]) if len(found["row"]) else np.zeros(0, np.int64)
+                row = np.searchsorted(off, picked, "right") - 1
+                arrays = [part.column("id"), part.column("rid"), _lists(lh.view(np.int64), off, pa.int64()), _lists(size, off, pa.int32()), _lists(picked - off[row], np.searchsorted(picked, off), pa.int32())]
+                out = pa.RecordBatch.from_arrays(arrays, ["id", "rid", "lines", "words", "picked"])
+                yield out.filter(pa.array(np.bincount(row, minlength=len(off) - 1) > 0))
+
+    return go
+
+
+def _extend(width: int, min_words: int | None):
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows that extend from a document's shared positions (``at``)."""
+        for batch in batches:
+            lines, at = batch.column("lines"), batch.column("at")
+            off = np.concatenate(([0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))))
+            shared = np.zeros(off[-1], dtype=bool)
+            shared[np.repeat(off[:-1], at.value_lengths().to_numpy(zero_copy_only=False)) + _flat(at, np.int64)] = True
+            found = windows(_flat(lines, np.int64).view(K.U64), _flat(batch.column("words"), np.int64), off, width, min_words)
+            keep = np.flatnonzero(shared[off[found["row"]] + found["at"]]) if len(found["row"]) else np.zeros(0, np.int64)
+            row = pa.array(found["row"][keep])
+            numbers = [pa.array(found[k][keep].view(np.int64)) for k in ("f", "h", "g", "place")]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("rid").take(row), *numbers], ["id", "rid", "f", "h", "g", "place"])
 
     return go
 
@@ -108,13 +144,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     kinds = dict(src.dtypes)
     known = src.where(F.col("id").isNotNull() & F.contains("body", F.lit("\n")) if min_words is None and min_lines > 1 else F.col("id").isNotNull())
-    windows = written(known.select("id", "rid", "body").mapInArrow(_scan(min_lines, min_words), f"id {kinds['id']}, rid long, f long, at long, h long, g long, place long"), "line-windows")
+    kind, own = f"id {kinds['id']}, rid long", (min_lines, min_words)
+    lined = known.select("id", "rid", "body").mapInArrow(_select(*own), f"{kind}, lines array<long>, words array<int>, picked array<int>")
+    lined = written(lined.withColumn("doc", F.monotonically_increasing_id()), "line-hashes")
+    positions = lined.select("doc", "id", F.explode(F.transform("picked", lambda i: F.struct(i.alias("at"), F.get("lines", i).alias("f")))).alias("p")).select("doc", "id", "p.at", "p.f")
     position = F.struct("id", "at")
-    shared = windows.groupBy("f").agg(F.min(position).alias("lo"), F.max(position).alias("hi")).where("lo <> hi").select("f")
-    matched = windows.join(written(shared, "line-fingerprints"), "f", "left_semi")
+    shared = positions.groupBy("f").agg(F.min(position).alias("lo"), F.max(position).alias("hi")).where("lo <> hi").select("f")
+    hits = positions.join(written(shared, "line-fingerprints"), "f", "left_semi").groupBy("doc").agg(F.collect_list("at").alias("at"))
+    matched = written(lined.join(hits, "doc").select("id", "rid", "lines", "words", "at").mapInArrow(_extend(*own), f"{kind}, f long, h long, g long, place long"), "line-matches")
     rank = F.struct("id", F.col("place").alias("place"))
-    first = matched.groupBy("h", "g").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")).where("lo <> hi").select("h", "g", "lo")
-    repeats = matched.join(written(first, "line-repeats"), ["h", "g"]).where(rank > F.col("lo"))
+    passage = ["f", "h", "g"]
+    first = matched.groupBy(*passage).agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")).where("lo <> hi").select(*passage, "lo")
+    repeats = matched.join(written(first, "line-repeats"), passage).where(rank > F.col("lo"))
     lost = repeats.groupBy("id", "rid").agg(F.collect_set("place").alias("places"))
     met = src.join(lost, ["id", "rid"], "left").select("body", "places", "rest")
     return met.mapInArrow(_apply, f"rest {kinds['rest']}, n long, gone long, kept string")

@@ -927,4 +927,4 @@ def test_pipeline_against_plain_code(spark, tiny, docs, rows, tmp_path):
 
 def test_registered():
     names = list(registered.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
