@@ -129,8 +129,10 @@ def union_sources(*sources: DataFrame) -> DataFrame:
     return out
 
 
-def once(entries: DataFrame, keys: Sequence[str] = ("ts_ns", "service", "line"), watermark: str | None = None) -> DataFrame:
-    """Entries without repeats; on a stream, repeats within the watermark of ``timestamp``."""
+def once(entries: DataFrame, keys: Sequence[str] = ("ts_ns", "service", "line"), ttl_seconds: int = 86_400) -> DataFrame:
+    """Entries without repeats; on a stream a repeat is what comes again within ttl_seconds of its first arrival, and nothing is too late."""
     if entries.isStreaming:
-        return entries.withWatermark("timestamp", watermark or "10 minutes").dropDuplicatesWithinWatermark(list(keys))
+        from ..streaming.once import once as on_stream
+
+        return on_stream(entries, keys, ttl_seconds=ttl_seconds)
     return entries.dropDuplicates(list(keys))

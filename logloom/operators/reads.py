@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..model import SEVERE
@@ -32,9 +35,13 @@ def _entry(entries: Column, key: str, value: str) -> Column:
     return F.exists(entries, lambda e: (F.lower(e["key"]) == key) & ((F.lower(e["value"]) == value) if value else F.lit(True)))
 
 
+def searched() -> Column:
+    """The text of an incident that a search looks at, in lower case."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "sample_message", "fingerprint", "error_code", "service")]))
+
+
 def contains(q: str) -> Column:
-    text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "sample_message", "fingerprint", "error_code", "service")])
-    return F.contains(F.lower(text), F.lit(q.strip().lower()))
+    return F.contains(searched(), F.lit(q.strip().lower()))
 
 
 def snapshot(alerts: DataFrame, rows: int = SNAPSHOT_ROWS) -> DataFrame:
@@ -173,15 +180,89 @@ def drop_widget(table: DataFrame, widget_id: str) -> DataFrame:
     return table.where(F.col("id") != widget_id)
 
 
-def widget_matches(table: DataFrame, alerts: DataFrame, per_widget: int = 10, max_widgets: int = 1000) -> DataFrame:
-    """For each widget its newest incidents. Widgets are a small table kept by hand; its size is checked before it is sent to all tasks."""
-    n = table.count()
-    if n > max_widgets:
-        raise ValueError(f"{n} widgets; {max_widgets} at most")
-    w = table.select(F.col("id").alias("widget_id"), F.col("labels").alias("specs"), F.col("status_filter"))
-    entries = F.map_entries("labels")
-    fits = F.forall("specs", lambda s: F.exists(entries, lambda e: (F.lower(e["key"]) == F.lower(F.trim(s["key"]))) & ((F.coalesce(s["value"], F.lit("")) == "") | (F.lower(e["value"]) == F.lower(F.trim(s["value"]))))))
-    state = (F.coalesce("status_filter", F.lit("")) == "") | F.array_contains(F.transform(F.split("status_filter", ","), lambda x: F.trim(x)), F.col("status"))
-    hit = alerts.join(F.broadcast(w), fits & state)
+def widget_matches(table: DataFrame, alerts: DataFrame, per_widget: int = 10) -> DataFrame:
+    """For each widget its newest incidents: those that have all of its labels (blank keys are skipped), and one of its statuses.
+
+    Relational division: different specs (key, value or any value) meet the incidents' labels by equality, so each incident has the list of specs that
+    it satisfies. A widget meets the incidents of its rarest spec, and keeps those whose list holds all the others. A widget without a
+    spec takes any incident: its newest ones are among the newest of each status, which are a few rows.
+    """
+    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    given = F.array_distinct(F.filter(F.transform("labels", lambda s: F.struct(low(s["key"]).alias("key"), low(s["value"]).alias("value"))), lambda s: s["key"] != ""))
+    states = F.filter(F.transform(F.split(F.coalesce("status_filter", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    w = table.select(F.col("id").alias("widget_id"), "status_filter", given.alias("specs"), states.alias("_states"))
+    fits = (F.size("_states") == 0) | F.array_contains("_states", F.col("status"))
+    # What each incident satisfies: its labels with their values, and with any value.
+    entries = F.transform(F.map_entries("labels"), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.lower(e["value"]).alias("value")))
+    both = F.array_distinct(F.concat(entries, F.transform(entries, lambda e: F.struct(e["key"].alias("key"), F.lit("").alias("value")))))
+    asked = w.select(F.explode("specs").alias("spec")).distinct()
+    has = alerts.select("id", F.explode(both).alias("spec")).join(asked, "spec", "left_semi")
+    often = has.groupBy("spec").agg(F.count("*").alias("n"))
+    # A spec that no incident satisfies leaves its widget out: the join with the counts loses it, and the count of specs tells.
+    known = w.select("widget_id", F.size("specs").alias("need"), F.explode("specs").alias("spec")).join(often, "spec")
+    rarest = known.groupBy("widget_id").agg(F.min_by("spec", "n").alias("spec"), F.count("*").alias("n"), F.max("need").alias("need")).where("n = need").select("widget_id", "spec")
+    lists = has.groupBy("id").agg(F.collect_set("spec").alias("_has"))
+    anchors = w.where(F.size("specs") > 0).join(rarest, "widget_id")
+    met = has.join(anchors, "spec").join(lists, "id").where(F.size(F.array_except("specs", "_has")) == 0).drop("spec", "_has")
+    hit = met.join(alerts, "id").where(fits)
+    newest = F.row_number().over(Window.partitionBy("status").orderBy(F.desc("last_seen"), "id"))
+    few = alerts.withColumn("_n", newest).where(F.col("_n") <= per_widget).drop("_n")
+    free = w.where(F.size("specs") == 0).join(F.broadcast(few), fits)
     place = F.row_number().over(Window.partitionBy("widget_id").orderBy(F.desc("last_seen"), "id"))
-    return hit.withColumn("place", place).where(F.col("place") <= per_widget)
+    return hit.unionByName(free).drop("_states").withColumn("place", place).where(F.col("place") <= per_widget)
+
+
+# Pages by place, not by number: a page begins behind the last row of the one before it.
+
+
+def token_of(row: Row | None, order: Sequence[tuple[str, bool]]) -> str | None:
+    """Where a page ended, for the next one; None after the last row. order: (column, descending)."""
+    return None if row is None else base64.urlsafe_b64encode(json.dumps([_plain(row[c]) for c, _ in order]).encode()).decode()
+
+
+def _plain(v):
+    """A JSON value; a time as the microseconds of its instant (one without a zone is in the machine's, as collected rows are)."""
+    return {"t": (v.astimezone(timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)} if isinstance(v, datetime) else v
+
+
+def _literal(v) -> Column:
+    return F.timestamp_micros(F.lit(v["t"])) if isinstance(v, dict) else F.lit(v)
+
+
+def seek(df: DataFrame, order: Sequence[tuple[str, bool]], token: str | None = None, page_size: int = 25) -> DataFrame:
+    """The rows behind a token's place in an order, whose last column is unique; nulls come last.
+
+    The place is a filter, which goes down to the scan; rows before it aren't sorted, and rows that are added there move nothing.
+    """
+    rows = df
+    if token is not None:
+        try:
+            at = json.loads(base64.urlsafe_b64decode(token.encode()))
+        except ValueError as e:
+            raise ValueError("a page's token can't be read") from e
+        if not isinstance(at, list) or len(at) != len(order):
+            raise ValueError("a page's token is of another order")
+        behind, same = F.lit(False), F.lit(True)
+        for (c, down), v in zip(order, at, strict=True):
+            if v is None:  # nulls are last: nothing but nulls is behind or beside
+                same = same & F.col(c).isNull()
+                continue
+            behind = behind | (same & (F.col(c).isNull() | (F.col(c) < _literal(v) if down else F.col(c) > _literal(v))))
+            same = same & (F.col(c) == _literal(v))
+        first, down = order[0]
+        if at[0] is not None:  # the part of it that statistics of files can use
+            rows = rows.where(F.col(first).isNull() | (F.col(first) <= _literal(at[0]) if down else F.col(first) >= _literal(at[0])))
+        rows = rows.where(behind)
+    return rows.orderBy(*[F.desc_nulls_last(c) if d else F.asc_nulls_last(c) for c, d in order]).limit(min(200, max(1, page_size)))
+
+
+NEWEST_ALERTS = (("last_seen", True), ("id", False))
+NEWEST_DISPATCHES = (("created_at", True), ("idempotency_key", True))
+NEWEST_OUTBOX = (("updated_at", True), ("idempotency_key", True))
+
+
+def alerts_after(alerts: DataFrame, token: str | None = None, page_size: int = 25, **filters) -> tuple[DataFrame, str | None]:
+    """(a page of the filtered incidents, newest first, the token of the next page). The page is computed once, for its token."""
+    rows = seek(filtered(alerts, **filters), NEWEST_ALERTS, token, page_size).collect()  # at most 200
+    page = alerts.sparkSession.createDataFrame(rows, alerts.schema)
+    return page, token_of(rows[-1] if len(rows) == min(200, max(1, page_size)) else None, NEWEST_ALERTS)

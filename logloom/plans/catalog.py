@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import channels, dedup, external, incidents, metrics, outbox, parse, policy, reads
+from ..operators import channels, dedup, external, incidents, metrics, outbox, parse, policy, reads, search
 from ..session import checkpointed, shared_folder
 from . import views as V
 
@@ -159,6 +159,12 @@ def _emit_rows(e: DataFrame, *more: str) -> DataFrame:
     )
 
 
+@query(f"WITH RECURSIVE {V.chain('coarse', V.CLAMPED)} SELECT event_id, fingerprint, action FROM a")
+def dedup_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As of a time inside the data: what lies far after it counts as now."""
+    return dedup.actions(V.enriched(spark, sf_dir, V.COARSE), V.NOW_MICROS).select("event_id", "fingerprint", "action")
+
+
 @query(f"WITH RECURSIVE {V.emitted()} SELECT {EMIT} FROM em")
 def dedup_emits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _emit_rows(V.emits(spark, sf_dir))
@@ -559,11 +565,53 @@ def stored_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.view(a).select("id", F.coalesce(F.try_element_at("labels", F.lit("env")), F.lit("")).alias("env"), "occurrence_count", "sample_message")
 
 
-@query("SELECT * FROM (VALUES ('w3', 'None', 0, ''), ('w1', 'Prod again', 1, 'open')) v(id, title, sort_order, status_filter)")
+def _user_widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A widget for each user of the events: an environment's incidents, of two statuses for some."""
+    u = V.logs(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id"), "event_id").select("user_id", F.col("labels")["env"].alias("env")).distinct()
+    spec = lambda k, v: F.struct(F.lit(k).alias("key"), (F.lit(v) if isinstance(v, str) else v).alias("value"))
+    labels = F.when(F.col("user_id") % 3 == 0, F.array(spec("ENV", F.col("env")))).when(F.col("user_id") % 3 == 1, F.array(spec("env", F.upper("env")), spec("team", ""))).otherwise(F.array(spec("env", F.col("env")), spec("zone", "x")))
+    return u.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("title"), labels.alias("labels"),
+        F.when(F.col("user_id") % 2 == 0, "open, updated").otherwise("").alias("status_filter"), (F.col("user_id") % 5).cast("int").alias("sort_order"),
+    )
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), p AS (SELECT min('u' || user_id) AS gone FROM u)
+  SELECT 'u' || user_id AS id, CASE WHEN user_id % 2 = 0 THEN 'Again ' || user_id ELSE 'User ' || user_id END AS title, CAST(user_id % 5 AS INT) AS sort_order, CASE WHEN user_id % 2 = 0 THEN 'open, updated' ELSE '' END AS status_filter FROM u, p WHERE 'u' || user_id <> gone""")
 def widgets_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One widget replaced, one dropped; in their order."""
-    row = spark.sql("SELECT 'w1' AS id, 'Prod again' AS title, array(named_struct('key', 'env', 'value', 'prod')) AS labels, 'open' AS status_filter, 1 AS sort_order")
-    return reads.widgets(reads.drop_widget(reads.save_widget(_widgets(spark), row), "w2")).select("id", "title", "sort_order", "status_filter")
+    """A widget for each user, stored; half of them replaced, one dropped; in their order."""
+    from ..streaming.tables import Tables
+
+    tables, rows = Tables(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"), checkpointed(_user_widgets(spark, sf_dir))
+    tables.save_widget(rows)
+    tables.save_widget(rows.where("status_filter <> ''").withColumn("title", F.replace("title", F.lit("User"), F.lit("Again"))))
+    tables.drop_widget(rows.agg(F.min("id")).first()[0])
+    return tables.widgets().select("id", "title", "sort_order", "status_filter")
+
+
+@query(f"""WITH RECURSIVE {V.ALERTS}, u AS (SELECT DISTINCT user_id, env FROM (SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'prod' ELSE 'staging' END AS env FROM events)),
+  h AS (SELECT 'u' || user_id AS widget_id, a.* FROM u JOIN alerts a ON a.env = u.env AND user_id % 3 <> 2 AND (user_id % 2 <> 0 OR a.status IN ('open', 'updated')))
+  SELECT widget_id, id, row_number() OVER (PARTITION BY widget_id ORDER BY last_micros DESC, id) AS place FROM h QUALIFY place <= 10""")
+def widgets_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many widgets as there are users; a third asks for a label that no incident has."""
+    return reads.widget_matches(_user_widgets(spark, sf_dir), V.alerts(spark, sf_dir)).select("widget_id", "id", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH RECURSIVE {V.ALERTS} SELECT {LIST} FROM alerts ORDER BY last_micros DESC, id LIMIT 25 OFFSET 50")
+def alerts_seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third page, found from where the second one ended."""
+    a, token = checkpointed(V.alerts(spark, sf_dir)), None
+    for _ in range(2):
+        _, token = reads.alerts_after(a, token)
+    return reads.alerts_after(a, token)[0].select(*SHOWN)
+
+
+@query(f"WITH RECURSIVE {V.ALERTS} SELECT {LIST} FROM alerts WHERE contains(lower(concat_ws(' ', title, sample_message, fingerprint, COALESCE(error_code, ''), service)), 'timed out after')")
+def alerts_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of all incidents by an index of their trigrams."""
+    a, path = checkpointed(V.alerts(spark, sf_dir)), f"{shared_folder(spark)}/trigrams-{uuid.uuid4().hex}"
+    search.build(a, path)
+    return search.find(spark, path, a, " Timed OUT after ").rows.select(*SHOWN)
 
 
 @query(f"WITH {V.LOGS} SELECT event_id, NULLIF(least(event_id % 6000, 4000), 0) AS n_body, NULLIF(least(event_id % 3000, 2000), 0) AS n_error FROM logs")
@@ -632,6 +680,49 @@ def table_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read("incidents").join(queued, "id").select("id", "fingerprint", "severity", "status", "occurrence_count", _micros("last_seen", "last_micros"), "n_outbox")
 
 
+def _new_tables(spark: SparkSession):
+    from ..streaming.tables import Tables
+
+    return Tables(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", V.CHANNELS)
+
+
+OLDEST = f"""WITH RECURSIVE {MERGED}, ob AS (SELECT DISTINCT ON (key) id || ':' || channel || ':' || n AS key, m.last_micros FROM m, (VALUES ('webhook'), ('card')) v(channel) ORDER BY key, m.last_micros),
+  r AS (SELECT *, row_number() OVER (ORDER BY last_micros, key) AS place FROM ob)"""
+
+
+@query(f"""{OLDEST} SELECT key AS idempotency_key, CASE WHEN place BETWEEN 31 AND 40 THEN 'sent' ELSE 'pending' END AS status, CAST(CASE WHEN place <= 40 THEN 1 ELSE 0 END AS INT) AS attempts, CASE WHEN place <= 40 THEN 1 ELSE 0 END AS n_audit FROM r""")
+def outbox_overtaken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A worker claims 30 rows and falls asleep; another one's claim releases them and takes ten others. The first one's results come late:
+    they don't count, as its rows have changed since, but its deliveries are in the audit."""
+    tables, now = _new_tables(spark), V.now() + F.expr("INTERVAL 3650 DAYS")
+    tables.apply(checkpointed(V.emits(spark, sf_dir, V.COARSE)), 0)
+    log = lambda rows: rows.select("alert_id", "channel", F.lit(1).alias("success"), "idempotency_key", now.alias("created_at"))
+    sent = lambda rows: outbox.mark(rows, F.lit(True), F.lit(None).cast("string"), now)
+    first = checkpointed(tables.claim(now, 30))
+    second = checkpointed(tables.claim(now + F.expr("INTERVAL 1 HOUR"), 10))
+    tables.results(sent(first), log(first))
+    tables.results(sent(second), log(second))
+    counted = tables.read("audit").groupBy("idempotency_key").agg(F.count("*").alias("n_audit"))
+    return tables.read("outbox").join(counted, "idempotency_key", "left").select("idempotency_key", "status", "attempts", F.coalesce("n_audit", F.lit(0)).alias("n_audit"))
+
+
+@query(f"""WITH RECURSIVE {MERGED}, z AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY k DESC) = 1), y AS (SELECT z.*, e.service, CASE WHEN z.fingerprint = (SELECT min(fingerprint) FROM z) THEN 'resolved' ELSE z.status END AS now_status FROM z JOIN em e USING (event_id)),
+  del AS (SELECT event_id % 7 <> 0 AS ok FROM em, (VALUES ('webhook'), ('card')) v(channel))
+  SELECT count(*) AS total, count(*) FILTER (now_status = 'open') AS n_open, count(*) FILTER (now_status = 'updated') AS n_updated, count(*) FILTER (now_status = 'acknowledged') AS n_acknowledged, count(*) FILTER (now_status = 'resolved') AS n_resolved,
+  count(*) FILTER (severity IN ('ERROR', 'CRITICAL', 'FATAL')) AS n_severe, count(DISTINCT service) AS n_services, (SELECT count(*) FILTER (ok) FROM del) AS dispatch_ok, (SELECT count(*) FILTER (NOT ok) FROM del) AS dispatch_failed, max(last_micros) AS last_micros FROM y""")
+def stats_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics from sums that every commit keeps: all emits, all cleared, again in two batches, their deliveries, an operator's action."""
+    tables, emits = _new_tables(spark), checkpointed(V.emits(spark, sf_dir, V.COARSE))
+    tables.apply(emits, 0)
+    tables.clear()
+    tables.apply(emits.where(F.col("micros") < V.NOW_MICROS), 1)
+    tables.apply(emits.where(F.col("micros") >= V.NOW_MICROS), 2)
+    audit = V.deliveries(spark, sf_dir, emits)
+    tables.commit(lambda base: {"audit": audit})
+    tables.resolve_fingerprint(tables.read("incidents").agg(F.min("fingerprint")).first()[0], V.now())
+    return tables.stats().withColumn("last_micros", F.unix_micros("last_seen")).drop("last_seen")
+
+
 # Streaming
 
 
@@ -646,3 +737,47 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = stream.emits(policy.enrich(V.logs_of(events), fields=V.COARSE)).select("event_id", "id", "fingerprint", "action", "severity", "occurrence_count")
     stream.run_available(changes, f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
     return spark.read.schema(changes.schema).parquet(f"{folder}/out/*")
+
+
+@query(f"WITH {V.LOGS} SELECT DISTINCT micros // 100000000 AS ts_ns, service, level AS line FROM logs")
+def stream_source_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two polls of a source: entries since NOW, then those up to three days after it, which are late, and of which some have come before."""
+    from ..streaming import dedup as stream
+
+    folder = f"{shared_folder(spark)}/polls-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    slot = F.floor(F.unix_micros("timestamp") / 100_000_000)
+    e = V.logs(spark, sf_dir).select(F.timestamp_seconds(slot * 100).alias("timestamp"), slot.alias("ts_ns"), "service", F.col("level").alias("line"))
+    for n, when in enumerate((F.col("timestamp") >= V.now(), F.col("timestamp") < V.now() + F.expr("INTERVAL 3 DAYS"))):
+        e.where(when).coalesce(1).write.parquet(f"{folder}/in/poll={n}")
+    polls = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    stream.run_available(external.once(polls), f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    return spark.read.schema(e.schema).parquet(f"{folder}/out/*").select("ts_ns", "service", "line")
+
+
+@query(f"WITH RECURSIVE {V.emitted('coarse')} SELECT event_id, id, fingerprint, action, severity, CAST(place AS BIGINT) AS occurrence_count FROM em")
+def stream_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream up to NOW, whose states go to a table and leave the operator when they have settled; then one without its checkpoint,
+    which begins with the table."""
+    from ..streaming import dedup as stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    folder, tables = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", _new_tables(spark)
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    enriched = policy.enrich(V.logs_of(events), fields=V.COARSE)
+    names = ["event_id", "id", "fingerprint", "action", "severity", "occurrence_count"]
+
+    def run(name: str, when, initial: DataFrame | None) -> None:
+        def write(changes: DataFrame, batch: int) -> None:
+            changes.persist()
+            changes.where(F.col("action").isin(*stream.EMITTED)).select(*names).write.mode("overwrite").parquet(f"{folder}/out/{name}-{batch}")
+            states = stream.latest_states(changes)
+            tables.commit(lambda base: {"states": states}, (name, batch))
+            changes.unpersist()
+
+        changes = stream.emits(enriched.where(when), settle_seconds=7 * 86_400, keep_states=True, initial=initial)
+        stream.run_available(changes, f"{folder}/{name}", write)
+
+    run("before", F.col("timestamp") < V.now(), None)
+    run("after", F.col("timestamp") >= V.now(), checkpointed(tables.read("states")))
+    return spark.read.parquet(f"{folder}/out/*")

@@ -84,6 +84,10 @@ NOW = "2024-01-20 00:00:00"
 NOW_MICROS = 1_705_708_800_000_000
 
 
+#: The clock of an event where times far after NOW count as NOW.
+CLAMPED = f"(CASE WHEN {{0}} > {NOW_MICROS} + 300000000 THEN {NOW_MICROS} ELSE {{0}} END)"
+
+
 def now() -> Column:
     return F.timestamp_micros(F.lit(NOW_MICROS))
 
@@ -127,16 +131,17 @@ def gated(fields: str = "default") -> str:
   o AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY micros, event_id) AS rn FROM g)"""
 
 
-def chain(fields: str = "default") -> str:
-    """a: gated rows with action, session and place in the session."""
+def chain(fields: str = "default", clock: str = "{}") -> str:
+    """a: gated rows with action, session and place in the session; clock: what counts as the time of an event, of its micros."""
+    t, first = clock.format("o.micros"), clock.format("micros")
     return f"""{gated(fields)}, c AS (
-  SELECT fingerprint, rn, micros, w, micros AS last_emitted, 'new' AS action, 0 AS s, 1 AS place FROM o WHERE rn = 1
+  SELECT fingerprint, rn, micros, w, {first} AS last_emitted, 'new' AS action, 0 AS s, 1 AS place FROM o WHERE rn = 1
   UNION ALL
   SELECT o.fingerprint, o.rn, o.micros, o.w,
-    CASE WHEN o.micros - c.micros > c.w * 1000000 OR o.micros - c.last_emitted >= o.r * 1000000 THEN o.micros ELSE c.last_emitted END,
-    CASE WHEN o.micros - c.micros > c.w * 1000000 THEN 'new' WHEN o.micros - c.last_emitted < o.r * 1000000 THEN 'suppress' ELSE 'update' END,
-    CASE WHEN o.micros - c.micros > c.w * 1000000 THEN c.s + 1 ELSE c.s END,
-    CASE WHEN o.micros - c.micros > c.w * 1000000 THEN 1 ELSE c.place + 1 END
+    CASE WHEN {t} - c.micros > c.w * 1000000 OR {t} - c.last_emitted >= o.r * 1000000 THEN {t} ELSE c.last_emitted END,
+    CASE WHEN {t} - c.micros > c.w * 1000000 THEN 'new' WHEN {t} - c.last_emitted < o.r * 1000000 THEN 'suppress' ELSE 'update' END,
+    CASE WHEN {t} - c.micros > c.w * 1000000 THEN c.s + 1 ELSE c.s END,
+    CASE WHEN {t} - c.micros > c.w * 1000000 THEN 1 ELSE c.place + 1 END
   FROM c JOIN o ON o.fingerprint = c.fingerprint AND o.rn = c.rn + 1),
   a AS (SELECT o.*, c.action, c.s, c.place FROM o JOIN c USING (fingerprint, rn))"""
 

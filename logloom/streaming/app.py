@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import level
 from ..operators import external, outbox, parse
 from ..operators.policy import Policy, enrich
 from ..settings import Settings
@@ -34,23 +35,29 @@ def load_policy(settings: Settings) -> Policy:
     return Policy.load(*paths)
 
 
-def records(spark: SparkSession, settings: Settings) -> DataFrame:
-    """The stream of JSON records in ``value`` that the settings name: files, a topic, or a range-query store.
-
-    ``source`` is files, topic, range or auto: then the first one that is configured.
-    """
+def mode_of(settings: Settings) -> str:
+    """files, topic or range; ``auto`` is the first one that is configured, and a range without an address falls back to files."""
     mode = settings.source
     if mode == "auto":
         mode = "range" if settings.range_url else "topic" if settings.topic_servers else "files"
     if mode == "range" and not settings.range_url:
-        warnings.warn("no range_url: records are read from files", stacklevel=2)
+        warnings.warn("no range_url: records are read from files", stacklevel=3)
         mode = "files"
+    return mode
+
+
+def entries(spark: SparkSession, settings: Settings) -> DataFrame:
+    """The log events of a range-query store, each once, however late it comes."""
+    spark.dataSource.register(RangeLogs)
+    options = {"url": settings.range_url, "query": settings.range_query, "lookback_seconds": str(settings.range_lookback), "limit": str(settings.range_limit)}
+    return external.once(external.range_entries(spark.readStream.format("range_logs").options(**options).load()))
+
+
+def records(spark: SparkSession, settings: Settings) -> DataFrame:
+    """The stream of JSON records in ``value`` that the settings name: files, a topic, or a range-query store."""
+    mode = mode_of(settings)
     if mode == "range":
-        spark.dataSource.register(RangeLogs)
-        options = {"url": settings.range_url, "query": settings.range_query, "lookback_seconds": str(settings.range_lookback), "limit": str(settings.range_limit)}
-        answers = spark.readStream.format("range_logs").options(**options).load()
-        entries = external.once(external.range_entries(answers))
-        return entries.select(F.to_json(F.struct("timestamp", "level", "service", "host", "message", "error_code", "trace_id", "labels"), {"timestampFormat": parse.WIRE_TIME}).alias("value"))
+        return entries(spark, settings).select(F.to_json(F.struct("timestamp", "level", "service", "host", "message", "error_code", "trace_id", "labels"), {"timestampFormat": parse.WIRE_TIME}).alias("value"))
     if mode == "topic":
         return kafka.read_topic(spark, settings.topic_servers, settings.topic).select("value")
     if not settings.input_path:
@@ -72,10 +79,15 @@ class App:
         self.now_micros = F.unix_micros(F.current_timestamp()) if now_micros is None else now_micros
         self.policy = load_policy(settings) if policy is None else policy
         self.tables = Tables(spark, settings.tables, settings.channels)
-        self.stream = records(spark, settings) if stream is None else stream
+        #: Entries of a range-query store are events already: they aren't written as JSON to be parsed again, and none is a dead letter.
+        self.entries = entries(spark, settings) if stream is None and mode_of(settings) == "range" else None
+        self.stream = stream if stream is not None or self.entries is not None else records(spark, settings)
 
     def enriched(self) -> DataFrame:
         """Records that can be used and pass their level, with policy and fingerprint; a record's number is a hash of it."""
+        if self.entries is not None:
+            number = F.xxhash64("ts_ns", "service", "line").alias("event_id")
+            return enrich(self.entries.select(number, "timestamp", level(F.col("level")).alias("level"), "service", "host", "message", "error_code", "trace_id", "labels"), self.policy)
         parsed = parse.events(parse.parse(self.stream.select("value", F.xxhash64("value").alias("event_id"))))
         return enrich(parsed, self.policy)
 
@@ -114,10 +126,11 @@ class App:
         letters.withColumn("batch", F.lit(batch)).write.mode("overwrite").json(f"{self.settings.tables}/dead_letters/batch={batch}")
 
     def start(self, available: bool = False) -> list[StreamingQuery]:
-        """The two queries: incidents, and dead letters; with available over all that is there, else for ever."""
+        """The two queries: incidents, and (but for a range-query store) dead letters; with available over all that is there, else for ever."""
         initial = self._initial()
-        changes = dedup.emits(self.enriched(), self.now_micros, self.settings.settle_seconds, True, initial, self.settings.future_seconds)
-        return [self._start(changes, "incidents", self._store_changes(self._run_name()), available), self._start(self.dead_letters(), "dead-letters", self._store_letters, available)]
+        changes = dedup.emits(self.enriched(), self.now_micros, self.settings.settle_seconds, True, initial, self.settings.future_seconds, timed=self.entries is not None)
+        queries = [self._start(changes, "incidents", self._store_changes(self._run_name()), available)]
+        return queries if self.entries is not None else [*queries, self._start(self.dead_letters(), "dead-letters", self._store_letters, available)]
 
     def run_available(self) -> None:
         for query in self.start(True):

@@ -63,7 +63,10 @@ class Dedup(StatefulProcessor):
 
     def _load(self) -> dict | None:
         got = self.state.get() if self.state.exists() else None
-        return dict(zip(STATE_NAMES, got, strict=True)) if got is not None else None
+        if got is None:
+            return None
+        state = dict(zip(STATE_NAMES, got, strict=True))
+        return state | {"labels": state["labels"] or {}}  # a state store gives an empty map back as null
 
     def _store(self, state: dict) -> None:
         self.state.update(tuple(state[k] for k in STATE_NAMES))
@@ -115,11 +118,15 @@ NEEDED = (
 
 def emits(
     enriched: DataFrame, now_micros: int | Column | None = None, settle_seconds: int | None = None, keep_states: bool = False, initial: DataFrame | None = None, future_seconds: int = FUTURE_SECONDS,
+    timed: bool = False,
 ) -> DataFrame:
-    """The change stream of enriched events (a stream, or a table); with the options also rows of the actions ``closed`` and ``state``."""
+    """The change stream of enriched events (a stream, or a table); with the options also rows of the actions ``closed`` and ``state``.
+
+    A stream that has a watermark already (``timed``: of arrival, as ``once`` sets it) keeps it; a stream can't have a second one.
+    """
     enriched.sparkSession.streams.active  # noqa: B018  makes the state coordinator in sessions that haven't streamed yet
     src = enriched.withColumn("micros", F.unix_micros("timestamp")).withColumn("clock", event_clock(F.col("micros"), now_micros, future_seconds))
-    if settle_seconds is not None:
+    if settle_seconds is not None and not timed:
         src = src.withColumn("_time", F.timestamp_micros("clock")).withWatermark("_time", "0 seconds")
     src = src.select(*NEEDED)
     mode = "None" if settle_seconds is None else "EventTime"
