@@ -12,7 +12,7 @@ follows its length and its number of spans, not their product.
 
 Candidates come from generators of high recall, whose spans may overlap: ``token`` (a word with a digit, @ or =), ``number``
 (digits with separators), ``keyed`` (what follows a word like password and a colon or equals sign). Words and numbers are taken
-whole, however long, so that no secret's tail is left. Each candidate gets format
+whole, however long, so that no secret's tail is left. ``grouped`` are account numbers written in groups of four. Each candidate gets format
 features and context features (of the code points before it). Gradient boosted trees, fitted on the driver to a labelled sample that
 ``examples`` makes (at most ``EXAMPLES`` rows, features by the same expressions), become CASE expressions. On a third of the examples
 the threshold is calibrated to ``PRECISION``, and to even odds at least. Candidates that overlap a base span are dropped; selected
@@ -42,11 +42,14 @@ PATTERNS = {
 }
 #: Cheap tests that a text with a match passes.
 HINTS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "+"}
-KEYWORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential|ssn|iban|passport|licen[cs]e no|account|dob|born|birth|phone|mobile|tel|fax|call|mail|contact"
+KEYWORDS = "password|passwd|pwd|passphrase|secret|token|bearer|api[_-]?key|access[_-]?key|credential|ssn|social security|iban|passport|licen[cs]e no|account|acct|dob|born|birth|phone|mobile|tel|fax|call|mail|contact"
+#: What may stand between such a word and what it announces.
+LINK = "(?:[^A-Za-z0-9]{1,3}(?:no|nr|number|is|was|id))?[^A-Za-z0-9]*"
 GENERATORS = {
     "token": r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@=]*+[0-9@=])[^\x20\x09-\x0D]{6,}+",
     "number": r"(?<![0-9A-Za-z+])[(]?[0-9]++(?![A-Za-z])(?:[().\x20/-]{1,3}+[0-9]++(?![A-Za-z]))*+",
-    "keyed": r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential)s?[\x20\x09]{0,2}[:=][\x20\x09]{0,2}[^\x20\x09-\x0D]{4,}+",
+    "keyed": r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|credential)s?(?:\x20(?:is|was))?[\x20\x09]{0,2}[:=][\x20\x09]{0,2}[^\x20\x09-\x0D]{4,}+",
+    "grouped": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){3,7}+(?:\x20[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])",
 }
 #: Code points of a number that make it a candidate.
 LEAST_NUMBER = 7
@@ -163,14 +166,15 @@ FEATURES = (
 
 def features(x: Column) -> list[Column]:
     """Numbers about one candidate x (m: its text, c: the code points before it)."""
-    m, c = x["m"], x["c"]
+    # Marks that end a sentence or a quotation around the candidate aren't part of its format.
+    m, c = F.regexp_replace(x["m"], "[.,;:!?)\\]}\"']+$", ""), x["c"]
     count = lambda p: F.regexp_count(m, F.lit(p)).cast("double")
     size = F.greatest(F.char_length(m), F.lit(1)).cast("double")
     has = lambda col, p: col.rlike(p).cast("double")
     letters = count("[A-Za-z]")
     return [
         size, count("[0-9]"), letters, count("[A-Z]"), count("[^A-Za-z0-9]"), count("[0-9]") / size, count("(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]"), count("@"), count("="),
-        count("\\."), count("-"), count(":"), count("/"), count("[\"']"), has(c, f"(?i)({KEYWORDS})[^A-Za-z0-9]*$"), has(m, f"(?i)({KEYWORDS})[^A-Za-z0-9]"),
+        count("\\."), count("-"), count(":"), count("/"), count("[\"']"), has(c, f"(?i)({KEYWORDS}){LINK}$"), has(m, f"(?i)({KEYWORDS})[^A-Za-z0-9]"),
         has(m, "[0-9A-Fa-f]{16}"), has(m, "[0-9A-Za-z_]{20}"), count("[0-9]+"), count("[aeiouAEIOU]") / F.greatest(letters, F.lit(1.0)), has(c, "[$€£#]\\s?$"),
         has(c, "[A-Za-z]\\s$"), has(m, "%|[A-Za-z]$"), has(m, "^\\W*(19|20)[0-9]{2}\\W*$"),
     ]
@@ -184,15 +188,27 @@ def examples(n: int = EXAMPLES) -> list[tuple[str, int]]:
     word = lambda: "".join(r.choice(("an", "er", "th", "in", "re", "on", "es", "st", "le", "de", "ou", "ti")) for _ in range(r.randint(1, 4)))
     name = lambda: pick("abcdefghijklmnoprstuvwy", r.randint(3, 8))
     lower, alnum, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    mixed, code = alnum + "+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    key = lambda: r.choice(("password", "Password", "PASSWORD", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "api-key", "access_key", "credential"))
+    link = lambda: r.choice(("=", ": ", " = ", ":", " is: "))
+    strong = lambda: pick(alnum + "!#%&*_-$?", r.randint(6, 20))
+    country = lambda: r.choice(("DE", "FR", "GB", "ES", "IT", "NL", "PL", "SE", "CH"))
     good = [
-        lambda: ("", f"{d(3)}-{d(2)}-{d(4)}"), lambda: (r.choice(("SSN: ", "ssn ", "")), f"{d(3)}-{d(2)}-{d(4)}"), lambda: (r.choice(("phone: ", "call ", "tel. ", "")), f"({d(3)}) {d(3)}-{d(4)}"),
-        lambda: (r.choice(("phone ", "mobile ", "")), f"{d(3)}-{d(3)}-{d(4)}"), lambda: (r.choice(("IBAN ", "")), f"{r.choice(('DE', 'FR', 'GB', 'ES'))}{d(2)}{d(18)}"),
-        lambda: ("", ":".join(pick(hexa, 4) for _ in range(8))), lambda: ("", ":".join(pick(hexa, 2) for _ in range(6))), lambda: ("", f"AKIA{pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 16)}"),
-        lambda: (r.choice(("api_key = ", "secret: ", "token ", "key=")), f'"{pick(hexa, r.choice((32, 36, 40)))}"'), lambda: ("", f"{r.choice(('password', 'pwd', 'token', 'secret', 'api_key'))}={pick(lower + '0123456789', r.randint(8, 24))}"),
-        lambda: ("", f"{r.choice(('sk', 'ghp', 'pk', 'xox'))}{r.choice('-_')}{pick(alnum, r.randint(20, 36))}"), lambda: ("", pick(alnum, r.randint(28, 44))), lambda: (r.choice(("born ", "DOB: ", "birth date ")), f"{d(2)}/{d(2)}/19{d(2)}"),
-        lambda: (r.choice(("mail ", "contact ", "")), f"{name()}{d(2)}@{name()}"), lambda: ("", f"password: {pick(alnum, r.randint(6, 16))}"), lambda: ("passport ", f"{pick('ABCDEFGHKLM', 1)}{d(8)}"), lambda: ("account ", d(r.randint(9, 12))),
+        lambda: (r.choice(("SSN: ", "ssn ", "ssn is ", "social security no ", "")), f"{d(3)}-{d(2)}-{d(4)}"), lambda: (r.choice(("phone: ", "call ", "tel. ", "tel ", "")), f"({d(3)}) {d(3)}-{d(4)}"),
+        lambda: (r.choice(("phone ", "mobile ", "fax ", "call ", "")), d(3) + (k := r.choice("-. ")) + d(3) + k + d(4)), lambda: (r.choice(("IBAN ", "iban: ", "account ", "")), f"{country()}{d(r.randint(17, 22))}"),
+        lambda: (r.choice(("IBAN ", "account no ", "")), f"{country()}{d(2)} {' '.join(d(4) for _ in range(r.randint(3, 5)))} {d(r.randint(1, 3))}"),
+        lambda: (r.choice(("", "at ", "to ")), ":".join(pick(hexa, 4) for _ in range(8))), lambda: (r.choice(("", "on ", "card ")), r.choice(":-").join(pick(hexa, 2) for _ in range(6))), lambda: (r.choice(("", "key ", "id=")), f"{r.choice(('AKIA', 'ASIA'))}{pick(code, 16)}"),
+        lambda: (r.choice(("api_key = ", "secret: ", "token ", "key=", "api key: ", "")), pick(hexa, r.choice((32, 36, 40, 64)))), lambda: ("", f'"{pick(hexa, r.choice((32, 40)))}"'), lambda: ("", f"{key()}{link()}{strong()}"), lambda: ("", f"{key()}{link()}{pick(lower, 3)}{d(2)}{pick(lower + '0123456789', r.randint(3, 9))}"),
+        lambda: ("", f"{name().upper()}_{r.choice(('KEY', 'TOKEN', 'SECRET', 'ID'))}={pick(mixed, r.randint(20, 44))}"), lambda: (f"{key()}{link()}"[-CONTEXT:], strong()),
+        lambda: ("", f"{r.choice(('sk', 'ghp', 'pk', 'xox', 'rk', 'glpat'))}{r.choice('-_')}{pick(alnum + '-_', r.randint(20, 44))}"), lambda: (r.choice(("", "secret ", "key ")), pick(mixed, r.randint(28, 48))), lambda: (r.choice(("bearer ", "token ", "")), ".".join(pick(alnum + "-_", r.randint(18, 60)) for _ in range(3))),
+        lambda: (r.choice(("born ", "DOB: ", "birth date ", "date of birth: ", "dob ")), r.choice((f"{d(2)}/{d(2)}/19{d(2)}", f"19{d(2)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.19{d(2)}", f"{d(2)}-{d(2)}-20{d(2)}"))),
+        lambda: (r.choice(("mail ", "contact ", "")), f"{name()}{d(2)}@{name()}"), lambda: ("", f"{r.choice(('mysql', 'amqp', 'redis', 'https'))}://{name()}:{strong()}@{name()}.{name()}/{name()}"),
+        lambda: (r.choice(("passport ", "passport no ", "passport number ", "passport: ")), f"{pick('ABCDEFGHKLMXYZ', r.randint(1, 2))}{d(r.randint(7, 8))}"), lambda: (r.choice(("account ", "account number ", "acct ", "account no ", "account: ")), d(r.randint(9, 12))),
     ]
     bad = [
+        lambda: ("", "".join(x + (d(1) if r.random() < 0.9 else d(2)) for x in r.choice(("CHO", "NaCl", "CHN", "FeO", "HSO")))), lambda: (r.choice(("the ", "type ", "")), f"{pick('ABCDEFGHX', r.randint(1, 2))}{d(3)}-{d(3)}"), lambda: ("", f"{d(4)}x{d(4)}"), lambda: ("lines ", f"{d(4)}-{d(4)}"),
+        lambda: ("", f"IMG_20{d(2)}{d(2)}{d(2)}_{d(4)}.jpg"), lambda: ("see ", f"https://{name()}.org/{word()}-{word()}/{word()}{d(4)}/index.html"), lambda: ("", f"{word()}_{word()}_{d(2)}.txt"), lambda: ("won ", f"{d(2)}-{d(2)}"), lambda: (r.choice(("on ", "by ", "")), f"{d(2)}/{d(2)}/20{d(2)}"),
+        lambda: ("", f"{d(1)},{d(3)},{d(3)}"), lambda: ("of ", f"{d(3)},{d(3)},{d(3)}"), lambda: ("", f"{word()}{word()}={d(1)}.{d(2)}"), lambda: ("", f"{word()}-{word()}-{word()}-{d(1)}"), lambda: ("rfc ", f"{d(4)}-{d(4)}"), lambda: (r.choice(("token ", "account ", "call ", "key ")), f"{word()}{d(1)}{word()}"),
         lambda: ("in ", f"{r.choice(('19', '20'))}{d(2)}-{r.choice(('19', '20'))}{d(2)}"), lambda: (r.choice(("$", "€", "")), f"{d(1)},{d(3)},{d(3)}.{d(2)}"), lambda: ("version ", f"{d(1)}.{d(1)}.{d(2)}-rc{d(1)}"), lambda: ("at ", f"{d(2)}:{d(2)}:{d(2)}"),
         lambda: ("", f"{word()}{d(1)}{word()}"), lambda: ("", f"{word()}-{d(2)}"), lambda: ("about ", f"{d(2)}.{d(4)}%"), lambda: ("chapter ", f"{d(1)}.{d(1)}.{d(1)}."), lambda: ("", f"{d(4)} {d(4)}"), lambda: ("", f"{d(2)} {d(2)} {d(2)}"),
         lambda: ("x", f"{word()}={word()}"), lambda: ("", f"{word()}={d(2)}"), lambda: ("", f"https://{name()}.example.org/{word()}/{d(4)}"), lambda: ("on ", f"20{d(2)}-{d(2)}-{d(2)}"), lambda: ("fig. ", f"{d(3)}-{d(3)}"), lambda: ("", f"{d(1)}{d(3)}.{d(3)}"),
@@ -203,7 +219,7 @@ def examples(n: int = EXAMPLES) -> list[tuple[str, int]]:
         label = i % 2
         before, text = r.choice(good if label else bad)()
         lead = " ".join(word() for _ in range(r.randint(0, 4)))
-        out.append((f"{lead} {before}"[-CONTEXT:] + MARK + text + r.choice(("", "", ",", "."))[: int(text[-1].isalnum() and label == 0)], label))
+        out.append((f"{lead} {before}"[-CONTEXT:] + MARK + text + r.choice(("", "", "", ",", ".", ";", ")")), label))
     return out
 
 

@@ -516,7 +516,7 @@ def pii_twin(t, model, least):
     """other spans of a text, by plain loops."""
     t = t.replace("\x01", "\x02")
     base = [(s, e) for _, s, e in base_spans(t)]
-    kw = re.compile(f"(?i)({pii.KEYWORDS})[^A-Za-z0-9]*$")
+    kw = re.compile(f"(?i)({pii.KEYWORDS}){pii.LINK}$")
     chosen = []
     for name, pattern in pii.GENERATORS.items():
         end = 0
@@ -525,6 +525,7 @@ def pii_twin(t, model, least):
             c, end = t[end:s][-pii.CONTEXT :], m.end()
             if (name == "number" and len(x) < pii.LEAST_NUMBER) or any(s < f and b < e for b, f in base):
                 continue
+            x = re.sub("[.,;:!?)\\]}\"']+$", "", x)
             n = lambda p, x=x: float(len(re.findall(p, x)))
             size, letters, has = max(len(x), 1), n("[A-Za-z]"), lambda p, y: float(bool(re.search(p, y)))
             f = [
@@ -561,7 +562,7 @@ def test_secrets_in_real_texts(spark, tiny):
     caught = [k for k in range(len(secrets)) if got[k]]
     wrong = [made[k][2] for k in range(len(secrets), len(made)) if got[k]]
     print("missed", [secrets[k] for k in range(len(secrets)) if k not in caught], "wrong", wrong)
-    assert len(caught) >= 0.8 * len(secrets) and len(wrong) <= 0.25 * len(harmless)
+    assert len(caught) >= 0.9 * len(secrets) and len(wrong) <= 0.1 * len(harmless)
 
 
 def test_redaction(spark, docs):
