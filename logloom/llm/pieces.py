@@ -11,9 +11,11 @@ sentencepiece package. ``build`` makes a tokenizer of it:
 The dummy prefix is put in front of the text before it is normalised. If no piece has a marker after another character, merges
 never cross from a word to a marker, and the text is cut there, so that equal words come from the library's cache.
 
-``encode_pieces`` encodes batches multithreaded (in Rust, one batch after another in each task, as many threads as the executor has
-tasks; ``threads`` gives a task more where it has the machine for itself), decodes the ids again, and verifies parity: each distinct
-text of a batch is encoded whole by the sentencepiece package as well, and ``parity`` says whether all ids are the same. Ids are
+``encode_pieces`` encodes batches multithreaded (in Rust, one batch after another in each task; ``THREADS`` threads a task, and
+``threads`` gives it more where it has the machine for itself), decodes the ids again, and verifies parity: each distinct
+text of a batch is encoded whole by the sentencepiece package as well, and ``parity`` says whether all ids are the same. As the installed
+models are BPE ones, it can also make a unigram model of a model's pieces (``unigram_of``), read that from its protobuf like
+any other, and encode and verify by it, byte fallback included. Ids are
 decoded by gathering the bytes of their pieces; a batch whose bytes aren't UTF-8 in the end is decoded by the library.
 
 Edge cases: a null text is an empty one: no ids, and decodes to the empty string; a null doc_id stays null; repeated rows come
@@ -23,6 +25,7 @@ out as often as they went in; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import os
 import struct
 import uuid
@@ -42,6 +45,8 @@ from .tokens import StretchEncoder, gather, tokenizer_path
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Threads of the libraries in a task.
+THREADS = 2
 
 
 @dataclass
@@ -115,6 +120,37 @@ def read_model(raw: bytes) -> Model:
     return out
 
 
+def _message(number: int, value: int | bytes | float) -> bytes:
+    """One field of a protobuf message."""
+
+    def varint(n: int) -> bytes:
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(number << 3) + varint(value)
+
+
+def unigram_of(model: Model) -> bytes:
+    """A unigram model, as protobuf, of another model's pieces, in whose order a piece stands for its frequency (a share as Zipf's law has it).
+
+    Scores are in quarters: sums of some millions of them are exact in 32 bits, so that ways to cut a text are equal where they should be.
+    """
+    rank, out = 0, bytearray()
+    for piece, score, kind in model.pieces:
+        if kind == NORMAL:
+            rank += 1
+            score = -round(4 * (8 + math.log(1 + rank))) / 4
+        out += _message(1, _message(1, piece.encode()) + _message(2, float(score)) + _message(3, kind))
+    out += _message(2, _message(3, UNIGRAM) + _message(35, int(model.byte_fallback)))
+    rules = ((3, model.add_dummy_prefix), (4, model.remove_extra_whitespaces), (5, model.escape_whitespaces))
+    return bytes(out + _message(3, (_message(2, model.charsmap) if model.charsmap else b"") + b"".join(_message(n, int(v)) for n, v in rules)))
+
+
 def merges(model: Model) -> list[tuple[str, str]]:
     """Pairs in the order in which they merge: by the score of what they make, best first; of one piece, all its splits."""
     score = {p: s for p, s, kind in model.pieces if kind in (NORMAL, UNUSED)}
@@ -159,15 +195,20 @@ def build(model: Model):
 
 
 class PieceTokenizer:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, unigram: bool = False) -> None:
         with open(path, "rb") as f:
-            self.model = read_model(f.read())
+            self.raw = f.read()
+        self.model = read_model(self.raw)
+        if unigram:
+            self.raw = unigram_of(self.model)
+            self.model = read_model(self.raw)
         self.tokenizer = build(self.model)
         m = self.model
         inner = any(MARKER in p.lstrip(MARKER) or "\n" in p for p, _, kind in m.pieces if kind in (NORMAL, USER))
         user = any(kind == USER for _, _, kind in m.pieces)
         #: For models whose normaliser is the marker alone, equal stretches of text are encoded once.
-        self.stretches = StretchEncoder(self.tokenizer, "marked") if m.kind == BPE and m.escape_whitespaces and not (inner or user or m.charsmap or m.remove_extra_whitespaces) else None
+        whole = m.kind == BPE or (m.byte_fallback and any(p == MARKER for p, _, _ in m.pieces))
+        self.stretches = StretchEncoder(self.tokenizer, "marked") if whole and m.escape_whitespaces and not (inner or user or m.charsmap or m.remove_extra_whitespaces) else None
         raw = [bytes([int(p[3:5], 16)]) if m.byte_fallback and kind == BYTE else p.replace(MARKER, " ").encode() for p, _, kind in m.pieces]
         self.size = np.array([len(x) for x in raw], np.int64)
         self.begin, self.bytes = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(raw), np.uint8)
@@ -216,55 +257,71 @@ def flattened(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(chain.from_iterable(found), np.uint32, int(off[-1])), off
 
 
-_open: dict[tuple[str, str], PieceTokenizer] = {}
+_open: dict[tuple[str, str, bool], PieceTokenizer] = {}
 
 
-def piece_tokenizer(path: str, run: str = "") -> PieceTokenizer:
-    """The worker's tokenizer of this run; those of other runs are dropped."""
-    if (path, run) not in _open:
-        _open.clear()
-        _open[path, run] = PieceTokenizer(path)
-    return _open[path, run]
+def piece_tokenizer(path: str, run: str = "", unigram: bool = False) -> PieceTokenizer:
+    """The worker's tokenizers of this run; those of other runs are dropped."""
+    if (path, run, unigram) not in _open:
+        for other in [k for k in _open if k[:2] != (path, run)]:
+            del _open[other]
+        _open[path, run, unigram] = PieceTokenizer(path, unigram)
+    return _open[path, run, unigram]
 
 
 ROW = "n_tokens long, ids_crc32 long, decoded_sha256 string, parity boolean"
 
 
-def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", verify: bool = True, with_ids: bool = False, threads: int = 1) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, parity, with with_ids the ids too."""
+UNIGRAM_ROW = "n_unigram long, unigram_crc32 long, unigram_parity boolean"
+
+
+def _names(row: str) -> list[str]:
+    return [x.split()[0] for x in row.split(", ")]
+
+
+def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id", text_col: str = "text", verify: bool = True, with_ids: bool = False, threads: int = THREADS, unigram: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), decoded_sha256, parity, with with_ids the ids too; with unigram
+    also n_unigram, unigram_crc32 and unigram_parity: the same of the unigram model that ``unigram_of`` makes of the model's pieces."""
     path, run = tokenizer_path(model), uuid.uuid4().hex
     src = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("body"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
-        code = piece_tokenizer(path, run)
-        check = None
+        codes = [piece_tokenizer(path, run), *([piece_tokenizer(path, run, True)] if unigram else [])]
+        checks = [None] * len(codes)
         if verify:
             import sentencepiece
 
-            check = sentencepiece.SentencePieceProcessor(model_file=path)
+            checks = [sentencepiece.SentencePieceProcessor(model_proto=c.raw) for c in codes]
+
+        def encoded(k: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+            """ids, offsets, checksums of the texts, and whether the sentencepiece package gives the same ids."""
+            ids, off = codes[k].encode_flat(texts)
+            raw = ids.astype("<u4").tobytes()
+            crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
+            same = _equal(ids, off, *flattened(checks[k].encode(texts, num_threads=threads))) if verify else [None] * len(texts)
+            return ids, off, crc, pa.array(same, pa.bool_())
+
         for batch in batches:
             for part in K.slices(batch, "body"):
                 coded = part.column("body").dictionary_encode()
                 texts = coded.dictionary.to_pylist()
-                ids, off = code.encode_flat(texts)
-                size = np.diff(off)
-                raw = ids.astype("<u4").tobytes()
-                crc = np.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64)
-                sha = pa.array([hashlib.sha256(x).hexdigest() for x in code.decode_flat(ids, off)], pa.string())
-                same = pa.array(_equal(ids, off, *flattened(check.encode(texts, num_threads=threads))) if check else [None] * len(texts), pa.bool_())
                 of = coded.indices
                 at = of.to_numpy()
-                columns = [pa.array(size[at]), pa.array(crc[at]), sha.take(of), same.take(of)]
-                names = [x.split()[0] for x in ROW.split(", ")]
+                ids, off, crc, same = encoded(0, texts)
+                sha = pa.array([hashlib.sha256(x).hexdigest() for x in codes[0].decode_flat(ids, off)], pa.string())
+                columns, names = [pa.array(np.diff(off)[at]), pa.array(crc[at]), sha.take(of), same.take(of)], _names(ROW)
                 if with_ids:
-                    own = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                    columns.append(own.take(of))
-                    names.append("ids")
+                    columns.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids.astype(np.int32))).take(of))
+                    names = [*names, "ids"]
+                if unigram:
+                    _, off, crc, same = encoded(1, texts)
+                    columns += [pa.array(np.diff(off)[at]), pa.array(crc[at]), same.take(of)]
+                    names = [*names, *_names(UNIGRAM_ROW)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["doc_id", *names])
 
-    return src.mapInArrow(go, f"doc_id {dict(src.dtypes)['id']}, {ROW}" + ", ids array<int>" * with_ids)
+    return src.mapInArrow(go, f"doc_id {dict(src.dtypes)['id']}, {ROW}" + ", ids array<int>" * with_ids + f", {UNIGRAM_ROW}" * unigram)
 
 
 def _equal(ids: np.ndarray, off: np.ndarray, other: np.ndarray, other_off: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode_pieces
 
-    return encode_pieces(table(spark, sf_dir, "documents"))
+    return encode_pieces(table(spark, sf_dir, "documents"), unigram=True)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -740,6 +740,25 @@ def test_unigram_models(spark, tmp_path):
     assert pieces.encode_pieces(df, str(path)).where("parity").count() == len(texts)
 
 
+def test_unigram_model_of_shipped_pieces(spark, docs, rows):
+    """The unigram model made of a BPE model's pieces: its protobuf is read back, and the sentencepiece package agrees on every row."""
+    import sentencepiece
+
+    path = tokens.tokenizer_path("piece_bpe_32k.model")
+    own = pieces.PieceTokenizer(path, unigram=True)
+    assert own.model.kind == pieces.UNIGRAM and own.model.byte_fallback and [p[0] for p in own.model.pieces] == [p[0] for p in pieces.PieceTokenizer(path).model.pieces]
+    sp = sentencepiece.SentencePieceProcessor(model_proto=own.raw)
+    odd = ["  a  b ", "\u65e5\u672c\u8a9e x\u2581y", "\u2581\u2581z \u2581", "\n\n a", " " * 9, "\u00e9" * 500, "\x00\x01 \u0300", "\U0001f600 \U0001f600 q"]
+    assert own.encode(odd) == sp.encode(odd) == own.whole(odd)
+    got = pieces.encode_pieces(docs, unigram=True)
+    want = Counter()
+    for i, t in rows:
+        ids = sp.encode(t or "")
+        want[i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True] += 1
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_unigram", "unigram_crc32", "unigram_parity").collect()) == want
+    assert got.where("not parity").isEmpty() and pieces.encode_pieces(docs, unigram=True, verify=False).where("unigram_parity is not null").isEmpty()
+
+
 def thue_morse(n, a="a", b="b"):
     """Two words of 2**n letters that polynomial hashes modulo a power of two don't tell apart."""
     x, y = a, b
