@@ -14,6 +14,8 @@ from ..model import ACTIVE, ALERT_ROW, SETTABLE
 
 ROW = ALERT_ROW.lower()
 COLUMNS = [x.split(" ")[0] for x in ROW.split(", ") if " " in x]
+#: A slice of the first column of an order (microseconds: an hour).
+SLICE = 3_600_000_000
 
 
 def _of_schema(df: DataFrame) -> DataFrame:
@@ -35,15 +37,27 @@ def merge_rows(table: DataFrame, emits: DataFrame, order: tuple[str, ...] = ("mi
 
     A merge sets the count to n, or to one more than it was if the emit is new or n isn't larger: max(n, count + 1). After the
     k-th emit it is therefore k + max(count before, largest n_j - j so far), a running maximum: nothing is gathered per fingerprint.
+    Places and maxima are taken inside (fingerprint, slice of time), and slices are joined up by their sums, so that a storm of one
+    fingerprint isn't one task's work.
     """
     table = _of_schema(table)
     active = table.where(F.col("status").isin(*ACTIVE)).select("fingerprint", F.struct(*COLUMNS).alias("_row"))
-    in_order = Window.partitionBy("fingerprint").orderBy(*order)
-    e = emits.join(active, "fingerprint", "left").withColumn("_k", F.row_number().over(in_order).cast("long"))
-    alone, k, given = F.col("_row").isNull(), F.col("_k"), F.col("occurrence_count").cast("long")
-    inserted = alone & (k == 1)
-    ahead = F.max(F.when(inserted | ~F.col("is_new"), given - k)).over(in_order)
-    e = e.withColumns({"_count": k + F.greatest(ahead, F.col("_row.occurrence_count")), "_first": F.first("id").over(in_order)})
+    slot = ["fingerprint", "_slot"]
+    in_slot, place = Window.partitionBy(*slot).orderBy(*order), F.struct(*order)
+    e = emits.withColumn("_slot", F.floor(F.col(order[0]) / SLICE)).withColumn("_j", F.row_number().over(in_slot).cast("long"))
+    given = F.col("occurrence_count").cast("long")
+    e = e.withColumn("_ahead", F.max(F.when(~F.col("is_new"), given - F.col("_j"))).over(in_slot))
+    first = F.min_by(F.struct(F.col("id").alias("id"), given.alias("n")), place)
+    slots = e.groupBy(*slot).agg(F.count("*").alias("_n"), F.max("_ahead").alias("_most"), first.alias("_one"))
+    by_slot = Window.partitionBy("fingerprint").orderBy("_slot")
+    slots = slots.withColumns({"_base": F.sum("_n").over(by_slot) - F.col("_n"), "_one": F.first("_one").over(by_slot)})
+    slots = slots.withColumn("_past", F.max(F.col("_most") - F.col("_base")).over(by_slot.rowsBetween(Window.unboundedPreceding, -1)))
+    e = e.join(slots.select(*slot, "_base", "_past", "_one"), slot).join(active, "fingerprint", "left")
+    alone = F.col("_row").isNull()
+    e = e.withColumns({"_k": F.col("_base") + F.col("_j"), "_first": F.col("_one.id")})
+    k, inserted = F.col("_k"), alone & (F.col("_k") == 1)
+    ahead = F.greatest(F.col("_ahead") - F.col("_base"), F.col("_past"), F.when(alone, F.col("_one.n") - 1), F.col("_row.occurrence_count"))
+    e = e.withColumn("_count", k + ahead)
     e = e.join(table.select(F.col("id").alias("_first"), F.lit(True).alias("_taken")), "_first", "left")
     again = F.concat(F.substring(F.sha2(F.concat(F.col("_first"), F.lit("|again")), 256), 1, 8), F.substring("_first", 9, 28))
     status = F.when(F.col("_row.status") == "acknowledged", "acknowledged").when(inserted, "open").otherwise("updated")

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import external, outbox, reads, search
+from logloom.operators import external, incidents, outbox, reads, search
 from logloom.settings import Settings
 from logloom.streaming import app
 from logloom.streaming import dedup as stream
@@ -432,3 +432,19 @@ def test_the_range_mode_runs(spark, tmp_path):
         server.shutdown()
     got = {r.sample_message: r.last_seen.astimezone(timezone.utc) for r in made.tables.read("incidents").collect()}
     assert set(got) == {"first", "an hour late"} and abs((now - got["an hour late"]).total_seconds() - 3600) < 2
+
+
+def test_merge_over_slices_of_time(spark):
+    """Counts of a storm that lies in many slices are those of one emit after another, with an active row before it and without."""
+    r = random.Random(8)
+    made = [(f"i{k}", r.choice("fgh"), r.choice([1, 2, 5, 9, 40]), r.random() < 0.2) for k in range(90)]
+    spread = lambda df: df.withColumn("micros", F.col("event_id") * 1_500_000_000)
+    table, _ = incidents.merge(None, emit(spark, ("old", "f", 6, True)))
+    after, stored = incidents.merge(table, spread(emit(spark, *made)))
+    count, want = {"f": 6}, []
+    for k, (_, fp, n, new) in enumerate(made):
+        count[fp] = n if fp not in count else count[fp] + 1 if new else max(n, count[fp] + 1)
+        want.append(count[fp])
+    assert [x.occurrence_count for x in stored.orderBy("event_id").collect()] == want
+    assert {x.fingerprint: x.occurrence_count for x in after.collect()} == count
+    assert [x.fingerprint for x in stored.where("is_new").orderBy("fingerprint").collect()] == ["g", "h"]
