@@ -39,6 +39,8 @@ from . import kernels as K
 from .shared import checkpoint
 
 SEED, SHINGLE, NEAR = 42, 3, 3
+#: Fingerprints with one band in common that are compared at growing lags.
+RUN = 512
 #: Generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 of the Golay code.
 GENERATOR = 0xC75
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -155,13 +157,23 @@ class Forest:
             a = label[a]
 
 
-def near_pairs(fps: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of fingerprints of one group within NEAR bits: for each of four bands, neighbours in band order at growing lags."""
+def near_pairs(fps: np.ndarray, group: np.ndarray, bits: range | list[int] = range(64)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of fingerprints of one group within NEAR bits; those of a group are distinct.
+
+    Of the bits in which they may differ four bands are made, one of which two near ones have in common: they are compared with
+    those of the same band, neighbours in order at growing lags. A run of more than RUN fingerprints with one band is searched in
+    the same way by its other bits, so that many that are alike in a band aren't all compared with each other.
+    """
     for band in range(4):
-        value = fps >> np.uint64(16 * band) & np.uint64(0xFFFF)
+        own = bits[band::4]
+        mask = np.uint64(sum(1 << b for b in own))
+        value = fps & mask
         order = np.lexsort((fps, value, group))
         g, v, f = group[order], value[order], fps[order]
-        alive = np.arange(len(order) - 1)
+        edge = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (v[1:] != v[:-1]), [True]))) if len(f) else np.zeros(1, np.int64)
+        size = np.diff(edge)
+        large = (size > RUN) & (len(bits) - len(own) > 8)
+        alive = np.flatnonzero(~np.repeat(large, size))
         lag = 1
         while len(alive):
             alive = alive[alive + lag < len(order)]
@@ -170,6 +182,11 @@ def near_pairs(fps: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray,
             if len(near):
                 yield order[near], order[near + lag]
             lag += 1
+        rest = [b for b in bits if b not in own]
+        for a, b in zip(edge[:-1][large].tolist(), edge[1:][large].tolist(), strict=True):
+            part = order[a:b]
+            for x, y in near_pairs(fps[part], np.zeros(len(part), np.int64), rest):
+                yield part[x], part[y]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -243,6 +243,20 @@ def test_near_pairs_chain(spark):
     assert {r.root for r in got.collect()} == {0} and got.count() == 40
 
 
+@pytest.mark.parametrize("run", [512, 4])
+def test_near_pairs_against_all_pairs(monkeypatch, run):
+    """Many fingerprints that are alike in most bits, in one bucket and in several."""
+    monkeypatch.setattr(simhash, "RUN", run)
+    r = random.Random(3)
+    base = r.getrandbits(64)
+    some = {base ^ sum(1 << r.randrange(r.choice([14, 40, 64])) for _ in range(r.randint(0, 5))) for _ in range(500)} | {r.getrandbits(64) for _ in range(100)}
+    fps = np.array(sorted(x & (1 << 64) - 1 for x in some), np.uint64)
+    group = np.array([r.randrange(3) for _ in fps])
+    got = {tuple(sorted((int(a), int(b)))) for x, y in simhash.near_pairs(fps, group) for a, b in zip(x, y, strict=True)}
+    want = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if group[a] == group[b] and int(fps[a] ^ fps[b]).bit_count() <= 3}
+    assert got == want and len(want) > 500
+
+
 def test_quality(spark, tiny, docs, none):
     """Held-out accuracy on labels of the real documents."""
     real = spark.read.parquet(f"{tiny}/documents.parquet")
