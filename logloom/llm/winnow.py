@@ -38,6 +38,8 @@ from .shared import written
 
 #: Bits of a place that hold the number of lines.
 RUN_BITS = 4
+#: Documents that are extended at once.
+ROWS = 500
 
 
 def line_windows(data: np.ndarray, offsets: np.ndarray, width: int, min_words: int | None) -> dict[str, np.ndarray]:
@@ -94,7 +96,7 @@ def _select(width: int, min_words: int | None):
 def _extend(width: int, min_words: int | None):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows that extend from a document's shared positions (``at``)."""
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             lines, at = batch.column("lines"), batch.column("at")
             off = np.concatenate(([0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))))
             shared = np.zeros(off[-1], dtype=bool)
