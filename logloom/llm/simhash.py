@@ -74,8 +74,9 @@ def fingerprint(text: str | None) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = np.fromiter(map(fingerprint, batch.column("body").to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array(got.view(np.int64))], ["id", "tag", "fp"])
+        for part in K.slices(batch, "body"):
+            got = np.fromiter(map(fingerprint, part.column("body").to_pylist()), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array(got.view(np.int64))], ["id", "tag", "fp"])
 
 
 @lru_cache(maxsize=1)
