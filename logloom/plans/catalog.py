@@ -600,10 +600,11 @@ def widgets_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {V.ALERTS} SELECT {LIST} FROM alerts ORDER BY last_micros DESC, id LIMIT 25 OFFSET 50")
 def alerts_seek_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page, found from where the second one ended."""
-    a, token = checkpointed(V.alerts(spark, sf_dir)), None
+    a = checkpointed(V.alerts(spark, sf_dir))
+    page, token = reads.alerts_after(a)
     for _ in range(2):
-        _, token = reads.alerts_after(a, token)
-    return reads.alerts_after(a, token)[0].select(*SHOWN)
+        page, token = reads.alerts_after(a, token) if token is not None else (page.limit(0), None)  # behind the last page is nothing
+    return page.select(*SHOWN)
 
 
 @query(f"WITH RECURSIVE {V.ALERTS} SELECT {LIST} FROM alerts WHERE contains(lower(concat_ws(' ', title, sample_message, fingerprint, COALESCE(error_code, ''), service)), 'timed out after')")
