@@ -7,7 +7,7 @@ whole item if it has fewer (but not none). Words of a document that an occurrenc
    each term, its postings: the places where it stands, counted through the shard with a gap between documents, so that no phrase crosses
    from one to the next. The index is a table in the shared folder, of all words, whatever will be searched; no text is shuffled.
 2. ``find`` sends the items' distinct windows to the shards in blocks of ``BLOCK`` words, which bounds what is broadcast; each block is a
-   pass over the index. In a shard, windows with a term that it doesn't have are out. For the others the terms are taken from the rarest
+   pass over the index. A block holds its words once, and windows are places in them. In a shard, windows with a term that it doesn't have are out. For the others the terms are taken from the rarest
    in the shard to the most frequent: places of the first one, less its offset in the window, are candidates, and each further term leaves
    those where its own postings, less its offset, have the same place. Postings lie in order of (term, place), so a step is one binary
    search for all windows' candidates at once.
@@ -41,6 +41,8 @@ from .shared import written
 WIDTH = 10
 #: Places left free between documents; words of windows in a block; candidates of one step.
 GAP, BLOCK, STEP = 64, 1_000_000, 2_000_000
+#: Windows that are laid out as a table of their terms at once.
+SLICE = 50_000
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD = 4 << 20
 
@@ -122,60 +124,79 @@ class Postings:
 
 
 class Windows:
-    """Distinct windows of some items: hashes (``n`` x width, zeros behind short ones), lengths, and which items have each."""
+    """Distinct windows of some items: where each begins in the items' joined words, its length, and which items have it.
+
+    Nothing is kept ten times over: a table of the windows' words is made for SLICE of them at a time, where they are searched.
+    """
 
     def __init__(self, rows: list[tuple[str | None, bytes]], width: int) -> None:
-        found: dict[bytes, set[int]] = {}
+        self.width = width
         self.items = sorted({i for i, _ in rows if i is not None})
         number = {i: k for k, i in enumerate(self.items)}
-        for item, raw in rows:
-            words = np.frombuffer(raw, np.uint64)
-            for k in range(max(1, len(words) - width + 1)) if len(words) else ():
-                of = found.setdefault(words[k : k + width].tobytes(), set())
-                if item is not None:
-                    of.add(number[item])
-        self.lengths = np.array([len(w) // 8 for w in found], np.int64)
-        self.words = np.zeros((len(found), width), np.uint64)
-        for k, w in enumerate(found):
-            self.words[k, : len(w) // 8] = np.frombuffer(w, np.uint64)
-        self.distinct, back = np.unique(self.words, return_inverse=True)
-        self.number = back.reshape(self.words.shape)
-        self.item_off = np.concatenate(([0], np.cumsum([len(x) for x in found.values()]))).astype(np.int64)
-        self.item_of = np.array([i for x in found.values() for i in sorted(x)], np.int64)
+        size = np.array([len(raw) // 8 for _, raw in rows], np.int64)
+        words = np.frombuffer(b"".join(raw for _, raw in rows), np.uint64)
+        count = np.where(size > 0, np.maximum(1, size - width + 1), 0)
+        run = np.repeat(np.arange(len(rows)), count)
+        at = np.arange(len(run)) + np.repeat(np.cumsum(size) - size - np.cumsum(count) + count, count)
+        length = np.minimum(size, width)[run]
+        self.distinct, back = np.unique(words, return_inverse=True)
+        # The number of each of the joined words, and some more places, so that a short last window has a row of the full width.
+        self.number = np.append(back.astype(np.int32), np.full(width, -1, np.int32))
+        _, first, window = np.unique(self._ranks(at, length), return_index=True, return_inverse=True)
+        order = np.argsort(first)
+        self.starts, self.lengths = at[first[order]], length[first[order]]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        item = np.array([-1 if i is None else number[i] for i, _ in rows], np.int64)[run]
+        pair = np.unique(place[window][item >= 0] * max(1, len(self.items)) + item[item >= 0])
+        self.item_of = pair % max(1, len(self.items))
+        self.item_off = np.searchsorted(pair, np.arange(len(self.starts) + 1) * max(1, len(self.items)))
+
+    def _ranks(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Equal numbers for equal windows: ranks by one word after another, with 0 behind a window's end."""
+        rank = np.zeros(len(at), np.int64)
+        for k in range(self.width if len(at) else 0):
+            word = np.where(k < length, self.number[at + np.minimum(k, length - 1)].astype(np.int64) + 1, 0)
+            _, rank = np.unique(rank * (len(self.distinct) + 1) + word, return_inverse=True)
+        return rank
+
+    def terms(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """For windows lo to hi the numbers of their words, a row of the width for each, and which of them are words of the window."""
+        inside = np.arange(self.width) < self.lengths[lo:hi, None]
+        return self.number[self.starts[lo:hi, None] + np.arange(self.width)], inside
 
 
 def occurrences(p: Postings, w: Windows, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(window, place of its first word) of every occurrence, by intersecting postings from the rarest term on."""
-    none = np.zeros(0, np.int64)
-    if not len(w.words) or not len(p.terms):
-        return none, none
-    term = p.numbers(w.distinct)[w.number]
-    inside = np.arange(w.words.shape[1]) < w.lengths[:, None]
-    live = np.flatnonzero(np.all((term >= 0) | ~inside, axis=1))
-    if not len(live):
-        return none, none
-    often = np.where(inside[live], p.lengths[np.maximum(term[live], 0)], np.iinfo(np.int64).max)
-    rarest = np.argsort(often, axis=1, kind="stable")
-    count = often[np.arange(len(live)), rarest[:, 0]]
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    cut = np.concatenate(([0], np.cumsum(count)))
-    lo = 0
-    while lo < len(live):
-        hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + STEP, "right")) - 1)
-        which = np.repeat(np.arange(lo, hi), count[lo:hi])
-        at = np.arange(len(which)) - np.repeat(cut[lo:hi] - cut[lo], count[lo:hi])
-        place = p.places[p.first[term[live[which], rarest[which, 0]]] + at] - rarest[which, 0]
-        if slack:
-            which, place = np.repeat(which, 2 * slack + 1), (place[:, None] + np.arange(-slack, slack + 1)).ravel()
-        own = live[which]
-        for step in range(1, w.words.shape[1]):
-            more = step < w.lengths[own]
-            offset = rarest[which, step]
-            ok = ~more
-            ok[more] = p.near(term[own[more], offset[more]], place[more] + offset[more], slack)
-            which, own, place = which[ok], own[ok], place[ok]
-        found.append((own, place))
-        lo = hi
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    known = p.numbers(w.distinct) if len(p.terms) else None
+    for first in range(0, len(w.starts) if len(p.terms) else 0, SLICE):
+        number, inside = w.terms(first, first + SLICE)
+        term = known[number]
+        live = np.flatnonzero(np.all((term >= 0) | ~inside, axis=1))
+        if not len(live):
+            continue
+        term, lengths = term[live], w.lengths[first + live]
+        often = np.where(inside[live], p.lengths[np.maximum(term, 0)], np.iinfo(np.int64).max)
+        rarest = np.argsort(often, axis=1, kind="stable")
+        count = often[np.arange(len(live)), rarest[:, 0]]
+        cut = np.concatenate(([0], np.cumsum(count)))
+        lo = 0
+        while lo < len(live):
+            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + STEP, "right")) - 1)
+            which = np.repeat(np.arange(lo, hi), count[lo:hi])
+            at = np.arange(len(which)) - np.repeat(cut[lo:hi] - cut[lo], count[lo:hi])
+            place = p.places[p.first[term[which, rarest[which, 0]]] + at] - rarest[which, 0]
+            if slack:
+                which, place = np.repeat(which, 2 * slack + 1), (place[:, None] + np.arange(-slack, slack + 1)).ravel()
+            for step in range(1, w.width):
+                more = step < lengths[which]
+                offset = rarest[which, step]
+                ok = ~more
+                ok[more] = p.near(term[which[more], offset[more]], place[more] + offset[more], slack)
+                which, place = which[ok], place[ok]
+            found.append((first + live[which], place))
+            lo = hi
     return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
 
 
