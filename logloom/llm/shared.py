@@ -36,6 +36,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one computation in the shared folder, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df computed once; its shuffle files go when it is written."""
+        path = f"{shared_dir(self.spark)}/{self.name}-{uuid.uuid4().hex}"
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for the jobs that run inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs that run inside send Python rows in batches of this number; for rows of many kilobytes."""

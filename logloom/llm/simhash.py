@@ -254,16 +254,21 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def links(fps: DataFrame, rows: int) -> DataFrame:
+    """(a, b): a spanning forest of the links among distinct fingerprints ``fp``, of about so many rows."""
+    spark = fps.sparkSession
+    n = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_FINGERPRINTS))
+    buckets = fps.select("fp").repartition(n).mapInArrow(_buckets, "bucket int, fp long")
+    return buckets.repartition(n, "bucket").mapInArrow(_links, "a long, b long")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tag (hash of the text), fp (signed 64-bit fingerprint) and component_id, a row for each row of docs."""
     spark = docs.sparkSession
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"), F.xxhash64(docs[text_col]).alias("tag"))
     marked = checkpoint(src.mapInArrow(_fingerprints, f"id {dict(src.dtypes)['id']}, tag long, fp long"))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
-    n = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-marked.count() // TASK_FINGERPRINTS))
-    buckets = distinct.select("fp").repartition(n).mapInArrow(_buckets, "bucket int, fp long")
-    links = buckets.repartition(n, "bucket").mapInArrow(_links, "a long, b long")
-    tree = components(spark, links)
+    tree = components(spark, links(distinct, marked.count()))
     # Only fingerprints with a near one are in the tree; the others are their own component.
     rooted = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     rooted = checkpoint(rooted)
