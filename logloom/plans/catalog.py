@@ -726,18 +726,49 @@ def stats_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Streaming
 
+#: Events that a run of a stream takes in at most (but for those of one instant): what its batch holds at once doesn't grow with the table.
+SLICE_ROWS = 1_000_000
+
+
+def _slices(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
+    """The events as files in the order of their times, SLICE_ROWS or so in each."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n, at = max(1, -(-e.count() // SLICE_ROWS)), F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = e.agg(F.percentile_approx(at, [k / n for k in range(1, n)])).first()[0] if n > 1 else []
+    slot = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < at)) if cuts else F.lit(0)
+    e.withColumn("slice", slot).repartition(n, "slice").write.partitionBy("slice").parquet(f"{folder}/slices")
+    return [f"{folder}/slices/slice={k}" for k in range(n)]
+
+
+def _in_turn(spark: SparkSession, slices: list[str], into: str, run: Callable[[], object]) -> list[str]:
+    """Slices come into a stream's folder one after another, and the stream runs after each; returns where they are now."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(into).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(path(into))
+    moved = [f"{into}/{k}" for k in range(len(slices))]
+    for a, b in zip(slices, moved, strict=True):
+        if fs.exists(path(a)) and not fs.rename(path(a), path(b)):
+            raise OSError(f"{a} can't be moved to {b}")
+        run()
+    return moved
+
 
 @query(f"WITH RECURSIVE {V.emitted('coarse')} SELECT event_id, id, fingerprint, action, severity, CAST(place AS BIGINT) AS occurrence_count FROM em")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful operator on a file stream over the events, read to its end; its changes are gathered in the shared folder."""
+    """The stateful operator on a file stream over the events, which arrive in slices of time, read to its end; its changes are gathered in the shared folder."""
     from ..streaming import dedup as stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    changes = stream.emits(policy.enrich(V.logs_of(events), fields=V.COARSE)).select("event_id", "id", "fingerprint", "action", "severity", "occurrence_count")
-    stream.run_available(changes, f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
-    return spark.read.schema(changes.schema).parquet(f"{folder}/out/*")
+    slices, kind = _slices(spark, sf_dir, folder), spark.read.parquet(f"{sf_dir}/events.parquet").schema
+
+    def run() -> None:
+        events = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        changes = stream.emits(policy.enrich(V.logs_of(events), fields=V.COARSE)).select("event_id", "id", "fingerprint", "action", "severity", "occurrence_count")
+        stream.run_available(changes, f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+
+    _in_turn(spark, slices, f"{folder}/in", run)
+    return spark.read.schema("event_id bigint, id string, fingerprint string, action string, severity string, occurrence_count bigint").parquet(f"{folder}/out/*")
 
 
 @query(f"WITH {V.LOGS} SELECT DISTINCT micros // 100000000 AS ts_ns, service, level AS line FROM logs")
@@ -764,11 +795,13 @@ def stream_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder, tables = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", _new_tables(spark)
-    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    enriched = policy.enrich(V.logs_of(events), fields=V.COARSE)
+    slices, kind = _slices(spark, sf_dir, folder), spark.read.parquet(f"{sf_dir}/events.parquet").schema
     names = ["event_id", "id", "fingerprint", "action", "severity", "occurrence_count"]
 
     def run(name: str, when, initial: DataFrame | None) -> None:
+        events = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{folder}/in-{name}")
+        enriched = policy.enrich(V.logs_of(events), fields=V.COARSE)
+
         def write(changes: DataFrame, batch: int) -> None:
             changes.persist()
             changes.where(F.col("action").isin(*stream.EMITTED)).select(*names).write.mode("overwrite").parquet(f"{folder}/out/{name}-{batch}")
@@ -779,6 +812,7 @@ def stream_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
         changes = stream.emits(enriched.where(when), settle_seconds=7 * 86_400, keep_states=True, initial=initial)
         stream.run_available(changes, f"{folder}/{name}", write)
 
-    run("before", F.col("timestamp") < V.now(), None)
-    run("after", F.col("timestamp") >= V.now(), checkpointed(tables.read("states")))
+    slices = _in_turn(spark, slices, f"{folder}/in-before", lambda: run("before", F.col("timestamp") < V.now(), None))
+    states = checkpointed(tables.read("states"))
+    _in_turn(spark, slices, f"{folder}/in-after", lambda: run("after", F.col("timestamp") >= V.now(), states))
     return spark.read.parquet(f"{folder}/out/*")
