@@ -5,9 +5,10 @@ whole item if it has fewer (but not none). Words of a document that an occurrenc
 
 1. ``build_index`` (``mapInArrow``) cuts the corpus into shards of some megabytes of text. A shard's row holds its documents and, for
    each term, its postings: the places where it stands, counted through the shard with a gap between documents, so that no phrase crosses
-   from one to the next. The index is a table in the shared folder, of all words, whatever will be searched; no text is shuffled.
+   from one to the next. The index is a table in the shared folder, of all words, whatever will be searched; no text is shuffled. A shard
+   is a row group, and goes to Python by itself: a task holds one shard, however many its partition has.
 2. ``find`` sends the items' distinct windows to the shards in blocks of ``BLOCK`` words, which bounds what is broadcast; each block is a
-   pass over the index. A block holds its words once, and windows are places in them. In a shard, windows with a term that it doesn't have are out. For the others the terms are taken from the rarest
+   pass over the index, whose hits are written before the next one begins. A block holds its words once, and windows are places in them. In a shard, windows with a term that it doesn't have are out. For the others the terms are taken from the rarest
    in the shard to the most frequent: places of the first one, less its offset in the window, are candidates, and each further term leaves
    those where its own postings, less its offset, have the same place. Postings lie in order of (term, place), so a step is one binary
    search for all windows' candidates at once.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import written
+from .shared import small_batches, written
 
 WIDTH = 10
 #: Places left free between documents; words of windows in a block; candidates of one step.
@@ -45,6 +46,8 @@ GAP, BLOCK, STEP = 64, 1_000_000, 2_000_000
 SLICE = 50_000
 #: Bytes of text in a shard; a longer document is a shard of its own.
 SHARD = 4 << 20
+#: Documents that come to Python at once.
+DOCUMENTS = 1000
 
 #: Byte to word byte; 0 where it is none. A-Z become a-z.
 WORD = np.zeros(256, np.uint8)
@@ -63,32 +66,47 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return K.span_hash(low, starts, ends), off
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents in runs of at most SHARD text bytes, across batches; a longer document comes alone."""
+    held, size = [], 0
     for batch in batches:
         for part in K.slices(batch, "body", SHARD):
-            words, off = hashed_words(*K.utf8(part.column("body")))
-            sizes = np.diff(off)
-            place = np.arange(len(words)) + GAP * np.repeat(np.arange(len(sizes)), sizes)
-            order = np.argsort(words, kind="stable")
-            words, steps = words[order], place[order]
-            new = np.ones(len(words), dtype=bool)
-            new[1:] = words[1:] != words[:-1]
-            first = np.flatnonzero(new)
-            terms, lengths = words[first], np.diff(np.append(first, len(words)))
-            steps[1:] -= np.where(new[1:], 0, steps[:-1])
-            ids = part.column("id")
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),
-                 *[pa.array([x], pa.binary()) for x in (K.planes(terms), K.planes(lengths.astype(np.int32)), K.planes(steps))], pa.array([len(terms)], pa.int32()), pa.array([len(words)], pa.int32())],
-                ["ids", "sizes", "terms", "lengths", "places", "n_terms", "n_words"],
-            )
+            more = len(K.utf8(part.column("body"))[0])
+            if held and size + more > SHARD:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _shards(batches):
+        words, off = hashed_words(*K.utf8(part.column("body")))
+        sizes = np.diff(off)
+        place = np.arange(len(words)) + GAP * np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(words, kind="stable")
+        words, steps = words[order], place[order]
+        new = np.ones(len(words), dtype=bool)
+        new[1:] = words[1:] != words[:-1]
+        first = np.flatnonzero(new)
+        terms, lengths = words[first], np.diff(np.append(first, len(words)))
+        steps[1:] -= np.where(new[1:], 0, steps[:-1])
+        ids = part.column("id")
+        yield pa.RecordBatch.from_arrays(
+            [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.array(sizes.astype(np.int32))),
+             *[pa.array([x], pa.binary()) for x in (K.planes(terms), K.planes(lengths.astype(np.int32)), K.planes(steps))], pa.array([len(terms)], pa.int32()), pa.array([len(words)], pa.int32())],
+            ["ids", "sizes", "terms", "lengths", "places", "n_terms", "n_words"],
+        )
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored index of all words: a row for each shard, with its number in ``shard``."""
     src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("body"))
     found = src.mapInArrow(_index, INDEX.format(dict(src.dtypes)["id"]))
-    return written(found.withColumn("shard", F.monotonically_increasing_id()), "postings")
+    with small_batches(docs.sparkSession, DOCUMENTS):
+        return written(found.withColumn("shard", F.monotonically_increasing_id()), "postings", group_rows=1)
 
 
 class Postings:
@@ -295,7 +313,9 @@ def spans(index: DataFrame, items: DataFrame, width: int = WIDTH, slack: int | N
     for k in range(blocks):
         rows = [(r.item, bytes(r.words)) for r in asked.where(place == k).toLocalIterator()]
         sent = spark.sparkContext.broadcast(Windows(rows, width))
-        got = index.mapInArrow(_search(sent, slack), HITS.format(kind))
+        with small_batches(spark, 1):
+            got = written(index.mapInArrow(_search(sent, slack), HITS.format(kind)), "benchmark-hits")
+        sent.destroy()
         hits = got if hits is None else hits.unionByName(got)
     if blocks > 1:
         joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("begin", "end", "items", "near")]

@@ -29,10 +29,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read back."""
+def written(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back; with group_rows in row groups of so many, for rows of megabytes.
+
+    The writer keeps each row group's least and greatest values until the file ends, so such a table has none.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    if group_rows is not None:
+        out = out.option("parquet.block.row.count.limit", group_rows).option("parquet.column.statistics.enabled", "false")
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
