@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -730,40 +731,58 @@ def stats_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 SLICE_ROWS = 1_000_000
 
 
-def _slices(spark: SparkSession, sf_dir: str, folder: str) -> list[str]:
-    """The events as files in the order of their times, SLICE_ROWS or so in each."""
+#: Rows of a slice's row groups: a batch reads its file in several tasks.
+GROUP_ROWS = 50_000
+
+
+def _slices(spark: SparkSession, sf_dir: str, folder: str) -> tuple[list[str], list[int]]:
+    """The events as files in the order of their times, SLICE_ROWS or so in each; and the times (microseconds) up to which all but the last go."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     n, at = max(1, -(-e.count() // SLICE_ROWS)), F.unix_micros(F.col("ts").cast("timestamp"))
     cuts = e.agg(F.percentile_approx(at, [k / n for k in range(1, n)])).first()[0] if n > 1 else []
     slot = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < at)) if cuts else F.lit(0)
-    e.withColumn("slice", slot).repartition(n, "slice").write.partitionBy("slice").parquet(f"{folder}/slices")
-    return [f"{folder}/slices/slice={k}" for k in range(n)]
+    out = e.withColumn("slice", slot).repartition(n, "slice").write.option("maxRecordsPerFile", 0).option("parquet.block.row.count.limit", GROUP_ROWS)
+    out.partitionBy("slice").parquet(f"{folder}/slices")
+    return [f"{folder}/slices/slice={k}" for k in range(n)], cuts
 
 
 def _in_turn(spark: SparkSession, slices: list[str], into: str, run: Callable[[], object]) -> list[str]:
-    """Slices come into a stream's folder one after another, and the stream runs after each; returns where they are now."""
+    """Slices come into a stream's folder as files whose own times are in their order, by which a stream takes them one to a batch (see ``_sliced``);
+    then it runs. Returns where they are now."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(into).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     fs.mkdirs(path(into))
-    moved = [f"{into}/{k}" for k in range(len(slices))]
-    for a, b in zip(slices, moved, strict=True):
-        if fs.exists(path(a)) and not fs.rename(path(a), path(b)):
-            raise OSError(f"{a} can't be moved to {b}")
-        run()
+    moved, begin = [f"{into}/{k}" for k in range(len(slices))], (int(time.time()) - len(slices)) * 1000
+    for k, (a, b) in enumerate(zip(slices, moved, strict=True)):
+        if fs.exists(path(a)):
+            files = [x.getPath() for x in fs.listStatus(path(a))]
+            for file in files:
+                fs.setTimes(file, begin + 1000 * k, -1)
+            if len(files) != 1 or fs.getFileStatus(files[0]).getModificationTime() != begin + 1000 * k:
+                raise OSError(f"{a} isn't one file whose time can be set")
+            if not fs.rename(path(a), path(b)):
+                raise OSError(f"{a} can't be moved to {b}")
+    run()
     return moved
 
 
+def _sliced(spark: SparkSession, sf_dir: str, into: str, wanted: list[int]) -> DataFrame:
+    """A stream over some of the slices in a folder, one to a batch."""
+    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(kind).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{into}/{{{','.join(map(str, wanted))}}}")
+
+
 @query(f"WITH RECURSIVE {V.emitted('coarse')} SELECT event_id, id, fingerprint, action, severity, CAST(place AS BIGINT) AS occurrence_count FROM em")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful operator on a file stream over the events, which arrive in slices of time, read to its end; its changes are gathered in the shared folder."""
+    """The stateful operator on a file stream over the events, in slices of time, read to its end; its changes are gathered in the shared folder."""
     from ..streaming import dedup as stream
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    slices, kind = _slices(spark, sf_dir, folder), spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    slices, _ = _slices(spark, sf_dir, folder)
 
     def run() -> None:
-        events = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        events = _sliced(spark, sf_dir, f"{folder}/in", list(range(len(slices))))
         changes = stream.emits(policy.enrich(V.logs_of(events), fields=V.COARSE)).select("event_id", "id", "fingerprint", "action", "severity", "occurrence_count")
         stream.run_available(changes, f"{folder}/checkpoint", lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
 
@@ -795,11 +814,11 @@ def stream_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder, tables = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", _new_tables(spark)
-    slices, kind = _slices(spark, sf_dir, folder), spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    slices, cuts = _slices(spark, sf_dir, folder)
     names = ["event_id", "id", "fingerprint", "action", "severity", "occurrence_count"]
 
-    def run(name: str, when, initial: DataFrame | None) -> None:
-        events = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{folder}/in-{name}")
+    def run(name: str, wanted: list[int], when, initial: DataFrame | None) -> None:
+        events = _sliced(spark, sf_dir, f"{folder}/in", wanted)
         enriched = policy.enrich(V.logs_of(events), fields=V.COARSE)
 
         def write(changes: DataFrame, batch: int) -> None:
@@ -812,7 +831,10 @@ def stream_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
         changes = stream.emits(enriched.where(when), settle_seconds=7 * 86_400, keep_states=True, initial=initial)
         stream.run_available(changes, f"{folder}/{name}", write)
 
-    slices = _in_turn(spark, slices, f"{folder}/in-before", lambda: run("before", F.col("timestamp") < V.now(), None))
-    states = checkpointed(tables.read("states"))
-    _in_turn(spark, slices, f"{folder}/in-after", lambda: run("after", F.col("timestamp") >= V.now(), states))
+    def both() -> None:
+        # Slices that have no event of a run aren't batches of it.
+        run("before", [0, *[k + 1 for k, c in enumerate(cuts) if c < V.NOW_MICROS]], F.col("timestamp") < V.now(), None)
+        run("after", [*[k for k, c in enumerate(cuts) if c >= V.NOW_MICROS], len(slices) - 1], F.col("timestamp") >= V.now(), checkpointed(tables.read("states")))
+
+    _in_turn(spark, slices, f"{folder}/in", both)
     return spark.read.parquet(f"{folder}/out/*")

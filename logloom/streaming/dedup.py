@@ -36,6 +36,8 @@ OUT = (
     "window_seconds int, suppress_dispatch_while_acknowledged boolean, allow_reopen_after_resolve boolean, last_emitted bigint, step bigint"
 )
 EMITTED = ("new", "update")
+#: Partitions of the state for each core of the session: more even out keys of different sizes, and each costs every batch.
+PER_CORE = 4
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -148,7 +150,16 @@ def latest_states(changes: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]):
-    """Runs a stream over all that is there, a batch at a time, with a function for each batch."""
-    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    """Runs a stream over all that is there, a batch at a time, with a function for each batch.
+
+    Every batch opens and commits each partition of the state, with or without rows: there are at most PER_CORE to a core.
+    """
+    spark, key = stream.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), PER_CORE * spark.sparkContext.defaultParallelism)))
+    try:
+        query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    finally:
+        spark.conf.set(key, before)
     query.awaitTermination()
     return query
